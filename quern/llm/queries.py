@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, urls
+from quern.llm import chat, mixing, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,19 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def fold_of(doc_id: Column) -> Column:
+    """crc32 of the id as text, mod 5: fold 0 is held out."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a lexicon learned from the labels outside fold 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id")) != 0)
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by the five host and path rules."""
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
@@ -59,6 +72,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op10_source_mix": op10_source_mix,
 }
