@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, mixing, toxicity, urls
+from quern.llm import chat, fingerprints, language, mixing, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,24 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and of its edited text; for ids divisible by 20, how many other documents lie within 3 bits."""
+    found = scratch.written(fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text")), "op2")
+    asked = F.col("doc_id") % 20 == 0
+    near = fingerprints.within(found.where(asked), found)
+    near = near.groupBy(F.col("fingerprint").alias("near_to")).agg((F.sum("copies") - 1).alias("n"))
+    joined = found.join(near, asked & (F.col("fingerprint") == F.col("near_to")), "left")
+    return joined.select(*found.columns, F.col("n").alias("n_within_3_bits"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by prototypes bundled from the labelled rows outside fold 0."""
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.fit(docs.select("doc_id", "text", "lang"), fold_of(F.col("doc_id")) != 0)
+    found = language.predict(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a lexicon learned from the labels outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +90,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_fingerprints": op2_fingerprints,
+    "op4_language_id": op4_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op10_source_mix": op10_source_mix,
