@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprints, language, mixing, scratch, toxicity, urls
+from quern.llm import chat, fingerprints, language, mixing, neardup, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by two-word shingles at a similarity of 0.8."""
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a lexicon learned from the labels outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +97,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_fingerprints": op2_fingerprints,
     "op4_language_id": op4_language_id,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op10_source_mix": op10_source_mix,
