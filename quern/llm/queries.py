@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprints, language, mixing, neardup, scratch, toxicity, urls
+from quern.llm import chat, decontaminate, fingerprints, language, mixing, neardup, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*found.columns, F.col("n").alias("n_within_3_bits"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other numbers, names or units, with each item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = scratch.written(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "op3")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+    return keyed.join(held, "text_key").select("doc_id", "item_id", F.col("covered").cast("bigint").alias("covered"), "share", F.col("altered").cast("bigint").alias("altered"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by prototypes bundled from the labelled rows outside fold 0."""
     docs = table(spark, sf_dir, "documents")
@@ -96,6 +104,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_fingerprints": op2_fingerprints,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
