@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, fingerprints, language, mixing, neardup, scratch, toxicity, urls
+from quern.llm import chat, decontaminate, fingerprints, language, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: base spans by rule, others by the classifier trained on the labelers' votes."""
+    found = scratch.written(pii.labelled(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates"), "op5")
+    spans = pii.decided(found, pii.fit(found))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, no=no: s["kind"] == no)).cast("bigint").alias(f"n_{k}") for no, k in enumerate(pii.KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by two-word shingles at a similarity of 0.8."""
     return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
@@ -106,6 +115,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
