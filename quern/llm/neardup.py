@@ -119,6 +119,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``id, members``: the whole shingle set of every row of ``texts(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), size).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id bigint, members array<bigint>")
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)`` by distinct ``size``-word shingles (A-Z lower-cased words).
 
@@ -132,7 +143,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Equal sets collapse to their smallest id first. Every set then goes to its bucket's smallest member in each band,
     never to all of them; the best partner by estimate is confirmed on full sets, then others that still join two components. At last, in
     buckets where components still differ, members outside of the bucket's main component meet all members of other ones, so no
-    candidate pair is given up. Pairs inside one component are never made, whatever a group's size.
+    candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
+    Pairs inside one component are never made, whatever a group's size.
     """
     rows = scratch.written(signed(docs, size), "near-sets")
     reps = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -167,20 +179,26 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     counts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
     mixed_ = scratch.written(member.join(mains, "key"), "near-mixed")
-    full = mixed_.join(nodes.withColumnRenamed("doc_id", "id"), "id")
-    few, all_ = full.where("c <> main").alias("a"), full.alias("b")
-    once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True)
-    here = F.array_position(F.col("a.bands"), F.col("a.key"))
-    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & ((F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id")))
-    pairs = few.join(all_, cross & likely("a", "b") & (once == here)).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    tried = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = scratch.written(confirmed(pairs.join(tried, ["u", "v"], "left_anti"), texts, size, percent), "near-edges")
+    light = mixed_.join(sigs.withColumnRenamed("doc_id", "id"), "id")
+    few, all_ = light.where("c <> main").alias("a"), light.alias("b")
+    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c"))
+    meets = cross & likely("a", "b")
+    asking, asked = few.join(all_, meets, "left_semi").select("key", "id"), all_.join(few, meets, "left_semi").select("key", "id")
+    live = scratch.written(asking.unionByName(asked).distinct().join(light, ["key", "id"]), "near-live")
+    sets = scratch.written(full_sets(texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "near-full")
+    live = live.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").join(sets, "id")
+    few, all_ = live.where("c <> main").alias("a"), live.alias("b")
+    once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.array_position(F.col("a.bands"), F.col("a.key"))
+    turn = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
+    common = F.size(F.array_intersect("a.members", "b.members"))
+    alike = 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
+    more = few.join(all_, cross & turn & likely("a", "b") & once & alike).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
     found = components(edges.unionByName(more))
 
     placed = reps.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce("component", "doc_id")
-    scratch.drop(shared, texts, stars, mixed_, nodes)
+    scratch.drop(shared, texts, stars, mixed_, nodes, sets)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
