@@ -1,5 +1,68 @@
-"""placeholder"""
+"""A training corpus from ``documents`` in five stages; each returns rows that are written as Parquet and read as the next one's input.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir), where docs has the columns of ``documents``
+(doc_id, text, lang, source, n_chars) and perhaps others, which all stages but the last pass on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import decontaminate, mixing, neardup, pii, scratch, toxicity
+
+#: SQL cannot express the learned, hashed and seeded stages; tests hold them against brute force on small tables.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that a lexicon learned from ``labels`` scores under 0.5. Null and empty texts score as texts without a hit."""
+    lexicon = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.score(docs, lexicon, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group: the smallest id's. Of rows that repeat an id the least stays; rows with a null id all stay."""
+    kept = neardup.groups(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no item of ``benchmark``, neither word for word nor re-parameterised."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data in texts replaced by the kind in brackets; n_chars follows the new text."""
+    model = pii.fit(scratch.written(pii.labelled(docs.select("text")).select("candidates").where(F.size("candidates") > 0), "pipeline-pii"))
+    return pii.redacted(docs, model).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as ids and words: documents that it takes words from, with their source's size and target."""
+    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; returns the last one's rows."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
