@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, fingerprints, language, mixing, neardup, pii, scratch, toxicity, urls
+from quern.llm import chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license wording found in a document, with its place, compression gain and differences."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("licenses").alias("l"))
+    return found.select("doc_id", "l.license", F.col("l.start").alias("start_char"), F.col("l.end").alias("end_char"), F.round("l.gain", 6).alias("gain"), "l.exact", F.array_join("l.differences", "; ").alias("differences"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources at weights 3, 1, 2 takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -119,6 +125,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
+    "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
 }
 
