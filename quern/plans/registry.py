@@ -1,10 +1,6 @@
-"""Queries by name, and the DuckDB SQL that gives the same rows."""
+"""Every registered query by name, and the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from quern.plans import curation, evaluation, retrieval, scalars, state  # noqa: F401  they register
+from quern.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
