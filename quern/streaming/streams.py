@@ -26,7 +26,7 @@ def event_windows(stream: DataFrame, ts: str, late: str, width: str, *keys: str)
 
 
 def sessions(stream: DataFrame, ts: str, late: str, gap: str, *keys: str) -> DataFrame:
-    """Session windows by key: a gap ends a session."""
+    """Session windows by key (a stream needs one): a gap ends a session."""
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 

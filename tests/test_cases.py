@@ -212,7 +212,7 @@ def test_streams(spark, tmp_path):
     streams.to_sink(streams.distinct_events(stream, "ts", "1 hour", "id"), f"{tmp_path}/c3", lambda df, n: seen.extend(df.collect())).awaitTermination()
     assert len(seen) == 100
     seen.clear()
-    streams.to_sink(streams.sessions(stream, "ts", "1 minute", "2 minutes"), f"{tmp_path}/c4", lambda df, n: seen.extend(df.collect()), "complete").awaitTermination()
+    streams.to_sink(streams.sessions(stream, "ts", "1 minute", "2 minutes", "at"), f"{tmp_path}/c4", lambda df, n: seen.extend(df.collect()), "complete").awaitTermination()
     assert sum(r["n"] for r in seen) == 105
 
 
