@@ -21,23 +21,29 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec
     return vectors.select(id_col, dot_with(F.col(vector_col), list(query)).alias("score")).orderBy(F.desc("score"), id_col).limit(max(1, k))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
-    """``query_id, vec_id, score, rank`` of the ``k`` best vectors for each row of ``queries(query_id, query)``.
-
-    Queries are counted and broadcast in blocks of ``block``; each pair is scored once, and a rank limit before the shuffle leaves k
-    rows for each task and query, so what moves is bounded by tasks x queries x k and never by pairs.
-    """
+def scores(vectors: DataFrame, queries: DataFrame, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """``query_id, vec_id, score`` of every vector for every row of ``queries(query_id, query)``, a set that is counted first and
+    broadcast in blocks of ``block`` rows. Filter or rank before anything moves: nothing here does."""
     n = queries.count()
     numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).cast("int"))
     parts = []
     for b in range(max(1, -(-n // block))):
         pairs = vectors.select("vec_id", "embedding", *keep).join(F.broadcast(numbered.where(F.col("_block") == b).select("query_id", "query")))
         parts.append(pairs.select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"), *keep))
-    scored = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        scored = scored.unionByName(p)
+        out = out.unionByName(p)
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """``query_id, vec_id, score, rank`` of the ``k`` best vectors for each query.
+
+    Each pair is scored once, and a rank limit before the shuffle leaves k rows for each task and query, so what moves is
+    bounded by tasks x queries x k and never by pairs.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores(vectors, queries, keep, block).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def merged(hits: DataFrame, keys: Sequence[str], total: int | None = None) -> DataFrame:

@@ -29,8 +29,8 @@ def hits(t: Tables, k: int) -> DataFrame:
 
 @query("flagship", f"WITH s AS ({_SCORED.replace(_ASKED, '(0)')}), c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rn FROM s WHERE score >= 0.1) SELECT label AS paper, count(*) AS n_chunks, round(max(score), 6) AS max_score FROM c WHERE rn <= 2 GROUP BY label")
 def flagship(t: Tables) -> DataFrame:
-    first = retrieval.search(t.embeddings, asked(t).where("query_id = 0"), 1_000_000, ["label"])
-    kept = retrieval.capped(first.where(retrieval.passes(0.1)), ["label"], 2, "vec_id")
+    found = retrieval.scores(t.embeddings, asked(t).where("query_id = 0"), ["label"]).where(retrieval.passes(0.1))
+    kept = retrieval.capped(found, ["label"], 2, "vec_id")
     return retrieval.by_paper(kept, ["label"], "vec_id").select(F.col("label").alias("paper"), "n_chunks", F.round("max_score", 6).alias("max_score"))
 
 
@@ -257,3 +257,28 @@ def j20(t: Tables) -> DataFrame:
     over = F.col("score") >= 0.2
     papers = F.count_distinct(F.when(over, F.col("label")))
     return hits(t, 120).groupBy("query_id").agg(F.count("*").alias("raw_chunks"), F.count_if(over).alias("after_threshold"), papers.alias("unique_papers"), (papers < 6).alias("few"))
+
+
+@query("k13_embedding")
+def k13(t: Tables) -> DataFrame:
+    from quern.sources import boundaries
+
+    rows = boundaries.embedded(t.part.select("p_partkey", "p_name"), "p_name", lambda: boundaries.hashing_encoder(16))
+    return rows.select("p_partkey", F.size("embedding").alias("dimension"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query("b21_clamped_parameters", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 20 BETWEEN 0 AND 1 THEN l_discount * 20 ELSE 0.3 END AS threshold, CAST(least(greatest(l_quantity * 10, 1), 200) AS INT) AS max_results FROM lineitem")
+def b21(t: Tables) -> DataFrame:
+    d = F.col("l_discount") * 20
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.when(d.between(0, 1), d).otherwise(0.3).alias("threshold"), F.least(F.greatest(F.col("l_quantity") * 10, F.lit(1)), F.lit(200)).cast("int").alias("max_results"))
+
+
+@query("i3_adapter_retrieve", f"WITH {_HITS.format(k=1)} SELECT query_id, vec_id FROM hits")
+def i3(t: Tables) -> DataFrame:
+    """Without a threshold, and at least one hit whatever k is asked for."""
+    return hits(t, max(1, 0)).select("query_id", "vec_id")
+
+
+@query("c16_term_counts", f"WITH q AS ({QUESTIONS}) SELECT id, ({_has('question', ['stevia', 'monk', 'sugar'])})::INT AS terms FROM q")
+def c16(t: Tables) -> DataFrame:
+    return t.sql(QUESTIONS).select("id", text.count_contained(F.col("question"), ["stevia", "monk", "sugar"]).alias("terms"))

@@ -249,3 +249,32 @@ def test_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{root}/book/two").count() == 3
     with pytest.raises(PermissionError):
         files.ReadOnly(df).upsert(df)
+
+
+def test_boundaries(spark):
+    from quern.sources import boundaries
+
+    rows = spark.createDataFrame([(1, "CCO"), (2, "bad"), (3, None)], "id int, smiles string")
+
+    def load():
+        def fn(s):
+            if s == "bad":
+                raise ValueError(s)
+            return {"canonical": s, "key": s.lower(), "mass": 46.07, "atoms": 3}
+
+        return fn
+
+    got = {r["id"]: (r["standard"]["valid"], r["standard"]["reason"]) for r in boundaries.standardised(rows, "smiles", load).collect()}
+    assert got == {1: (True, None), 2: (False, "ValueError"), 3: (False, "empty")}
+    found, missing = boundaries.cached_lookup(rows, spark.createDataFrame([("cco", "ethanol")], "smiles string, name string"), "smiles")
+    assert found.count() == 3 and [r["smiles"] for r in missing.collect()] == ["bad"]
+
+
+def test_models_are_saved(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "x double, y int")
+    data = ml.assembled(rows, ["x"], "y")
+    Pipeline(stages=[RandomForestClassifier(numTrees=2, seed=1)]).fit(data).write().overwrite().save(f"{tmp_path}/model")
+    assert PipelineModel.load(f"{tmp_path}/model").transform(data).count() == 40
