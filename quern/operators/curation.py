@@ -26,7 +26,7 @@ def conformed(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataF
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, by a map-side combined minimum where that order is ascending columns; NULL keys group too."""
+    """The first row of each key in the given order; NULL keys group too. The rank limit runs before the shuffle as well, so a task sends one row a key."""
     rest = [c for c in df.columns if c not in keys]
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_rn = 1").select(*keys, *rest)
@@ -114,3 +114,17 @@ def groups_of(edges: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             return labels.select("id", F.col("g").alias("group"))
+
+
+def containing(rows: DataFrame, body: str, terms: DataFrame, term: str, how: str = "inner", block: int = 2000) -> DataFrame:
+    """Rows whose ``body`` contains a term, as literal text: with the term (``how`` inner), or once each (left_semi; needs distinct rows).
+
+    The term table is counted and broadcast in blocks of about ``block`` rows, whatever its size; the rows are never shuffled.
+    """
+    n = max(1, -(-terms.count() // block))
+    dealt = terms.withColumn("_block", F.pmod(F.xxhash64(term), F.lit(n)).cast("int"))
+    out = None
+    for b in range(n):
+        part = rows.join(F.broadcast(dealt.where(F.col("_block") == b).drop("_block")), F.contains(body, term), how)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct() if how == "left_semi" and n > 1 else out
