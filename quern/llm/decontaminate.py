@@ -127,7 +127,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(run, schema)
+    return rows.transform(scratch.bounded).mapInArrow(run, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -166,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
-    hits = texts.mapInArrow(emit, "text_key bigint, pos int, code bigint, found array<bigint>").join(items, "code")
+    hits = texts.transform(scratch.bounded).mapInArrow(emit, "text_key bigint, pos int, code bigint, found array<bigint>").join(items, "code")
     slots = F.filter(F.arrays_zip("slots", "literals", "found"), lambda s: s["slots"])
     pairs = F.transform(slots, lambda s: F.struct(s["literals"].alias("a"), s["found"].alias("b")))
     lined = hits.groupBy("text_key", "item_id", "length", (F.col("pos") - F.col("at")).alias("shift")).agg(

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import scratch
 from quern.llm.words import hashed, mixed, windows, words
 
 BITS = 64
@@ -49,7 +50,7 @@ def fingerprinted(docs: DataFrame, text_col: str = "text", out_col: str = "finge
             prints = pa.array([simhash(t.as_py()) for t in b.column(text_col)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, prints], names=[*b.schema.names, out_col])
 
-    return kept.mapInArrow(run, _with(kept, f"{out_col} bigint"))
+    return kept.transform(scratch.bounded).mapInArrow(run, _with(kept, f"{out_col} bigint"))
 
 
 def _with(df: DataFrame, ddl: str):
@@ -116,9 +117,9 @@ def neighbours(docs: DataFrame, buckets: int) -> DataFrame:
             at[np.asarray(ids.is_null())] = 0
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *b.columns], names=["bucket", *b.schema.names])
 
-    heads = docs.select("doc_id").mapInArrow(place, "bucket int, doc_id bigint").groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect()
+    heads = docs.select("doc_id").transform(scratch.bounded).mapInArrow(place, "bucket int, doc_id bigint").groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).collect()
     heads.sort(key=lambda r: r["bucket"])
-    placed = docs.mapInArrow(place, "bucket int, doc_id bigint, text string").select("bucket", F.lit(False).alias("ghost"), "doc_id", "text")
+    placed = docs.transform(scratch.bounded).mapInArrow(place, "bucket int, doc_id bigint, text string").select("bucket", F.lit(False).alias("ghost"), "doc_id", "text")
     after = [(a["doc_id"], b["bucket"]) for a, b in zip(heads, [heads[-1], *heads[:-1]])] if heads else []
     ghosts = docs.sparkSession.createDataFrame(after, "head bigint, bucket int")
     ghosts = docs.join(F.broadcast(ghosts), F.expr("doc_id <=> head")).select("bucket", F.lit(True).alias("ghost"), "doc_id", "text")
@@ -156,4 +157,4 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint bigint, edited_fingerprint bigint, near_edited double, near_next double"
-    return neighbours(docs, buckets).mapInArrow(run, schema)
+    return neighbours(docs, buckets).transform(scratch.bounded).mapInArrow(run, schema)

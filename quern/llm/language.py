@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import scratch
+
 DIM = 1024
 #: Prototypes are bundled from at most this many labelled rows, those with the smallest hash of the id.
 FIT_ROWS = 20_000
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM
         for lang, s in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "sums": pa.array([s.tolist()], pa.list_(pa.float64()))})
 
-    parts = training_rows(docs, train, fit_rows).mapInArrow(bundle, "lang string, sums array<double>")
+    parts = training_rows(docs, train, fit_rows).transform(scratch.bounded).mapInArrow(bundle, "lang string, sums array<double>")
     summed = parts.select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
     for r in summed.collect():
@@ -146,4 +148,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 langs.append(names[k]), scores.append(float(e[k] / e.sum()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(scratch.bounded).mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm import scratch
+
 # Wordings of public licenses and of the usual notices. <...> stands for up to MAX_SLOT words of any kind.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -178,4 +180,4 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, max_di
             out = [[dict(zip(("license", "wording", "start", "end", "gain", "exact", "differences"), (n, w, s, e, g, not d, d))) for n, w, s, e, g, d in scanner.scan(t.as_py())] for t in b.column(text_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], names=[*b.schema.names, "licenses"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(scratch.bounded).mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sig array<bigint>")
+    return rows.transform(scratch.bounded).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sig array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -116,7 +116,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                     us.append(u.as_py()), vs.append(v.as_py())
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    return both.select("u", "v", "a", "b").transform(scratch.bounded).mapInArrow(run, "u bigint, v bigint")
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -127,7 +127,7 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t.as_py(), size).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id bigint, members array<bigint>")
+    return texts.select("doc_id", "text").transform(scratch.bounded).mapInArrow(run, "id bigint, members array<bigint>")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -57,9 +57,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scratch.written(fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text")), "op2")
     asked = F.col("doc_id") % 20 == 0
     near = fingerprints.within(found.where(asked), found)
-    near = near.groupBy(F.col("fingerprint").alias("near_to")).agg((F.sum("copies") - 1).alias("n"))
-    joined = found.join(near, asked & (F.col("fingerprint") == F.col("near_to")), "left")
-    return joined.select(*found.columns, F.col("n").alias("n_within_3_bits"))
+    near = near.groupBy("fingerprint").agg((F.sum("copies") - 1).alias("n_within_3_bits"))
+    joined = found.where(asked).join(near.hint("merge"), "fingerprint", "left").select(*found.columns, "n_within_3_bits")
+    return joined.unionByName(found.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most BATCH_BYTES, so that long texts don't fill a Python worker."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here, a lost executor costs a re-read."""
     spark = df.sparkSession

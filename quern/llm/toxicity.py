@@ -46,7 +46,7 @@ class _Fold(dict):
             out = ""
         else:
             out = "".join(c if c.isalnum() else " " for c in base) or " "
-        if len(self) < 100_000:
+        if len(self) < 20_000:
             self[code] = out
         return out
 
@@ -155,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
                     c = seen.setdefault(p, [0, 0, 0, 0])
                     c[y] += 1
                     c[2 + y] += n
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield flush()
         yield flush()
 
     cost = min(1.0, LEAST_LIFT * n_pos / max(1, n_neg))
-    counted = sample.mapInArrow(count, "pattern string, neg bigint, pos bigint, neg_n bigint, pos_n bigint").groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "neg_n", "pos_n")])
+    counted = sample.transform(scratch.bounded).mapInArrow(count, "pattern string, neg bigint, pos bigint, neg_n bigint, pos_n bigint").groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "neg_n", "pos_n")])
     counted = counted.where(F.col("pos") >= 2).withColumn("worth", F.col("pos") - F.lit(cost) * F.col("neg")).where("worth > 0").orderBy(F.desc("worth"), "pattern").limit(MAX_CANDIDATES)
     candidates = {r["pattern"]: r for r in counted.collect()}
     names = list(candidates)
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
             found = [sorted(number[p] for p in _patterns(t.as_py()) if p in number) for t in b["text"]]
             yield pa.RecordBatch.from_pydict({"found": pa.array(found, pa.list_(pa.int32()))})
 
-    rows = [r["found"] for r in sample.where("toxic = 1").select("text").mapInArrow(matched, "found array<int>").collect()]
+    rows = [r["found"] for r in sample.where("toxic = 1").select("text").transform(scratch.bounded).mapInArrow(matched, "found array<int>").collect()]
     words = sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()
     per = {r["toxic"]: max(1, r["n"]) for r in words}
     odds = lambda r: math.log((r["pos_n"] + 0.5) / per[1]) - math.log((r["neg_n"] + 0.5) / per.get(0, 1))
@@ -194,10 +194,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
                 out.append((w, words, sorted(near)))
             yield pa.RecordBatch.from_pydict({"w": pa.array([x[0] for x in out], pa.float64()), "words": pa.array([x[1] for x in out], pa.int64()), "near": pa.array([x[2] for x in out], pa.list_(pa.string())), "toxic": b["toxic"].cast(pa.int32())})
 
-    near = sample.mapInArrow(context, "w double, words bigint, near array<string>, toxic int").withColumn("p", F.explode("near"))
+    near = sample.transform(scratch.bounded).mapInArrow(context, "w double, words bigint, near array<string>, toxic int").withColumn("p", F.explode("near"))
     learned = near.groupBy("p").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos = 0 and n >= 3").orderBy(F.desc("n"), "p").limit(MAX_ENTRIES).collect()
     draft.exceptions |= {r["p"] for r in learned}
-    scored = sample.mapInArrow(context, "w double, words bigint, near array<string>, toxic int").groupBy("w", "words", "toxic").count().collect()
+    scored = sample.transform(scratch.bounded).mapInArrow(context, "w double, words bigint, near array<string>, toxic int").groupBy("w", "words", "toxic").count().collect()
     return _calibrated(draft, [(r["w"], r["words"], r["toxic"], r["count"]) for r in scored])
 
 
@@ -272,4 +272,4 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: st
                 out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
 
-    return docs.drop(out_col).mapInArrow(run, schema)
+    return docs.drop(out_col).transform(scratch.bounded).mapInArrow(run, schema)

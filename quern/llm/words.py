@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker keeps; the memory starts anew when it is full.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 _hashes: dict[bytes, int] = {}
 
 
