@@ -221,9 +221,9 @@ SMILES_STOP = ["the", "and", "for", "what", "how", "sweet", "predict"]
 
 
 def smiles_candidates(c: Column) -> Column:
-    """Distinct tokens of at least three characters that could be molecule strings: letters and bond signs with a digit, bracket or =."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![\w])[A-Za-z0-9@+\-\[\]()=#$/\\%.]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda x: F.regexp_like(x, F.lit(r"[=()\[\]#]")) & ~F.lower(x).isin(SMILES_STOP)))
+    """Distinct words of at least three characters that could be molecule strings: letters, digits and bond signs, with a bracket, = or #."""
+    form, sign = F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$/\\%.]{3,}$"), F.lit(r"[=()\[\]#]")
+    return F.array_distinct(F.filter(F.split(c, " "), lambda x: F.regexp_like(x, form) & F.regexp_like(x, sign) & ~F.lower(x).isin(SMILES_STOP)))
 
 
 def chunks(c: Column, size: int, overlap: int) -> Column:

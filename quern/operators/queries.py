@@ -107,3 +107,12 @@ def reference_window(score: Column, least: int, most: int) -> Column:
     least, most = max(1, least), max(1, least, most)
     to = lambda more: F.lit(max(least, min(most, least + more)))
     return F.when(score < 0.20, to(5)).when(score < 0.30, to(15)).when(score < 0.55, to(25)).otherwise(F.lit(most))
+
+
+def related_terms(term: Column, dictionaries: Sequence[Mapping[str, Sequence[str]]] = (SWEETENERS, CONCEPTS)) -> Column:
+    """Synonyms of the standard term that ``term`` names or is a synonym of, as listed; an empty array for others."""
+    index = reverse_index(*dictionaries)
+    lists = {k: v for d in reversed(dictionaries) for k, v in d.items()}
+    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(x) for x in lists[s]]).alias("v")) for t, s in index.items()])
+    low = F.lower(term)
+    return F.coalesce(F.get(F.filter(entries, lambda e: e["t"] == low), F.lit(0))["v"], F.array().cast("array<string>"))

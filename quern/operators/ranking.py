@@ -116,3 +116,21 @@ def packed(chunks: DataFrame, key: str, budget: int) -> DataFrame:
 
     folded = rows.select(key, F.aggregate("rows", start, step)["taken"].alias("taken"))
     return folded.select(key, F.explode("taken").alias("r")).select(key, "r.ref_no", "r.chunk_no", "r.n")
+
+
+def references(papers: DataFrame, catalog: DataFrame, dataset_name: str = "dataset") -> DataFrame:
+    """``papers(file_path, filename, score)`` with what ``catalog(file_path, title, journal, year, doi)`` knows of them.
+
+    Known papers get defaults for absent fields; unknown ones are named by their file, and files or folders named like datasets are marked so.
+    """
+    known = catalog.select(F.col("file_path").alias("_path"), *[F.col(c).alias(f"_{c}") for c in ("title", "journal", "year", "doi")])
+    j = papers.join(known, F.col("file_path") == F.col("_path"), "left")
+    has = F.col("_path").isNotNull()
+    named = F.lower("file_path").contains(dataset_name + "s") | F.lower("filename").contains(dataset_name)
+    return j.select(
+        "file_path", "filename", "score",
+        F.when(has, F.coalesce("_title", F.lit("Unknown Title"))).otherwise(F.col("filename")).alias("title"),
+        F.when(has, F.coalesce("_journal", F.lit("Unknown Journal"))).when(named, "dataset").otherwise("Unknown").alias("journal"),
+        F.when(has, F.coalesce("_year", F.lit("N/A"))).otherwise("N/A").alias("year"),
+        F.when(has, F.coalesce("_doi", F.lit("Not Available"))).otherwise("Not Available").alias("doi"),
+    )

@@ -160,7 +160,7 @@ def j23r(t: Tables) -> DataFrame:
     return metrics.released(metrics.gates(t.sql(_RUNS).selectExpr("metric", "double(current) current", "double(baseline) baseline")))
 
 
-@query("e15_k3_stratified_split")
+@query("e15_k3_stratified_split", "WITH n AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), c AS (SELECT p_type, n, CAST(round(n * 0.7) AS BIGINT) AS a, CAST(round(n * 0.15) AS BIGINT) AS b FROM n) SELECT p_type, unnest(['train', 'val', 'test']) AS split, unnest([a, b, n - a - b]) AS n FROM c")
 def k3(t: Tables) -> DataFrame:
     split = ml.stratified(t.part.select("p_partkey", "p_type"), "p_partkey", "p_type")
     return split.groupBy("p_type", "split").agg(F.count("*").alias("n"))

@@ -282,3 +282,24 @@ def i3(t: Tables) -> DataFrame:
 @query("c16_term_counts", f"WITH q AS ({QUESTIONS}) SELECT id, ({_has('question', ['stevia', 'monk', 'sugar'])})::INT AS terms FROM q")
 def c16(t: Tables) -> DataFrame:
     return t.sql(QUESTIONS).select("id", text.count_contained(F.col("question"), ["stevia", "monk", "sugar"]).alias("terms"))
+
+
+_RELATED = "CASE lower(w) " + " ".join(f"WHEN '{t}' THEN '{'|'.join({**q.CONCEPTS, **q.SWEETENERS}[s])}'" for t, s in q.INDEX.items()) + " ELSE '' END"
+_ASKED_TERMS = "SELECT n_nationkey AS id, CASE CAST(n_nationkey % 5 AS INT) WHEN 0 THEN 'Glucose' WHEN 1 THEN 'stevia' WHEN 2 THEN '甜味' WHEN 3 THEN 'nothing' ELSE 'apm' END AS w FROM {nation}"
+
+
+@query("j3_related_terms", f"SELECT id, {_RELATED} AS terms FROM ({_ASKED_TERMS})")
+def j3(t: Tables) -> DataFrame:
+    return t.sql(_ASKED_TERMS).select("id", F.array_join(q.related_terms(F.col("w")), "|").alias("terms"))
+
+
+_SEEN = f"SELECT id, coalesce(file_path, '') || CAST(id AS STRING) AS file_path, filename, CAST(id % 97 AS DOUBLE) / 97 AS score, title, journal, year, doi FROM ({PAPERS})"
+
+
+@query("j11_references", f"""WITH p AS ({_SEEN}), c AS (SELECT * FROM p WHERE id % 3 = 0) SELECT p.id, CASE WHEN c.id IS NOT NULL THEN coalesce(c.title, 'Unknown Title') ELSE p.filename END AS title,
+CASE WHEN c.id IS NOT NULL THEN coalesce(c.journal, 'Unknown Journal') WHEN contains(lower(p.file_path), 'datasets') OR contains(lower(p.filename), 'dataset') THEN 'dataset' ELSE 'Unknown' END AS journal,
+CASE WHEN c.id IS NOT NULL THEN coalesce(c.year, 'N/A') ELSE 'N/A' END AS year, CASE WHEN c.id IS NOT NULL THEN coalesce(c.doi, 'Not Available') ELSE 'Not Available' END AS doi FROM p LEFT JOIN c ON p.file_path = c.file_path""")
+def j11(t: Tables) -> DataFrame:
+    seen = t.sql(_SEEN)
+    out = ranking.references(seen.select("file_path", "filename", "score"), seen.where("id % 3 = 0"))
+    return out.join(seen.select("id", "file_path"), "file_path").select("id", "title", "journal", "year", "doi")

@@ -179,7 +179,7 @@ def h23(t: Tables) -> DataFrame:
     return t.sql(ANSWERS).select("id", (text.count_contained(F.col("answer"), _WORDS) / F.lit(float(len(_WORDS)))).alias("hit_rate"))
 
 
-@query("h24_smiles_candidates")
+@query("h24_smiles_candidates", rf"WITH r AS ({REQUESTS}) SELECT id, coalesce(array_to_string(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Za-z0-9@+\-\[\]()=#$/\\%.]{{3,}}$') AND regexp_matches(x, '[=()\[\]#]')), ' '), '') AS found FROM r")
 def h24(t: Tables) -> DataFrame:
     return t.sql(REQUESTS).select("id", F.array_join(text.smiles_candidates(F.col("text")), " ").alias("found"))
 

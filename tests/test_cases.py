@@ -278,3 +278,30 @@ def test_models_are_saved(spark, tmp_path):
     data = ml.assembled(rows, ["x"], "y")
     Pipeline(stages=[RandomForestClassifier(numTrees=2, seed=1)]).fit(data).write().overwrite().save(f"{tmp_path}/model")
     assert PipelineModel.load(f"{tmp_path}/model").transform(data).count() == 40
+
+
+def test_domains_load_once(spark):
+    import threading
+
+    from quern.operators.runtime import Domains
+
+    calls = []
+
+    def load():
+        calls.append(1)
+        return spark.range(2)
+
+    def fail():
+        raise OSError("no index")
+
+    domains = Domains({"a": load, "b": fail, "c": lambda: None, "d": load})
+    threads = [threading.Thread(target=domains.get, args=("a",)) for _ in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(calls) == 1
+    for name, error in (("b", OSError), ("c", LookupError)):
+        with pytest.raises(error):
+            domains.get(name)
+    assert {r["domain"]: r["state"] for r in domains.snapshot(spark).collect()} == {"a": "ready", "b": "failed", "c": "not_built", "d": "not_loaded"}
