@@ -66,8 +66,6 @@ CUE = re.compile(r"licen[sc]|copyright|permi(?:ssion|tted)|redistribut|free soft
 TOKEN = re.compile(r"\w+(?:[.\-/]\w+)*")
 #: Words of other wording that a <...> slot may hold, and the least share by which the best dictionaries must shrink a block.
 MAX_SLOT, LEAST_GAIN = 12, 0.08
-#: Dictionaries whose winners are confirmed by wording, in order of their gain.
-TRIED = 4
 LEVEL = 3
 
 
@@ -105,8 +103,8 @@ class Scanner:
         size = len(self.plain.compress(data))
         gains = sorted(((size - len(z.compress(data))) / max(1, len(" ".join(w))), i) for i, (_, _, w, z) in enumerate(self.items))[::-1]
         out = []
-        for gain, i in gains[:]:
-            if gain < LEAST_GAIN or len(out) >= TRIED:
+        for gain, i in gains:
+            if gain < LEAST_GAIN:
                 break
             name, no, wording, _ = self.items[i]
             for first, last, differences in self.matches(wording, [w for w, _, _ in words]):

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from quern.llm import chat, components, decontaminate, fingerprints, licenses, mixing, neardup, pii, toxicity
+from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, toxicity, urls
 
 
 def prose(rng, n, words=400):
@@ -217,3 +217,40 @@ def test_toxicity_learns_words(spark):
     assert " zork" in lexicon.weights or " zork " in lexicon.weights
     found = toxicity.score(docs, lexicon).collect()
     assert sum((r["score"] >= 0.5) == (r["doc_id"] % 6 == 0) for r in found) >= 597
+
+
+def test_language_profiles_tell_alphabets_apart(spark):
+    rng = random.Random(11)
+    letters = {"aa": "etaoinshr", "bb": "eñaoslcióu", "cc": "éèençuoit", "dd": "абвгдежзи"}
+    write = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows = [(i, write(k := rng.choice(list(letters)), rng.randint(8, 60)), k) for i in range(400)] + [(1000, "12 34 !", "aa"), (1001, None, "bb"), (1002, write("aa", 20), None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df.select("doc_id", "text"), language.fit(df, F.col("doc_id") % 5 != 0)).collect()}
+    held = [(found[i][0], k) for i, _, k in rows[:400] if i % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.98 * len(held)
+    assert found[1000] == ("und", 0.0) and found[1001] == ("und", 0.0) and found[1002][0] == "aa"
+
+
+def test_rules_as_brute_force(spark):
+    rng = random.Random(12)
+    part = lambda: rng.choice(["a", "b", "cc", "com", "net"])
+    rules = sorted({(".".join(part() for _ in range(rng.randint(1, 3))), "/" + "".join(rng.choice(["x/", "y/", "x", "yy"]) for _ in range(rng.randint(0, 3)))): rng.choice(["allow", "block"]) for _ in range(60)}.items())
+    pages = [(i, rng.choice(["http://", "https://", ""]) + ".".join(part() for _ in range(rng.randint(1, 4))) + rng.choice(["", "/", "/x/y/", "/x/yy/x?y", "/yyx#a", "/x/x/x"])) for i in range(300)]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules], "host string, path string, verdict string")
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    for most in (1000, 0):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, table, "allow", most).collect()}
+        for i, u in pages:
+            rest = u.partition("://")[2]
+            host = re.split("[/?#]", rest)[0].lower() if "://" in u else ""
+            path = re.split("[?#]", rest[len(host):])[0] if "://" in u else ""
+            fits = [(len(h + p), len(h), h + p, v) for (h, p), v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            best = max(fits)[:2] if fits else None
+            want = {(r, v) for n, k, r, v in fits if (n, k) == best} if fits else {(None, "allow")}
+            assert got[i] in want, (u, got[i], want)
+
+
+def test_many_licenses_in_one_block():
+    lines = [w for wordings in licenses.TEMPLATES.values() for w in wordings if len(w) < 120]
+    text = " and ".join(lines)
+    assert len(licenses.Scanner().scan(text)) == len(lines)
