@@ -26,8 +26,8 @@ def _head(role: Column) -> Column:
 def paths(nodes: DataFrame, max_paths: int | None = None) -> DataFrame:
     """Root-to-leaf paths of ``nodes(tree, node, parent, score)`` as rows ``tree, leaf, rank, node, depth`` (leaf: depth 0).
 
-    Iterative self-joins: round k joins the paths found so far with each node's ancestor 2^k levels up and doubles
-    those pointers, so a chain of a million replies takes 20 rounds and every round carries keys only. A path's score is the mean
+    Iterative self-joins: pointers to the ancestor 2^k levels up are doubled until none is left; then round k joins the paths
+    found so far with those pointers. A chain of a million replies takes 20 rounds, and every round carries keys only. A path's score is the mean
     score of its nodes (null: 0); paths of a tree rank by score, then by leaf, and ``max_paths`` keeps the best.
     A parent that the tree lacks makes its child a root. Nodes on or below a cycle reach no root and are left out.
     Null tree or node: left out. A repeated (tree, node) counts once, with its smallest parent.
@@ -37,23 +37,20 @@ def paths(nodes: DataFrame, max_paths: int | None = None) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"))
     jump = scratch.written(nodes.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "chat-up")
     inner = jump.select("tree", F.col("up").alias("node")).distinct()
-    found = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("depth"))
-    step, most, left, old = 1, None, jump.limit(1).count(), []
-    while left:
-        far = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + step).alias("depth"))
-        found = scratch.written(found.unionByName(far), "chat-paths")
-        twice = jump.alias("a").join(jump.alias("b"), F.expr("a.tree = b.tree and a.up = b.node")).select("a.tree", "a.node", "b.up")
-        old.append(jump)
-        jump = scratch.written(twice, "chat-up")
-        step *= 2
-        left = jump.limit(1).count()
-        if left and step > 64:  # a very deep tree, or a cycle: no path is longer than its table
+    jumps, most = [jump], None  # ancestors 1, 2, 4, ... levels up
+    while jumps[-1].limit(1).count():
+        if len(jumps) > 6:  # a very deep tree, or a cycle: no path is longer than its table
             most = most or nodes.count()
-            if step > most:
+            if 2 ** (len(jumps) - 1) > most:
                 break
-    if left:
-        found = found.join(jump.select("tree", F.col("node").alias("leaf")).distinct(), ["tree", "leaf"], "left_anti")
-    scratch.drop(*old)
+        twice = jumps[-1].alias("a").join(jumps[-1].alias("b"), F.expr("a.tree = b.tree and a.up = b.node")).select("a.tree", "a.node", "b.up")
+        jumps.append(scratch.written(twice, "chat-up"))
+    endless = jumps.pop().select("tree", F.col("node").alias("leaf")).distinct()
+    leaves = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("depth"))
+    found = leaves.join(endless, ["tree", "leaf"], "left_anti")
+    for k, jump in enumerate(jumps):
+        far = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
+        found = scratch.written(found.unionByName(far), "chat-paths")
     ranked = found.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if max_paths is not None:
