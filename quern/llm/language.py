@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import scratch
+from quern.llm.sampling import smallest_hashes
 
 DIM = 1024
 #: Prototypes are bundled from at most this many labelled rows, those with the smallest hash of the id.
@@ -84,8 +85,7 @@ class Encoder:
 
 def training_rows(docs: DataFrame, train: Column, fit_rows: int) -> DataFrame:
     """``text, lang`` of at most ``fit_rows`` rows with a language and a text where ``train`` holds, by hash of the id."""
-    ids = docs.where("doc_id is not null and lang is not null and text is not null").where(train).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    ids = smallest_hashes(docs.where("doc_id is not null and lang is not null and text is not null").where(train).select("doc_id"), "doc_id", fit_rows)
     return docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
+from quern.llm.sampling import smallest_hashes
 
 #: The lexicon and its calibration are fitted on at most this many labelled rows, those with the smallest hash of the id.
 FIT_ROWS = 20_000
@@ -121,7 +122,7 @@ def _patterns(text: str | None) -> dict[str, int]:
 def training_rows(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int) -> DataFrame:
     """``text, toxic`` of the labelled rows to fit on: at most ``fit_rows``, by hash of the id. An id labelled twice counts as toxic if one label is 1."""
     chosen = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    chosen = smallest_hashes(chosen, "doc_id", fit_rows)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 

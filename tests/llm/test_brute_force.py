@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, toxicity, urls
+from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, sampling, toxicity, urls
 
 
 def prose(rng, n, words=400):
@@ -254,3 +254,11 @@ def test_many_licenses_in_one_block():
     lines = [w for wordings in licenses.TEMPLATES.values() for w in wordings if len(w) < 120]
     text = " and ".join(lines)
     assert len(licenses.Scanner().scan(text)) == len(lines)
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    ids = spark.range(5000).select(F.col("id").alias("doc_id"))
+    want = [r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(300).collect()]
+    for n in (1, 9):
+        assert [r[0] for r in sampling.smallest_hashes(ids.repartition(n), "doc_id", 300).collect()] == want
+    assert sampling.smallest_hashes(ids.unionByName(ids), "doc_id", 9000).count() == 5000
