@@ -42,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data in texts replaced by the kind in brackets; n_chars follows the new text."""
-    model = pii.fit(scratch.written(pii.labelled(docs.select("text")).select("candidates").where(F.size("candidates") > 0), "pipeline-pii"))
+    model = pii.fit(scratch.written(pii.labelled(docs.select("text")).select("candidates"), "pipeline-pii"))
     return pii.redacted(docs, model).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
