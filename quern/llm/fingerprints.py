@@ -89,7 +89,8 @@ def within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks:
     first: Column = F.lit(None).cast("tinyint")
     for i, m in reversed(list(enumerate(chosen))):
         first = F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(i).cast("tinyint")).otherwise(first)
-    near = asked.alias("a").join(held.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.bit_count(x) <= radius) & (F.col("a.t") == first))
+    # sizes are estimated before the explode, so a broadcast would be larger than its limit: the join is told to shuffle
+    near = asked.alias("a").hint("merge").join(held.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.bit_count(x) <= radius) & (F.col("a.t") == first))
     return near.select(F.col("q").alias("fingerprint"), "other", F.bit_count(x).cast("int").alias("distance"), "copies")
 
 
