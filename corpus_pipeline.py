@@ -28,11 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the smallest id's. Of rows that repeat an id the one with the least text stays; rows with a null id all stay."""
-    kept = neardup.groups(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One row of each near-duplicate group: the smallest id's. Of rows that repeat an id the one with the least text stays, and only it is compared; rows with a null id all stay."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text", "source", "lang", "n_chars")).alias("r"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    one = scratch.written(one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]), "pipeline-ids")
+    kept = neardup.groups(one.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY).where("kept").select("doc_id")
+    return one.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,14 @@ def signature(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), packed.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, text``: with the id, the 128-bit digest names a text, also where an id repeats."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
+
+
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands, sig`` of every row; an empty set has null in the last three."""
+    """``doc_id, text_key, n_shingles, set_key, bands, sig`` of every row; an empty set has null in the last three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,12 +76,11 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 x, y = signature(minima(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes())), bands.append(x), sig.append(y)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "sig"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.transform(scratch.bounded).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sig array<bigint>")
+    return keyed(docs).transform(scratch.bounded).mapInArrow(run, "doc_id bigint, text_key binary, n_shingles bigint, set_key binary, bands array<bigint>, sig array<bigint>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -101,7 +106,7 @@ def floor_of(threshold: float) -> float:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full shingle sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, t = (None, None)
@@ -120,52 +125,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """``id, members``: the whole shingle set of every row of ``texts(doc_id, text)``."""
+    """``id, members``: the whole shingle set of every row of ``texts(id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), size).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
-    return texts.select("doc_id", "text").transform(scratch.bounded).mapInArrow(run, "id bigint, members array<bigint>")
+    return texts.select("id", "text").transform(scratch.bounded).mapInArrow(run, "id bigint, members array<bigint>")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)`` by distinct ``size``-word shingles (A-Z lower-cased words).
 
-    Documents link when 100 * intersection >= percent * union of their sets; components of links are groups. Returns
-    ``doc_id, n_shingles, component_id`` (smallest doc_id reachable), ``kept`` (doc_id = component_id), one row for each input row.
+    Rows link when 100 * intersection >= percent * union of their sets; components of links are groups. Returns
+    ``doc_id, n_shingles, component_id`` (smallest doc_id of the group), ``kept`` (doc_id = component_id), one row for each input row.
 
     Null or wordless texts have empty sets and link with nothing. A null doc_id links with nothing, has a null
-    component and stays. Ids are keys: of rows that repeat an id with different texts each links through equal sets, and the one
-    with the smallest set key through near ones. Other columns are ignored; an empty table gives no rows.
+    component and stays. Of rows that repeat an id with different texts each links by its own set, and the id alone links
+    none of them, so they may differ in component. Other columns are ignored; an empty table gives no rows.
 
-    Equal sets collapse to their smallest id first. Every set then goes to its bucket's smallest member in each band,
+    Equal sets collapse to one numbered node first; its text is one of its smallest id's. Every node then goes to its bucket's smallest member in each band,
     never to all of them; the best partner by estimate is confirmed on full sets, then others that still join two components. At last, in
     buckets where components still differ, members outside of the bucket's main component meet all members of other ones, so no
     candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
     Pairs inside one component are never made, whatever a group's size.
     """
     rows = scratch.written(signed(docs, size), "near-sets")
-    reps = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.written(reps, "near-reps")
-    chosen = reps.groupBy("rep").agg(F.min("set_key").alias("set_key"))
-    nodes = rows.join(chosen.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = scratch.written(nodes.select("doc_id", "n", "bands", *[F.col("sig")[i].alias(f"s{i}") for i in range(LONGS)]), "near-nodes")
-    banded = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    least = F.min(F.struct("doc_id", "text_key")).alias("least")
+    nodes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    named = [F.monotonically_increasing_id().alias("id"), "set_key", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")]
+    nodes = scratch.written(nodes.select(*named, "n", "bands", *[F.col("sig")[i].alias(f"s{i}") for i in range(LONGS)]), "near-nodes")
+    reps = scratch.written(nodes.select("id", "set_key", "rep"), "near-reps")
+    banded = nodes.select("id", F.explode("bands").alias("key"))
     firsts = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1").select("key", "rep")
     shared = scratch.written(banded.join(firsts, "key"), "near-shared")  # rows of buckets with company
-    company = shared.select(F.col("id").alias("doc_id")).distinct()
-    texts = scratch.written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(company, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    least, share = floor_of(percent / 100), percent / 100
-    sigs = nodes.select("doc_id", "n", *[f"s{i}" for i in range(LONGS)])
+    company = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_key")
+    texts = keyed(docs).where("text is not null").join(company, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    texts = scratch.written(texts.select("id", "text"), "near-texts")
+    lowest, share = floor_of(percent / 100), percent / 100
+    sigs = nodes.select("id", "n", *[f"s{i}" for i in range(LONGS)])
 
     def likely(a: str, b: str) -> Column:
         close = (F.col(f"{a}.n") >= F.col(f"{b}.n") * share) & (F.col(f"{b}.n") >= F.col(f"{a}.n") * share)
-        return close & (estimate(a, b) >= least)
+        return close & (estimate(a, b) >= lowest)
 
     stars = shared.where("id <> rep").select("id", "rep").distinct().alias("p")
-    stars = stars.join(sigs.alias("a"), F.expr("p.id = a.doc_id")).join(sigs.alias("b"), F.expr("p.rep = b.doc_id")).where(likely("a", "b"))
+    stars = stars.join(sigs.alias("a"), F.expr("p.id = a.id")).join(sigs.alias("b"), F.expr("p.rep = b.id")).where(likely("a", "b"))
     stars = scratch.written(stars.select(F.col("p.id").alias("u"), F.col("p.rep").alias("v"), estimate("a", "b").alias("est")), "near-stars")
     best = stars.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
     edges = scratch.written(confirmed(best, texts, size, percent), "near-edges")
@@ -179,14 +185,14 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     counts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
     mixed_ = scratch.written(member.join(mains, "key"), "near-mixed")
-    light = mixed_.join(sigs.withColumnRenamed("doc_id", "id"), "id")
+    light = mixed_.join(sigs, "id")
     few, all_ = light.where("c <> main").alias("a"), light.alias("b")
     cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c"))
     meets = cross & likely("a", "b")
     asking, asked = few.join(all_, meets, "left_semi").select("key", "id"), all_.join(few, meets, "left_semi").select("key", "id")
     live = scratch.written(asking.unionByName(asked).distinct().join(light, ["key", "id"]), "near-live")
-    sets = scratch.written(full_sets(texts.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "near-full")
-    live = live.join(nodes.select(F.col("doc_id").alias("id"), "bands"), "id").join(sets, "id")
+    sets = scratch.written(full_sets(texts.join(live.select("id").distinct(), "id", "left_semi"), size), "near-full")
+    live = live.join(nodes.select("id", "bands"), "id").join(sets, "id")
     few, all_ = live.where("c <> main").alias("a"), live.alias("b")
     once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.array_position(F.col("a.bands"), F.col("a.key"))
     turn = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
@@ -195,7 +201,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = few.join(all_, cross & turn & likely("a", "b") & once & alike).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
     found = components(edges.unionByName(more))
 
-    placed = reps.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    placed = reps.join(found, "id", "left").select("set_key", "rep", F.coalesce("component", "id").alias("c"))
+    placed = placed.join(placed.groupBy("c").agg(F.min("rep").alias("component")), "c").select("set_key", "component")
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     scratch.drop(shared, texts, stars, mixed_, nodes, sets)

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, sampling, toxicity, urls
 
 
@@ -44,6 +45,30 @@ def test_near_duplicates_link_as_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)}
 
 
+def test_sets_of_a_repeated_id_are_all_searched(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, 80) for _ in range(6)]
+    near = [" ".join(["Changed", *t.split()[1:]]) for t in texts]
+    alone = prose(rng, 80)
+    # the sixth text has a smaller id than 5, and a copy of it has the repeated id
+    rows = [(5, t) for t in texts] + [(20 + i, t) for i, t in enumerate(texts)] + [(40 + i, t) for i, t in enumerate(near)] + [(2, texts[5]), (60, alone)]
+    want = [(i, t, 2 if t in (texts[5], near[5]) else 60 if i == 60 else 5) for i, t in rows]
+    for seed in range(2):
+        rng.shuffle(rows)
+        found = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3 + seed), 2, 80).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == sorted((i, c, i == c) for i, _, c in want)
+
+
+def test_a_dropped_row_of_a_repeated_id_drops_no_other(spark):
+    rng = random.Random(37)
+    first, second, third = sorted(prose(rng, 80) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "Changed"])
+    rows = [(1, third), (5, first), (5, second), (5, third), (20, second), (21, near(second)), (22, near(first)), (23, third), (None, first)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in found} == {(1, third), (5, first), (20, second), (None, first)} and len(found) == 4
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
