@@ -15,7 +15,8 @@ from quern.llm import scratch
 from quern.llm.words import hashed, mixed, windows, words
 
 BITS = 64
-RADIUS, BLOCKS = 3, 6
+#: Near copies (5-word Jaccard of 0.8) differ in more than 3 bits as a rule.
+RADIUS, BLOCKS = 8, 10
 #: Weight of one word against that of a pair of neighbours.
 WORD_WEIGHT = 0.5
 
@@ -77,20 +78,20 @@ def within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks:
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("0 <= radius < blocks <= 64")
     chosen = masks(radius, blocks)
-    tables = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("t"), F.lit(m).cast("bigint").alias("m")) for i, m in enumerate(chosen)])
+    tables = F.array(*[F.lit(m).cast("bigint") for m in chosen])
 
     def dealt(df: DataFrame, name: str, *more: str) -> DataFrame:
-        rows = df.withColumn("e", F.explode(tables))
-        return rows.select(F.col("fingerprint").alias(name), *more, F.col("e.t").alias("t"), F.col("fingerprint").bitwiseAND(F.col("e.m")).alias("k"))
+        return df.select(F.col("fingerprint").alias(name), *more, F.explode(tables).alias("m"))  # a table is known by its mask
 
     asked = dealt(queries.where("fingerprint is not null").select("fingerprint").distinct(), "q")
     held = dealt(corpus.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("copies")), "other", "copies")
     x = F.col("q").bitwiseXOR(F.col("other"))
-    first: Column = F.lit(None).cast("tinyint")
-    for i, m in reversed(list(enumerate(chosen))):
-        first = F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(i).cast("tinyint")).otherwise(first)
+    first: Column = F.lit(None).cast("bigint")
+    for m in reversed(chosen):
+        first = F.when(x.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(m).cast("bigint")).otherwise(first)
+    key = (F.col("a.m") == F.col("b.m")) & (F.col("q").bitwiseAND(F.col("a.m")) == F.col("other").bitwiseAND(F.col("b.m")))
     # sizes are estimated before the explode, so a broadcast would be larger than its limit: the join is told to shuffle
-    near = asked.alias("a").hint("merge").join(held.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.bit_count(x) <= radius) & (F.col("a.t") == first))
+    near = asked.alias("a").hint("merge").join(held.alias("b"), key & (F.bit_count(x) <= radius) & (F.col("a.m") == first))
     return near.select(F.col("q").alias("fingerprint"), "other", F.bit_count(x).cast("int").alias("distance"), "copies")
 
 

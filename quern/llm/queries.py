@@ -53,12 +53,14 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document and of its edited text; for ids divisible by 20, how many other documents lie within 3 bits."""
+    """SimHash of every document and of its edited text; for ids divisible by 20, how many other documents lie within 3 and 8 bits, and their fingerprints, which doc_ids have in the same output."""
     found = scratch.written(fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text")), "op2")
     asked = F.col("doc_id") % 20 == 0
     near = fingerprints.within(found.where(asked), found)
-    near = near.groupBy("fingerprint").agg((F.sum("copies") - 1).alias("n_within_3_bits"))
-    joined = found.where(asked).join(near.hint("merge"), "fingerprint", "left").select(*found.columns, "n_within_3_bits")
+    others = F.sort_array(F.collect_list(F.struct("distance", F.col("other").alias("fingerprint"), "copies"))).alias("neighbours")
+    close = F.sum(F.when(F.col("distance") <= 3, F.col("copies"))) - 1
+    near = near.groupBy("fingerprint").agg(close.alias("n_within_3_bits"), (F.sum("copies") - 1).alias("n_within_8_bits"), others)
+    joined = found.where(asked).join(near.hint("merge"), "fingerprint", "left").select(*found.columns, "n_within_3_bits", "n_within_8_bits", "neighbours")
     return joined.unionByName(found.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True)
 
 

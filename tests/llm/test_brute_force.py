@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, sampling, toxicity, urls
+from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, queries, sampling, toxicity, urls
 
 
 def prose(rng, n, words=400):
@@ -93,6 +93,24 @@ def test_simhash_tables_find_all_within_radius(spark):
         assert found == want
 
 
+def test_fingerprint_search_returns_what_it_finds(spark, tmp_path):
+    rng = random.Random(41)
+    texts = []
+    for _ in range(20):
+        base = prose(rng, 150).split()
+        texts += [" ".join(base)] * 2 + [" ".join(w if rng.random() > share else "Changed" for w in base) for share in (0.02, 0.04, 0.06, 0.08) for _ in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [fingerprints.simhash(t) for t in texts]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    found = {r["doc_id"]: r for r in queries.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(found) == len(texts) and any(3 < apart(prints[0], p) <= 8 for p in prints)
+    for i in range(0, len(texts), 20):
+        want = sorted((d, p, prints.count(p)) for p in set(prints) if (d := apart(prints[i], p)) <= 8)
+        assert [tuple(n) for n in found[i]["neighbours"]] == want and found[i]["n_within_8_bits"] == sum(w[2] for w in want) - 1
+        assert found[i]["n_within_3_bits"] == sum(w[2] for w in want if w[0] <= 3) - 1
+    assert found[1]["neighbours"] is None and found[1]["fingerprint"] == prints[1]
+
+
 def test_edited_texts_follow_the_next_id(spark):
     rng = random.Random(9)
     rows = [(i * 3 - 20, rng.choice(["", "é🙂", None]) if i % 7 == 0 else prose(rng, rng.randint(1, 30)) + "é🙂") for i in range(60)]
