@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import scratch
 from quern.llm.components import components
-from quern.llm.words import hashed, mixed, windows, words
+from quern.llm.words import hashed, hashes, mixed, windows, words
 
 #: 42 bands of 6 minima miss a pair of similarity 0.8 with a probability of 3e-6; two bits of each minimum are kept.
 BANDS, ROWS, BITS = 42, 6, 2
@@ -29,7 +29,10 @@ _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32)[:, None] * np.uint32(2)
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words; of fewer words the whole sequence is one; without words empty."""
-    h = hashed(words(text))
+    return shingled(hashed(words(text)), size)
+
+
+def shingled(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(windows(h, min(size, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
@@ -67,8 +70,8 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, key, bands, sig = [], [], [], []
-            for t in b.column("text"):
-                s = shingles(t.as_py(), size)
+            for h in hashes(b.column("text")):
+                s = shingled(h, size)
                 n.append(len(s))
                 if not len(s):
                     key.append(None), bands.append(None), sig.append(None)
@@ -112,10 +115,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         last, t = (None, None)
         for batch in batches:
             us, vs = [], []
-            for u, v, a, b in zip(*(batch.column(c) for c in ("u", "v", "a", "b"))):
+            for u, v, a, b in zip(batch.column("u"), batch.column("v"), hashes(batch.column("a")), hashes(batch.column("b"))):
                 if v.as_py() != last:
-                    last, t = v.as_py(), shingles(b.as_py(), size)
-                s = shingles(a.as_py(), size)
+                    last, t = v.as_py(), shingled(b, size)
+                s = shingled(a, size)
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * common >= percent * (len(s) + len(t) - common):
                     us.append(u.as_py()), vs.append(v.as_py())
@@ -129,7 +132,7 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), size).view(np.int64) for t in b.column("text")]
+            sets = [shingled(h, size).view(np.int64) for h in hashes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
     return texts.select("id", "text").transform(scratch.bounded).mapInArrow(run, "id bigint, members array<bigint>")

@@ -55,20 +55,20 @@ def fold_of(doc_id: Column) -> Column:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and of its edited text; for ids divisible by 20, how many other documents lie within 3 and 8 bits, and their fingerprints, which doc_ids have in the same output."""
     found = scratch.written(fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text")), "op2")
-    asked = F.col("doc_id") % 20 == 0
-    near = fingerprints.within(found.where(asked), found)
-    others = F.sort_array(F.collect_list(F.struct("distance", F.col("other").alias("fingerprint"), "copies"))).alias("neighbours")
+    asked, prints = F.col("doc_id") % 20 == 0, found.select("doc_id", F.col("bits").alias("fingerprint"))
+    near = fingerprints.within(prints.where(asked), prints)
+    others = F.sort_array(F.collect_list(F.struct("distance", F.lower(F.lpad(F.hex("other"), 16, "0")).alias("fingerprint"), "copies"))).alias("neighbours")
     close = F.sum(F.when(F.col("distance") <= 3, F.col("copies"))) - 1
-    near = near.groupBy("fingerprint").agg(close.alias("n_within_3_bits"), (F.sum("copies") - 1).alias("n_within_8_bits"), others)
-    joined = found.where(asked).join(near.hint("merge"), "fingerprint", "left").select(*found.columns, "n_within_3_bits", "n_within_8_bits", "neighbours")
-    return joined.unionByName(found.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True)
+    near = near.groupBy(F.col("fingerprint").alias("bits")).agg(close.alias("n_within_3_bits"), (F.sum("copies") - 1).alias("n_within_8_bits"), others)
+    joined = found.where(asked).join(near.hint("merge"), "bits", "left").select(*found.columns, "n_within_3_bits", "n_within_8_bits", "neighbours")
+    return joined.unionByName(found.where(~F.coalesce(asked, F.lit(False))), allowMissingColumns=True).drop("bits")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names or units, with each item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = scratch.written(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "op3")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+    keyed = docs.select("doc_id", decontaminate.text_key(F.col("text")).alias("text_key"))
     return keyed.join(held, "text_key").select("doc_id", "item_id", F.col("covered").cast("bigint").alias("covered"), "share", F.col("altered").cast("bigint").alias("altered"))
 
 

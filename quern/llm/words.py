@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Word hashes that a worker keeps; the memory starts anew when it is full.
-MAX_WORDS = 150_000
-_hashes: dict[bytes, int] = {}
+_STEP = 0x9E3779B97F4A7C15
 
 
 def words(text: str | None) -> list[bytes]:
@@ -17,14 +19,29 @@ def words(text: str | None) -> list[bytes]:
 
 def hashed(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
-    if len(_hashes) > MAX_WORDS:
-        _hashes.clear()
-    get, new = _hashes.get, xxhash.xxh3_64_intdigest
-    out = [get(w) for w in found]
-    for i, h in enumerate(out):
-        if h is None:
-            out[i] = _hashes[found[i]] = new(found[i])
-    return np.array(out, np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All words of an Arrow array of texts, split and numbered outside of Python: the row and the word number of each, and the distinct words."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    flat = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at = flat.indices.to_numpy()
+    vocabulary = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in vocabulary:  # what stands before or after leading and trailing space
+        keep = at != vocabulary.index(b"")
+        row, at = row[keep], at[keep]
+    return row, at, vocabulary
+
+
+def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, as :func:`hashed` of :func:`words` gives them."""
+    row, at, vocabulary = tokens(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat = hashed(vocabulary)[at]
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        yield flat[a:b]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,10 +52,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words, in order."""
-    if len(h) < n:
+    """Hashes of all runs of ``n`` words, in order: polynomials put together from runs of 1, 2, 4, ... words."""
+    if len(h) < n or n < 1:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mixed(h[i : len(h) - n + 1 + i] + np.uint64(i))
-    return mixed(out)
+    run, width, out, done = mixed(h + np.uint64(_STEP)), 1, None, 0
+    while True:
+        power = np.uint64(pow(_STEP, width, 1 << 64))
+        if n & width:
+            if out is None:
+                out = run
+            else:
+                m = len(h) - done - width + 1
+                out = out[:m] * power + run[done : done + m]
+            done += width
+        if done == n:
+            return mixed(out)
+        run = run[: len(run) - width] * power + run[width:]
+        width *= 2

@@ -5,10 +5,11 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, queries, sampling, toxicity, urls
+from quern.llm import chat, components, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, queries, sampling, toxicity, urls, words
 
 
 def prose(rng, n, words=400):
@@ -102,13 +103,17 @@ def test_fingerprint_search_returns_what_it_finds(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     prints = [fingerprints.simhash(t) for t in texts]
     apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
-    found = {r["doc_id"]: r for r in queries.op2_fingerprints(spark, str(tmp_path)).collect()}
+    result = queries.op2_fingerprints(spark, str(tmp_path))
+    kinds = dict(result.dtypes)
+    assert (kinds["doc_id"], kinds["n_chars"], kinds["near_edited"], kinds["near_next"]) == ("bigint", "bigint", "double", "double")
+    assert kinds["fingerprint"] == kinds["edited_fingerprint"] == kinds["edited_sha256"] == "string"
+    found = {r["doc_id"]: r for r in result.collect()}
     assert len(found) == len(texts) and any(3 < apart(prints[0], p) <= 8 for p in prints)
     for i in range(0, len(texts), 20):
-        want = sorted((d, p, prints.count(p)) for p in set(prints) if (d := apart(prints[i], p)) <= 8)
+        want = sorted((d, fingerprints.hexed(p), prints.count(p)) for p in set(prints) if (d := apart(prints[i], p)) <= 8)
         assert [tuple(n) for n in found[i]["neighbours"]] == want and found[i]["n_within_8_bits"] == sum(w[2] for w in want) - 1
         assert found[i]["n_within_3_bits"] == sum(w[2] for w in want if w[0] <= 3) - 1
-    assert found[1]["neighbours"] is None and found[1]["fingerprint"] == prints[1]
+    assert found[1]["neighbours"] is None and found[1]["fingerprint"] == fingerprints.hexed(prints[1])
 
 
 def test_edited_texts_follow_the_next_id(spark):
@@ -120,10 +125,43 @@ def test_edited_texts_follow_the_next_id(spark):
         k = len(t) // 4
         e = t[: len(t) - k] + following[:k]
         assert found[i]["n_chars"] == len(t) and found[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
-        assert found[i]["fingerprint"] == fingerprints.simhash(t) and found[i]["edited_fingerprint"] == fingerprints.simhash(e)
+        assert found[i]["bits"] == fingerprints.simhash(t) and found[i]["fingerprint"] == fingerprints.hexed(fingerprints.simhash(t))
+        assert found[i]["edited_fingerprint"] == fingerprints.hexed(fingerprints.simhash(e))
         assert found[i]["near_next"] == fingerprints.likeness(fingerprints.simhash(t), fingerprints.simhash(following))
 
 
+def test_simhash_bits_by_plain_counting():
+    rng = random.Random(16)
+    for n in (1, 2, 3, 40, 300):
+        text = prose(rng, n, 30)
+        h = [int(x) for x in words.hashed(words.words(text))]
+        pairs = [int(words.windows(np.array(p, np.uint64), 2)[0]) for p in zip(h, h[1:])]
+        ones = [int(words.mixed(np.array([x], np.uint64))[0]) for x in h]
+        votes = [0.0] * 64
+        for terms, weight in ((ones, 0.5), (pairs, 1.0)):
+            for x in set(terms):
+                for bit in range(64):
+                    votes[bit] += weight * terms.count(x) ** 0.5 * (1 if x >> bit & 1 else -1)
+        print_ = fingerprints.simhash(text)
+        assert all((print_ >> bit & 1) == (v > 0) for bit, v in enumerate(votes) if abs(v) > 1e-3)
+    assert fingerprints.simhash("") == fingerprints.simhash(None) == fingerprints.simhash(" ") == 0
+
+
+def test_rows_of_one_id_or_none_spread_over_tasks(spark):
+    rng = random.Random(17)
+    rows = [(None if i % 2 else (7 if i % 3 else i), prose(rng, 6)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = fingerprints.neighbours(df, 16).where("not ghost").groupBy("bucket", "doc_id").count().collect()
+    assert sum(r["count"] for r in placed) == 900 and max(r["count"] for r in placed) < 120
+    found = fingerprints.edit_likeness(df).collect()
+    order = df.withColumn("tie", F.xxhash64("text")).orderBy("doc_id", "tie", "text").collect()
+    want = []
+    for a, b in zip(order, order[1:] + order[:1]):
+        e = fingerprints.edited(a["text"], b["text"])
+        want.append((a["doc_id"] is not None, a["doc_id"] or 0, fingerprints.simhash(a["text"]), hashlib.sha256(e.encode()).hexdigest()))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["bits"], r["edited_sha256"]) for r in found) == sorted(want)
+
+
 def test_apportion_is_sainte_lague():
     rng = random.Random(1)
     for _ in range(60):
@@ -227,21 +265,95 @@ def test_reparameterised_items_are_leaks(spark):
     told = "So it was. We know that {} bought {} apples and 7 pears at the market in Rome, then {} gave {} apples to Bob for 5 kg of flour. The end"
     rows = [(1, told.format("Anna", 12, "Anna", 12)), (2, told.format("Anna", 12, "Zoe", 13)), (3, told.format("Anna", 12, "Anna", 12).upper()), (4, "nothing of the kind")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    held = decontaminate.leaks(df, bench).join(df.withColumn("k", F.xxhash64("text")), F.col("k") == F.col("text_key"))
+    held = decontaminate.leaks(df, bench).join(df.withColumn("k", decontaminate.text_key(F.col("text"))), F.col("k") == F.col("text_key"))
     found = {r["doc_id"]: r["altered"] for r in held.collect()}
     assert found.get(1) == 6 and 2 not in found and 4 not in found
 
 
+def test_verbatim_items_of_any_length_are_leaks(spark):
+    rng = random.Random(15)
+    word = lambda: rng.choice(["Anna", "12", "kg", "ate", "the", "Rome", "3.5", "red", "fox", "of", "7kg", "Bob,", "end.", "why?", "so"])
+    items = ["big red fox", "yes", "12 Anna 7 Bob 9 kg Rome 14 Zoe 3 km 8 Lima 5 York", "Paris 9", "4 5 6 7 8 9 10 11 12 13"] + [" ".join(word() for _ in range(n)) for n in range(2, 30) for _ in range(2)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [f"{' '.join(word() for _ in range(rng.randint(0, 9)))} {t.upper() if i % 3 == 0 else t} {' '.join(word() for _ in range(rng.randint(0, 9)))}" for i, t in enumerate(items)] + ["quite another thing", "\n\n", "yes" * 3]
+    core = lambda t: [p for w in re.sub(r"(\d)([^\W\d_]{1,8})(?=\W|$)", r"\1 \2", t).split() if (p := w.strip(",.?").lower())]
+    inside = lambda a, b: any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    held = decontaminate.leaks(df, bench).join(df.withColumn("k", decontaminate.text_key(F.col("text"))), F.col("k") == F.col("text_key")).collect()
+    found = {(r["doc_id"], r["item_id"]): r for r in held}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if inside(core(item), core(t)):
+                assert found[d, i]["share"] == 1.0 and found[d, i]["covered"] == len(core(item)), (item, t)
+            elif len(core(item)) < 4:
+                assert (d, i) not in found, (item, t)
+    assert not any(d >= len(items) for d, _ in found)
+
+
+def wording_text(w):
+    return re.sub("<[^>]*>", "the University of Somewhere", w)
+
+
 def test_license_wordings():
     scanner = licenses.Scanner()
     for name, wordings in licenses.TEMPLATES.items():
         for w in wordings:
-            text = "before it. " + re.sub("<[^>]*>", "the University of Somewhere", w).replace(" ", "\n", 3) + " after it"
+            text = "before it. " + wording_text(w).replace(" ", "\n", 3) + " after it"
             assert [(f[0], f[5]) for f in scanner.scan(text)] == [(name, [])], (name, w)
     changed = licenses.TEMPLATES["MIT"][2].replace("merge", "fuse")
     assert [(f[0], f[5]) for f in scanner.scan(changed)] == [("MIT", ["-merge+fuse"])]
     assert scanner.scan("Licensed under CC BY 4.0.")[0][0] == "CC-BY-4.0"
     assert scanner.scan("the license of the copyright " * 500) == []
+    assert scanner.scan("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.") == []
+
+
+def test_any_one_word_of_a_wording_may_change():
+    scanner = licenses.Scanner()
+    seen = 0
+    for item in scanner.items:
+        text = wording_text(licenses.TEMPLATES[item.license][item.no])
+        spans = licenses.tokens(text)
+        place, at = {}, 0
+        for i, w in enumerate(item.words):
+            if w == "<>":
+                at += 4
+            else:
+                place[i] = at
+                at += 1
+        for i, k in place.items():
+            _, start, end = spans[k]
+            for new in ("otherwise", ""):
+                found = scanner.scan(f"so we say: {text[:start]}{new}{text[end:]} and that is it")
+                if item.changes and i not in item.fixed:
+                    assert [(f[0], len(f[5])) for f in found] == [(item.license, 1)], (item.license, item.no, item.words[i], new, found)
+                    seen += 1
+    assert seen > 1000
+
+
+def test_own_templates_need_no_cue_word():
+    own = {"X": ["Whoever reads these lines may sing them aloud wherever the sun shines."], "Y": ["take it"]}
+    scanner = licenses.Scanner(own)
+    assert [f[0] for f in scanner.scan("Hear: " + own["X"][0] + " Now take it, all.")] == ["X", "Y"]
+    assert [(f[0], f[5]) for f in scanner.scan(own["X"][0].replace("sing", "hum"))] == [("X", ["-sing+hum"])]
+    assert scanner.scan("Whoever reads these lines may go") == [] and licenses.Scanner({}).scan("take it") == []
+
+
+def test_alignment_is_the_least_number_of_changes():
+    rng = random.Random(18)
+
+    def least(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        n, first, last, edits = licenses.aligned(a, b)
+        assert n == least(a, b) == len(edits) and least(a, b[first:last]) == n
 
 
 def test_folding_and_exceptions():
