@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from quern.llm.sampling import smallest_hashes
 DIM = 1024
 #: Prototypes are bundled from at most this many labelled rows, those with the smallest hash of the id.
 FIT_ROWS = 20_000
+#: Their sums come to the driver.
+MAX_LANGUAGES = 2_000
 #: Trigram vectors that a worker keeps; the table starts anew when it is full.
 MAX_TRIGRAMS = 12_000
 _SPACE = 0
@@ -83,20 +86,37 @@ class Encoder:
         return out
 
 
+@dataclass
+class Profiles:
+    """A prototype for each language, and the mean of all languages, which is taken from prototypes and documents alike."""
+
+    prototypes: dict[str, np.ndarray] = field(default_factory=dict)
+    mean: np.ndarray | None = None
+
+
 def training_rows(docs: DataFrame, train: Column, fit_rows: int) -> DataFrame:
-    """``text, lang`` of at most ``fit_rows`` rows with a language and a text where ``train`` holds, by hash of the id."""
-    ids = smallest_hashes(docs.where("doc_id is not null and lang is not null and text is not null").where(train).select("doc_id"), "doc_id", fit_rows)
-    return docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
+    """``text, lang`` of ``fit_rows`` ids with a language and a text where ``train`` holds, by hash of the id; of an id's rows the one of least text and language."""
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(train)
+    ids = smallest_hashes(usable.select("doc_id"), "doc_id", fit_rows)
+    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang")
 
 
-def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM) -> dict[str, np.ndarray]:
-    """A prototype for each language: the bundle of its documents' unit vectors, less the mean of all languages.
+def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM) -> Profiles:
+    """Profiles of the languages of ``docs(doc_id, text, lang)``: bundles of the unit vectors of at most ``fit_rows`` rows where ``train`` holds.
 
-    Executors bundle; a vector of ``dim`` sums for each language comes to the driver. No fitting row: no prototype.
+    Executors bundle; a vector of ``dim`` sums for each language comes to the driver (ValueError over MAX_LANGUAGES). A language may be
+    any string, the empty one too. Repeated ids count once; null ids, languages and texts not at all. No fitting row: no prototype.
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dim), {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"lang": list(sums), "sums": pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))})
+            sums.clear()
+            return out
+
         for b in batches:
             for text, lang in zip(b["text"], b["lang"]):
                 v = encoder.encode(text.as_py())
@@ -104,29 +124,33 @@ def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM
                     s = sums.setdefault(lang.as_py(), np.zeros(dim + 1))
                     s[:dim] += v / max(1e-9, np.linalg.norm(v))
                     s[dim] += 1
-        for lang, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "sums": pa.array([s.tolist()], pa.list_(pa.float64()))})
+            if len(sums) > 200:
+                yield flush()
+        if sums:
+            yield flush()
 
     parts = training_rows(docs, train, fit_rows).transform(scratch.bounded).mapInArrow(bundle, "lang string, sums array<double>")
     summed = parts.select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
-    found: dict[str, np.ndarray] = {}
-    for r in summed.collect():
-        found.setdefault(r["lang"], np.zeros(dim + 1))[r["i"]] = r["v"]
-    unit = {k: v[:dim] / v[dim] for k, v in sorted(found.items()) if v[dim]}
-    mean = sum(unit.values()) / len(unit) if len(unit) > 1 else 0.0
-    return {k: v - mean for k, v in unit.items()} | ({"": mean} if len(unit) > 1 else {})
-
-
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    found = summed.limit((MAX_LANGUAGES + 1) * (dim + 1)).toArrow()
+    if found.num_rows > MAX_LANGUAGES * (dim + 1):
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    table = np.zeros((len(langs.dictionary), dim + 1))
+    table[langs.indices.to_numpy(), found.column("i").to_numpy()] = found.column("v").to_numpy()
+    unit = {k: table[i, :dim] / table[i, dim] for k, i in sorted((k, i) for i, k in enumerate(langs.dictionary.to_pylist())) if table[i, dim]}
+    mean = sum(unit.values()) / len(unit) if len(unit) > 1 else None
+    return Profiles({k: v if mean is None else v - mean for k, v in unit.items()}, mean)
+
+
+def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1: softmax over the cosines) by the whole text; one narrow pass, no shuffle.
 
-    Null text, or one without a letter: ``und`` and 0. Ties go to the first language. Without prototypes all is ``und``.
-    Columns that have these names are replaced; others stay as they are.
+    Null text, or one without a letter: ``und`` and 0. Ties go to the first language in code-point order. Without prototypes all is ``und``.
+    Repeated rows get the same answer; an empty table gives no rows. Columns that have these names are replaced; others stay as they are.
     """
-    mean = prototypes.get("")
-    names = [k for k in prototypes if k]
-    dim = len(next(iter(prototypes.values()))) if prototypes else DIM
-    matrix = np.array([prototypes[k] / max(1e-9, np.linalg.norm(prototypes[k])) for k in names], np.float32)
+    names, mean = list(profiles.prototypes), profiles.mean
+    dim = len(next(iter(profiles.prototypes.values()))) if names else DIM
+    matrix = np.array([v / max(1e-9, np.linalg.norm(v)) for v in profiles.prototypes.values()], np.float32)
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -23,6 +23,9 @@ FIT_ROWS = 20_000
 #: Candidates that come to the driver, and entries that a lexicon may have.
 MAX_CANDIDATES, MAX_ENTRIES = 20_000, 2_000
 PREFIXES = range(4, 9)
+#: Lengths of patterns inside runs of scripts that write no spaces between words.
+INNER = range(2, 5)
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
 #: How much likelier than any row a row with a pattern must be toxic, for the pattern to be worth an entry.
 LEAST_LIFT = 2.0
 #: Entries that each toxic row of the fit should match, where that many are worth it.
@@ -85,7 +88,7 @@ class Matcher:
     def hits(self, text: str) -> dict[int, tuple[float, str]]:
         """By a word's start, the heaviest pattern that matches there outside of exception phrases."""
         found: dict[int, tuple[float, str]] = {}
-        excepted: list[tuple[int, int]] = []
+        excepted: list[tuple[int, int]] = []  # they end in order
         if len(self.automaton):
             for end, (n, w, p) in self.automaton.iter(text):
                 start = end - n + 1
@@ -93,10 +96,18 @@ class Matcher:
                     excepted.append((start, end))
                 elif start not in found or w > found[start][0]:
                     found[start] = (w, p)
-        for a, b in excepted:
-            for at in [at for at in found if a <= at < b]:
-                del found[at]
-        return found
+        if not excepted:
+            return found
+        # one sweep over both in order of their starts
+        out, spans, upto = {}, iter(sorted(excepted)), -1
+        following = next(spans, None)
+        for at in sorted(found):
+            while following is not None and following[0] <= at:
+                upto = max(upto, following[1])
+                following = next(spans, None)
+            if at >= upto:
+                out[at] = found[at]
+        return out
 
 
 def feature(weight: float, words: int, exponent: float) -> float:
@@ -106,24 +117,33 @@ def feature(weight: float, words: int, exponent: float) -> float:
 def _rates(lexicon: Lexicon, text: str | None, matcher: Matcher) -> tuple[float, int, dict[int, tuple[float, str]], str]:
     t = folded(text)
     hits = matcher.hits(t)
-    return sum(w for w, _ in hits.values()), t.count(" ") - 1, hits, t
+    return sum(w for w, _ in hits.values()), _length(t), hits, t
+
+
+def _length(t: str) -> int:
+    """Words of a folded text; of runs without spaces between words, every two characters are one."""
+    return t.count(" ") - 1 + (sum(len(r) // 2 for r in _UNSPACED.findall(t)) if not t.isascii() else 0)
 
 
 def _patterns(text: str | None) -> dict[str, int]:
-    """How often each word and word beginning of the text occurs."""
+    """How often each word, word beginning and, of scripts without spaces, each run of two to four characters occurs."""
     out: dict[str, int] = {}
     for w, n in Counter(folded(text).split()).items():
-        if len(w) >= PREFIXES[0]:
-            for p in (f" {w} ", *(f" {w[:k]}" for k in PREFIXES if k <= len(w))):
-                out[p] = out.get(p, 0) + n
+        found = [f" {w} ", *(f" {w[:k]}" for k in PREFIXES if k <= len(w))]
+        if not w.isascii():
+            found += [r[i : i + k] for r in _UNSPACED.findall(w) for k in INNER for i in range(len(r) - k + 1)]
+        for p in found:
+            out[p] = out.get(p, 0) + n
     return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int) -> DataFrame:
-    """``text, toxic`` of the labelled rows to fit on: at most ``fit_rows``, by hash of the id. An id labelled twice counts as toxic if one label is 1."""
-    chosen = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = smallest_hashes(chosen, "doc_id", fit_rows)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    """``text, toxic`` of ``fit_rows`` labelled ids where ``train`` holds, by hash of the id. An id labelled twice counts as toxic if one label is 1;
+    of the rows of ``docs`` that repeat an id the one with the least text counts."""
+    chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(train).select("doc_id", (-F.col("toxic").cast("int")).alias("clean"))
+    chosen = smallest_hashes(chosen, "doc_id", fit_rows).select("doc_id", (-F.col("clean")).alias("toxic"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_ROWS, exceptions: Sequence[str] = ()) -> Lexicon:
@@ -132,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
     Patterns are words and word beginnings; those found in toxic rows and hardly in others enter greedily, each for the
     toxic rows that it adds. Weights are smoothed log odds. Word pairs round a hit that occur in clean rows only
     become exception phrases. Without a toxic row the lexicon is empty and every score is the share of toxic rows.
-    Executors count; at most MAX_CANDIDATES patterns and a row of three numbers for each fitted text come to the driver.
+    Null ids, labels and texts are left out; ``toxic`` may be any number type. Executors count; at most MAX_CANDIDATES patterns, and for each
+    of at most ``fit_rows`` fitted texts three numbers and the patterns of a toxic one come to the driver.
     """
     sample = scratch.written(training_rows(docs, labels, train, fit_rows), "toxic-fit")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -188,9 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
                 w, words, hits, text = _rates(draft, t.as_py(), m)
                 near = set()
                 for at in hits:
-                    stop = text.index(" ", at + 1)
-                    before, after = text[: at + 1].rstrip().rpartition(" ")[2], text[stop + 1 :].partition(" ")[0] if stop + 1 < len(text) else ""
-                    word = text[at + 1 : stop]
+                    start = text.rfind(" ", 0, at + 1)  # the word in which the hit begins, and those round it
+                    stop = text.index(" ", start + 1)
+                    before = text[text.rfind(" ", 0, start) + 1 : start] if start > 0 else ""
+                    after = text[stop + 1 : text.find(" ", stop + 1)] if stop + 1 < len(text) else ""
+                    word = text[start + 1 : stop]
                     near |= {x for x in ((f"{before} {word}" if before else ""), (f"{word} {after}" if after else "")) if x}
                 out.append((w, words, sorted(near)))
             yield pa.RecordBatch.from_pydict({"w": pa.array([x[0] for x in out], pa.float64()), "words": pa.array([x[1] for x in out], pa.int64()), "near": pa.array([x[2] for x in out], pa.list_(pa.string())), "toxic": b["toxic"].cast(pa.int32())})
@@ -259,7 +282,8 @@ def _calibrated(lexicon: Lexicon, rows: Sequence[tuple[float, int, int, int]]) -
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with ``out_col`` (0 to 1) added, by its whole text; one narrow pass, no shuffle.
 
-    Null and empty texts score as texts without a hit. A column named ``out_col`` is replaced; others stay as they are.
+    Null and empty texts score as texts without a hit; a text of any length is matched once from end to end. Repeated rows score alike; an empty table
+    gives no rows. A column named ``out_col`` is replaced; others stay as they are.
     """
     schema = docs.drop(out_col).schema.add(out_col, "double")
 

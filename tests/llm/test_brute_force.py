@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -413,7 +414,94 @@ def test_many_licenses_in_one_block():
 
 def test_samples_are_the_smallest_hashes(spark):
     ids = spark.range(5000).select(F.col("id").alias("doc_id"))
-    want = [r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(300).collect()]
-    for n in (1, 9):
-        assert [r[0] for r in sampling.smallest_hashes(ids.repartition(n), "doc_id", 300).collect()] == want
+    want = sorted(r[0] for r in ids.orderBy(F.xxhash64("doc_id")).limit(300).collect())
+    many = ids.withColumn("x", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 2 == 0, 100).otherwise(3))))
+    for rows in (ids, ids.repartition(9), many.select("doc_id")):
+        assert sorted(r[0] for r in sampling.smallest_hashes(rows, "doc_id", 300).collect()) == want
+    assert {(r["doc_id"], r["x"]) for r in sampling.smallest_hashes(many, "doc_id", 300).collect()} == {(i, 1) for i in want}
     assert sampling.smallest_hashes(ids.unionByName(ids), "doc_id", 9000).count() == 5000
+
+
+def test_language_named_by_the_empty_string(spark):
+    rng = random.Random(21)
+    write = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(30))
+    rows = [(i, write("abcde" if i % 2 else "fghij"), "pl" if i % 2 else "") for i in range(60)]
+    df = spark.createDataFrame(rows + [(70, "abcd" * 9, None), (71, "0", "pl")], "doc_id bigint, text string, lang string")
+    profiles = language.fit(df, F.lit(True))
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, profiles).collect()}
+    assert all(found[i] == k for i, _, k in rows) and found[70] == "pl" and found[71] == "und"
+
+
+def test_language_is_the_nearest_prototype_by_cosine(spark):
+    rng = random.Random(22)
+    write = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(20))
+    rows = [(i, write(["abcdefg", "cdefghi", "efghijk"][i % 3]), "xyz"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, language.fit(df, F.col("doc_id") >= 30)).collect()}
+    encoder = language.Encoder(language.DIM)
+
+    def trigrams(text):
+        s = " " + " ".join(re.findall("[a-z]+", text.lower())) + " "
+        out = np.zeros(language.DIM)
+        grams = [s[i : i + 3] for i in range(len(s) - 2)]
+        for g in set(grams):
+            a, b, c = (encoder.letter(0 if x == " " else ord(x)).astype(float) for x in g)
+            out += grams.count(g) ** 0.5 * np.roll(a, 2) * np.roll(b, 1) * c
+        return out / np.linalg.norm(out)
+
+    bundles = {k: np.mean([trigrams(t) for i, t, x in rows if x == k and i >= 30], axis=0) for k in "xyz"}
+    mean = sum(bundles.values()) / 3
+    for i, t, _ in rows:
+        v = trigrams(t) - mean
+        cosines = {k: float(v @ (b - mean)) / np.linalg.norm(b - mean) / np.linalg.norm(v) for k, b in bundles.items()}
+        best = max(cosines, key=cosines.get)
+        assert found[i] == best or cosines[best] - cosines[found[i]] < 1e-4
+
+
+def test_toxicity_learns_short_words_and_inner_runs(spark):
+    rng = random.Random(23)
+    for sign, rest in (("zk", lambda: prose(rng, rng.randint(10, 60))), ("坏蛋", lambda: "".join(rng.choice("我们今天去了公园看见花草树木很漂亮") for _ in range(rng.randint(20, 60))))):
+        rows = []
+        for i in range(400):
+            text = rest()
+            if i % 5 == 1:
+                cut = rng.randrange(len(text)) if sign != "zk" else text.find(" ") + 1
+                text = text[:cut] + (sign if sign != "zk" else f"{sign} ") + text[cut:]
+            rows.append((i, text, int(i % 5 == 1)))
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+        lexicon = toxicity.fit(docs, labels, F.col("doc_id") % 3 != 0)
+        assert (" zk " if sign == "zk" else sign) in lexicon.weights
+        found = toxicity.score(docs, lexicon).collect()
+        assert sum((r["score"] >= 0.5) == (r["doc_id"] % 5 == 1) for r in found) >= 396
+
+
+def test_toxicity_score_of_a_given_lexicon(spark):
+    lexicon = toxicity.Lexicon({" vile": 2.0, " bad ": 1.0, " badly ": 3.0, "坏蛋": 1.5}, {"bad luck", "vile weather today"}, 0.5, 2.0, -4.0)
+    rng = random.Random(24)
+    parts = ["vile", "vil3r", "bad", "BAD", "badly", "luck", "weather", "today", "good", "坏蛋", "是坏蛋吗", "b-a-d", "ｂａｄ"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(200)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in toxicity.score(docs, lexicon).collect():
+        t = toxicity.folded(texts[r["doc_id"]])
+        hits = {}
+        for p, w in lexicon.weights.items():
+            for m in re.finditer(f"(?={re.escape(p)})", t):
+                hits[m.start()] = max(hits.get(m.start(), 0), w)
+        for e in lexicon.exceptions:
+            for m in re.finditer(f"(?= {re.escape(e)} )", t):
+                hits = {at: w for at, w in hits.items() if not m.start() <= at < m.start() + len(e) + 1}
+        z = 2.0 * toxicity.feature(sum(hits.values()), toxicity._length(t), 0.5) - 4.0
+        assert abs(r["score"] - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9, (t, hits)
+
+
+def test_exceptions_take_one_sweep():
+    lexicon = toxicity.Lexicon({" vile": 2.0}, {"vile weather"})
+    m = toxicity.Matcher(lexicon)
+    took = []
+    for n in (20_000, 80_000):
+        text = toxicity.folded("vile weather vile day " * n)
+        start = time.perf_counter()
+        assert len(m.hits(text)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 16 * took[0] + 0.5
