@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
+from quern.llm.arrays import between, running
 
 OPEN, CLOSE = "<turn:", "</turn>\n"
 
@@ -63,8 +64,9 @@ def formatted(nodes: DataFrame, max_paths: int | None = None, trained_role: str
 
     Returns ``tree, leaf, rank, n_turns, formatted, loss_mask``: the turns from the root as
     ``<turn:ROLE>TEXT</turn>\\n`` with escaped texts, and the (start, length) code-point spans of the texts of ``trained_role``.
-    Null role or text: empty. A node id that repeats in its tree keeps its smallest (role, text). Empty table: no rows.
-    Other columns are ignored.
+    Null role or text: empty. A node id that repeats in its tree keeps its smallest (role, text). Rows without a tree or node are left out. Empty table:
+    no rows. Other columns are ignored. A conversation is one row, so its turns meet in one task; its time grows with their number and length, as
+    places are running sums of lengths.
     """
     chosen = paths(nodes, max_paths)
     said = nodes.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("said"))
@@ -73,15 +75,16 @@ def formatted(nodes: DataFrame, max_paths: int | None = None, trained_role: str
     pieces = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), _head(t["role"]).alias("head"), escaped(t["text"]).alias("body")))
     out = out.select("tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"), pieces.alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+    lengths = F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)).cast("bigint"))
+    out = out.select("tree", "leaf", "rank", "n_turns", text.alias("formatted"), "pieces", lengths.alias("lengths"))
+    out = out.withColumn("ends", running(F.col("lengths"), kind="bigint"))
+    own = F.filter(F.arrays_zip(F.col("pieces").alias("p"), F.col("ends").alias("e")), lambda z: z["p"]["role"] == trained_role)
 
-    def add(state: Column, p: Column) -> Column:
-        begin, n = state["at"] + F.length(p["head"]), F.length(p["body"]).cast("bigint")
-        own = F.when(p["role"] == trained_role, F.array(F.struct((begin + 1).alias("start"), n.alias("length")))).otherwise(none)
-        return F.struct((begin + n + len(CLOSE)).alias("at"), F.concat(state["spans"], own).alias("spans"))
+    def span(z: Column) -> Column:
+        n = F.length(z["p"]["body"]).cast("bigint")
+        return F.struct((z["e"] - len(CLOSE) - n + 1).alias("start"), n.alias("length"))
 
-    return out.select("tree", "leaf", "rank", "n_turns", text.alias("formatted"), F.aggregate("pieces", start, add)["spans"].alias("loss_mask"))
+    return out.select("tree", "leaf", "rank", "n_turns", "formatted", F.transform(own, span).alias("loss_mask"))
 
 
 def read_back(text: Column) -> Column:
@@ -96,15 +99,15 @@ def read_back(text: Column) -> Column:
     )
 
 
-def loss_text(text: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescaped(F.substr(text, s["start"].cast("int"), s["length"].cast("int")))), "")
+def loss_text(cut: Column, mask: Column) -> Column:
+    """All text under the mask, unescaped, in order, nothing between, of a formatted conversation cut by :func:`quern.llm.arrays.pieces`, a column of its own."""
+    return F.array_join(F.transform(mask, lambda s: unescaped(between(cut, s["start"] - 1, s["start"] - 1 + s["length"]))), "")
 
 
 def reply_chain(conversations: DataFrame) -> DataFrame:
     """``conversations(conv_id, turn, role, text)`` as trees of one branch: every turn answers the one before.
 
-    Turns order by turn, then role and text; null turns come first. Rows with a null conv_id are left out.
+    Turns order by turn, then role and text; null turns come first. Rows with a null conv_id belong to no known conversation and are left out.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), F.lit(0.0).alias("score"), "role", "text")

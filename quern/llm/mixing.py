@@ -17,6 +17,7 @@ MAX_SOURCES = 100_000
 #: Words that a shard of a source aims at, and the most shards that one source is split into.
 SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
 BLOCK_WORDS = 32
+SEED = 7
 
 
 def words_in(text: Column) -> Column:
@@ -78,32 +79,52 @@ def apportion(votes: Sequence[float], seats: int) -> list[int]:
     return out
 
 
-def mix(
-    docs: DataFrame,
-    weights: Callable[[Sequence[str | None]], Sequence[float]] = cycled,
-    share: float = 1.5,
-    most: float = 2.0,
-    block_words: int = BLOCK_WORDS,
-    seed: int = 7,
-    id_col: str = "doc_id",
-) -> DataFrame:
-    """How many words of every document a mix takes.
+def mix(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
+    """``<id_col>, size, source_size, target, taken`` of every row of ``docs(<id_col>, text, source)``: see :func:`mixed`, whose parameters it takes.
+
+    Other columns are ignored and texts are read once, for their number of words."""
+    sized = scratch.written(_sized(docs.select(F.col(id_col).alias("id"), "source", "text"), "id", kwargs.get("seed", SEED)).drop("text"), "mix")
+    return _taken(sized, sized, "id", **kwargs).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
+    """All columns of ``docs(<id_col>, text, source, ...)`` with ``size, source_size, target, taken``: how many words of every document a mix takes.
 
     ``weights`` gives a weight for each of the sources, which it gets sorted by code point with null last. They share
     ``share`` times all words (see :func:`targets`). The mix is cut into blocks of ``block_words`` words;
-    :func:`apportion` gives each source, then each of its shards, a whole number of blocks. A shard strings its
-    documents together in an order drawn from ``seed`` and takes whole passes and the first blocks of one more.
+    :func:`apportion` gives each source, then each of its shards, a whole number of blocks. The blocks of a shard are those of its documents strung together
+    in an order drawn from ``seed``: it takes whole passes over them and, of one pass more, the first blocks of that order, so the seeded choice is
+    one of documents, and only the document at the cut is taken in part.
 
-    Returns ``<id_col>, size, source_size, target, taken``, one row for each row of ``docs(<id_col>, text, source)``.
-    Null text: size 0, nothing taken. Rows that repeat an id are documents of their own; equal rows are interchangeable.
-    Null source: a source like others. Other columns are ignored. An empty table gives no rows. Reruns agree.
+    Null text: size 0, nothing taken. Rows that repeat an id are documents of their own; equal rows share what falls on them evenly, less a remainder.
+    Null source: a source like others. Columns of these four names are replaced; others stay. An empty table gives no rows. Reruns agree.
 
     Sources come to the driver (ValueError over MAX_SOURCES); shards of one source, at most MAX_SHARDS, meet in one
-    task as counts. A source of any size is split into shards by a hash of the id, so no task holds a source.
+    task as counts. A source of any size is split into shards by a hash of the id, so no task holds a source, and texts are not shuffled to find the
+    cuts: each shard's cut is one row, which its documents are held against.
     """
-    spark = docs.sparkSession
-    draw = F.xxhash64(F.col(id_col), F.lit(seed))
-    sized = scratch.written(docs.select(F.col(id_col).alias("id"), F.col("source").alias("source"), words_in(F.col("text")).alias("size"), draw.alias("draw")), "mix")
+    rows = _sized(docs.drop("size", "source_size", "target", "taken"), id_col, kwargs.get("seed", SEED))
+    sized = scratch.written(rows.select(F.col(id_col).alias("id"), "source", "size", "_draw"), "mix")
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return _taken(rows, sized, id_col, **kwargs).select(*[f"`{c}`" for c in names], "size", "source_size", "target", "taken")
+
+
+def _sized(docs: DataFrame, id_col: str, seed: int) -> DataFrame:
+    return docs.withColumns({"size": words_in(F.col("text")), "_draw": F.xxhash64(F.col(id_col), F.lit(seed))})
+
+
+def _taken(
+    rows: DataFrame,
+    sized: DataFrame,
+    id_col: str,
+    weights: Callable[[Sequence[str | None]], Sequence[float]] = cycled,
+    share: float = 1.5,
+    most: float = 2.0,
+    block_words: int = BLOCK_WORDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """``rows`` with what the mix takes, planned on ``sized(id, source, size, _draw)`` of the same rows."""
+    spark = rows.sparkSession
     totals = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -114,25 +135,30 @@ def mix(
     shards = [min(MAX_SHARDS, max(1, math.ceil(s / SHARD_WORDS))) for s in sizes]
     plan = spark.createDataFrame(
         list(zip(range(len(names)), names, sizes, goals, blocks, shards)),
-        "source_no int, source string, source_size bigint, target double, blocks bigint, shards int",
+        "_no int, _source string, source_size bigint, target double, _blocks bigint, _shards int",
     )
-    dealt = sized.alias("d").join(F.broadcast(plan.alias("p")), F.expr("d.source <=> p.source")).drop("source").withColumn("shard", F.pmod(F.shiftright("draw", 20), F.col("shards")).cast("int"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(plan), F.expr("source <=> _source")).withColumn("_shard", F.pmod(F.shiftright("_draw", 20), F.col("_shards")).cast("int"))
 
     def quotas(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("shard")
-        batch["quota"] = [min(n * block_words, int(most * w)) for n, w in zip(apportion(batch["words"].tolist(), int(batch["blocks"].iloc[0])), batch["words"])]
-        return batch[["source_no", "shard", "words", "quota"]]
-
-    quota = (
-        dealt.groupBy("source_no", "shard")
-        .agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-        .groupBy("source_no")
-        .applyInPandas(quotas, "source_no int, shard int, words bigint, quota bigint")
-    )
-    quota = quota.select(F.col("source_no").alias("q_source"), F.col("shard").alias("q_shard"), "words", "quota")
-    order = Window.partitionBy("source_no", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    strung = dealt.withColumn("upto", F.sum("size").over(order))
-    joined = strung.join(quota, (F.col("source_no") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-    passes = F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(F.lit(0))
-    extra = F.least(F.greatest(F.col("quota") - passes * F.col("words") - (F.col("upto") - F.col("size")), F.lit(0)), F.col("size"))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (passes * F.col("size") + extra).cast("bigint").alias("taken"))
+        batch = batch.sort_values("_shard")
+        batch["quota"] = [min(n * block_words, int(most * w)) for n, w in zip(apportion(batch["words"].tolist(), int(batch["_blocks"].iloc[0])), batch["words"])]
+        return batch[["_no", "_shard", "words", "quota"]]
+
+    where = ["_no", "_shard"]
+    equal = dealt(sized).groupBy(*where, "_draw", "id", "size").agg(F.count("*").alias("n"), F.first("_blocks").alias("_blocks"))
+    equal = scratch.written(equal, "mix-equal")  # read twice below
+    quota = equal.groupBy(*where).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("_blocks").alias("_blocks"))
+    quota = quota.groupBy("_no").applyInPandas(quotas, "_no int, _shard int, words bigint, quota bigint")
+    quota = quota.where("words > 0").select(*where, F.expr("quota div words").alias("_passes"), F.expr("quota % words").alias("rest"))
+    order = Window.partitionBy(*where).orderBy("_draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    strung = equal.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(order)).join(quota, where)
+    before = F.col("upto") - F.col("size") * F.col("n")
+    cut = F.when((before < F.col("rest")) & (F.col("rest") <= F.col("upto")), F.struct("_draw", "id", "size"))
+    part = F.when(cut.isNotNull(), F.expr("(rest - upto + size * n) div n"))
+    cuts = strung.groupBy(*where).agg(F.first("_passes").alias("_passes"), F.max(cut).alias("_cut"), F.max(part).alias("_part"))
+    own = F.struct("_draw", F.col(id_col).alias("id"), "size")
+    extra = F.when(own < F.col("_cut"), F.col("size")).when(own == F.col("_cut"), F.col("_part")).otherwise(0)
+    out = dealt(rows).join(cuts, where, "left")
+    return out.withColumn("taken", F.coalesce(F.col("_passes") * F.col("size") + extra, F.lit(0)).cast("bigint"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,12 @@ def signature(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, text``: with the id, the 128-bit digest names a text, also where an id repeats."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
+    return rows.select("doc_id", digest(F.col("text")).alias("text_key"), "text")
+
+
+def digest(text: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -148,18 +153,53 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     component and stays. Of rows that repeat an id with different texts each links by its own set, and the id alone links
     none of them, so they may differ in component. Other columns are ignored; an empty table gives no rows.
 
+    See :func:`placed` for how groups are found; pairs inside one component are never made, whatever a group's size.
+    """
+    rows, found = placed(docs, size, percent)
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(found, "set_key", "left")
+    component = F.coalesce("component.doc_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def leaders(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_key``, distinct, of the rows to keep so that one of each group stays: the smallest id's, of an id's different texts the one of the
+    smallest ``text_key`` (see :func:`keyed`). Rows without words and rows without an id that repeat no other text are kept; null ids come last in a group."""
+    last = F.lit(2**63 - 1)
+    rows, found = placed(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), last)), size, percent)
+    rows = rows.select("doc_id", "text_key", "set_key").distinct()
+    kept = rows.join(found, "set_key", "left").where("component is null or (component.doc_id = doc_id and component.text_key <=> text_key)")
+    return kept.select(F.nullif("doc_id", last).alias("doc_id"), "text_key")
+
+
+def tiled(few: DataFrame, all_: DataFrame, tile: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by ``key`` with a column ``cell`` to join by as well: a bucket of many rows is cut into cells of about ``tile`` rows a side, and each
+    row is dealt to all cells of its line, so that each pair meets in one cell and no task holds a bucket. Sizes are counted with map-side sums."""
+    parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    cuts = parts(few, "lines").join(parts(all_, "columns"), "key")
+
+    def dealt(df: DataFrame, own: str, other: str, by: Callable[[Column, Column], Column]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        out = df.join(cuts, "key").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return out.withColumn("cell", by(F.col("_own"), F.col("_other"))).drop("_own", "_other", "lines", "columns")
+
+    return dealt(few, "lines", "columns", lambda own, other: F.struct(own.alias("i"), other.alias("j"))), dealt(all_, "columns", "lines", lambda own, other: F.struct(other.alias("i"), own.alias("j")))
+
+
+def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs(doc_id, text)`` with their set (see :func:`signed`), and ``set_key, component`` of each set of rows that have an id:
+    the least (doc_id, text_key) of the sets that it reaches.
+
     Equal sets collapse to one numbered node first; its text is one of its smallest id's. Every node then goes to its bucket's smallest member in each band,
     never to all of them; the best partner by estimate is confirmed on full sets, then others that still join two components. At last, in
-    buckets where components still differ, members outside of the bucket's main component meet all members of other ones, so no
-    candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
-    Pairs inside one component are never made, whatever a group's size.
+    buckets where components still differ, members outside of the bucket's main component meet all members of other ones, in cells of bounded size (see
+    :func:`tiled`), so no candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
     """
     rows = scratch.written(signed(docs, size), "near-sets")
     least = F.min(F.struct("doc_id", "text_key")).alias("least")
     nodes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    named = [F.monotonically_increasing_id().alias("id"), "set_key", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")]
+    named = [F.monotonically_increasing_id().alias("id"), "set_key", "least", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("text_key")]
     nodes = scratch.written(nodes.select(*named, "n", "bands", *[F.col("sig")[i].alias(f"s{i}") for i in range(LONGS)]), "near-nodes")
-    reps = scratch.written(nodes.select("id", "set_key", "rep"), "near-reps")
+    reps = scratch.written(nodes.select("id", "set_key", "least"), "near-reps")
     banded = nodes.select("id", F.explode("bands").alias("key"))
     firsts = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1").select("key", "rep")
     shared = scratch.written(banded.join(firsts, "key"), "near-shared")  # rows of buckets with company
@@ -189,14 +229,16 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
     mixed_ = scratch.written(member.join(mains, "key"), "near-mixed")
     light = mixed_.join(sigs, "id")
-    few, all_ = light.where("c <> main").alias("a"), light.alias("b")
-    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c"))
+    few, all_ = tiled(light.where("c <> main"), light)
+    few, all_ = few.alias("a"), all_.alias("b")
+    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") != F.col("b.c"))
     meets = cross & likely("a", "b")
     asking, asked = few.join(all_, meets, "left_semi").select("key", "id"), all_.join(few, meets, "left_semi").select("key", "id")
     live = scratch.written(asking.unionByName(asked).distinct().join(light, ["key", "id"]), "near-live")
     sets = scratch.written(full_sets(texts.join(live.select("id").distinct(), "id", "left_semi"), size), "near-full")
-    live = live.join(nodes.select("id", "bands"), "id").join(sets, "id")
-    few, all_ = live.where("c <> main").alias("a"), live.alias("b")
+    few, all_ = tiled(live.where("c <> main"), live)
+    whole = nodes.select("id", "bands").join(sets, "id")
+    few, all_ = few.join(whole, "id").alias("a"), all_.join(whole, "id").alias("b")
     once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.array_position(F.col("a.bands"), F.col("a.key"))
     turn = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
     common = F.size(F.array_intersect("a.members", "b.members"))
@@ -204,12 +246,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = few.join(all_, cross & turn & likely("a", "b") & once & alike).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
     found = components(edges.unionByName(more))
 
-    placed = reps.join(found, "id", "left").select("set_key", "rep", F.coalesce("component", "id").alias("c"))
-    placed = placed.join(placed.groupBy("c").agg(F.min("rep").alias("component")), "c").select("set_key", "component")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(placed, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    scratch.drop(shared, texts, stars, mixed_, nodes, sets)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = reps.join(found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("c"))
+    out = out.join(out.groupBy("c").agg(F.min("least").alias("component")), "c").select("set_key", "component")
+    scratch.drop(shared, texts, stars, mixed_, nodes, live, sets)
+    return rows, out
 
 
 def across(pairs: DataFrame, found: DataFrame) -> DataFrame:

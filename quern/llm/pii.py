@@ -1,7 +1,7 @@
 """Personal data: regex, gazetteer and context labelers vote on candidate spans; expectation-maximisation weighs them and a classifier decides.
 
-All work on documents is column expressions. What comes to the driver are counts of vote patterns: at most
-4 kinds x 3 ** len(LABELERS) rows, whatever the input.
+All work on documents is column expressions. What comes to the driver are counts of kinds, votes and forms: at most
+4 kinds x 3 ** len(LABELERS) x 12 rows, whatever the input.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.arrays import between, pieces, running
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Patterns of the base spans, without needless backtracking, then wider ones whose spans must win the vote.
@@ -50,24 +52,11 @@ AGAINST = r"version|\bv\.?$|isbn|issn|doi|order|invoice|serial|part no|section|f
 LABELERS = ("regex", "shape", "gazetteer", "context", "edges")
 
 
-def running(lengths: Column, block: int = 256) -> Column:
-    """Running sums of an int array, in blocks, so that a very long array costs no quadratic copying."""
-
-    def simple(a: Column) -> Column:
-        start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("r"))
-        return F.aggregate(a, start, lambda st, x: F.struct((st["s"] + x).alias("s"), F.array_append(st["r"], st["s"] + x).alias("r")))["r"]
-
-    n = F.size(lengths)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda k: simple(F.slice(lengths, k * block + 1, F.lit(block))))
-    totals = F.transform(runs, lambda r: F.element_at(r, -1))
-    shifted = F.transform(F.arrays_zip(runs.alias("r"), totals.alias("t"), simple(totals).alias("upto")), lambda z: F.struct(z["r"].alias("r"), (z["upto"] - z["t"]).alias("o")))
-    long_ = F.flatten(F.transform(shifted, lambda z: F.transform(z["r"], lambda x: x + z["o"])))
-    return F.when(n <= block, simple(lengths)).otherwise(long_)
-
-
 def _find(df: DataFrame, text: Column, patterns: dict[str, tuple[str, str]]) -> DataFrame:
-    """``df`` with a column for each named (pattern, trigger): its leftmost non-overlapping matches as array<struct<start,end,m>>,
-    in code points, end exclusive. Each step is a column of its own, so that no expression is worked out twice for a text."""
+    """``df`` with a column for each named (pattern, trigger): its leftmost non-overlapping matches as array<struct<start,end,m,before,next>>,
+    in code points, end exclusive; ``before`` holds up to 40 characters on the left (at most back to the start of the match before), ``next`` the
+    character on the right. Each step is a column of its own, so that no expression is worked out twice for a text, and contexts come from the
+    pieces between matches, so that none is looked up from the text's start."""
     none = F.array().cast("array<string>")
     df = df.withColumns({f"_m_{k}": F.when(F.regexp_like(text, F.lit(t)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, (p, t) in patterns.items()})
     df = df.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, (p, _) in patterns.items()})
@@ -77,12 +66,24 @@ def _find(df: DataFrame, text: Column, patterns: dict[str, tuple[str, str]]) ->
         return F.transform(zipped, lambda z: F.length(z["g"]) + F.length(z["m"]))
 
     def spans(k: str) -> Column:
-        zipped = F.arrays_zip(F.col(f"_e_{k}").alias("e"), F.col(f"_m_{k}").alias("m"))
-        return F.transform(zipped, lambda z: F.struct((z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("m")))
+        m, g, n = F.col(f"_m_{k}"), F.col(f"_g_{k}"), F.size(f"_m_{k}")
+        blank = F.array(F.lit(""))
+        zipped = F.arrays_zip(
+            F.col(f"_e_{k}").alias("e"), m.alias("m"), F.slice(g, 1, n).alias("g"), F.slice(F.concat(blank, m), 1, n).alias("pm"),
+            F.slice(g, 2, n).alias("ng"), F.concat(F.slice(m, 2, n), blank).alias("nm"),
+        )
+        return F.transform(zipped, lambda z: F.struct(
+            (z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("m"),
+            F.right(F.concat(F.right(z["pm"], F.lit(40)), F.right(z["g"], F.lit(40))), F.lit(40)).alias("before"),
+            F.left(F.concat(F.left(z["ng"], F.lit(1)), F.left(z["nm"], F.lit(1))), F.lit(1)).alias("next"),
+        ))
 
     df = df.withColumns({f"_l_{k}": lengths(k) for k in patterns})
-    df = df.withColumns({f"_e_{k}": F.when(F.size(f"_l_{k}") > 0, running(F.col(f"_l_{k}"))).otherwise(F.array().cast("array<int>")) for k in patterns})
-    return df.withColumns({k: spans(k) for k in patterns})
+    df = df.withColumns({f"_e_{k}": running(F.col(f"_l_{k}")) for k in patterns})
+    return df.withColumns({k: F.when(F.size(f"_m_{k}") > 0, spans(k)).otherwise(F.array().cast(SPANS)) for k in patterns})
+
+
+SPANS = "array<struct<start:int,end:int,m:string,before:string,next:string>>"
 
 
 def digits(m: Column) -> Column:
@@ -119,10 +120,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, text: Column, s: Column, base: bool) -> Column:
+def _votes(kind: str, s: Column, base: bool) -> Column:
     m, d, n = s["m"], digits(s["m"]), F.length(digits(s["m"]))
-    before = F.lower(F.substr(text, F.greatest(s["start"] - 39, F.lit(1)), F.least(s["start"], F.lit(40))))
-    left, right = F.substr(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substr(text, s["end"] + 1, F.lit(1))
+    before = F.lower(s["before"])
+    left, right = F.right(s["before"], F.lit(1)), s["next"]
     tld = F.lower(F.regexp_replace(F.substring_index(m, ".", -1), "^.*[^A-Za-z0-9-]", ""))
     shape = {
         "email": _vote(F.regexp_like(tld, F.lit("^[a-z]{2,24}$")), F.lit(True)),
@@ -141,43 +142,78 @@ def _votes(kind: str, text: Column, s: Column, base: bool) -> Column:
     return F.array(F.lit(1 if base else 0), shape, gazetteer, context, edges)
 
 
+def _form(s: Column) -> Column:
+    """What no labeler looks at: the match's length, and whether a bracket, quote or colon stands before it."""
+    opened = F.regexp_like(s["before"], F.lit(r"[(\[<\"':=]\s?$")).cast("int")
+    return F.least(F.floor(F.length(s["m"]) / 6), F.lit(5)).cast("int") * 2 + opened
+
+
+def _apart() -> dict[str, Column]:
+    """Steps that leave of the wide spans ``_wide_<kind>`` those outside of the base spans ``_own_<kind>``, in ``_apart``: in order of kind and start, no base
+    span before may end, and none after may start, inside. The kinds stand one after another on one line of positions."""
+    every, far = F.col("_every"), (1 << 62)
+
+    def marked(k: str, base: bool) -> Column:
+        line = KINDS.index(k) << 32
+        return F.transform(f"_{'own' if base else 'wide'}_{k}", lambda s: F.struct((s["start"] + F.lit(line)).alias("start"), (s["end"] + F.lit(line)).alias("end"), F.lit(base).alias("base"), F.lit(KINDS.index(k)).alias("kind"), s.alias("s")))
+
+    wide = F.concat(*[marked(k, False) for k in KINDS])
+    some = sum((F.size(f"_wide_{k}") for k in KINDS), F.lit(0)) > 0
+    zipped = F.arrays_zip(every.alias("x"), F.col("_ends").alias("ends"), F.reverse("_next").alias("next"))
+    return {
+        "_every": F.when(some, F.array_sort(F.concat(*[marked(k, True) for k in KINDS], wide))),
+        "_to": F.transform(every, lambda x: F.when(x["base"], x["end"]).otherwise(0)),
+        "_from": F.reverse(F.transform(every, lambda x: F.when(x["base"], x["start"]).otherwise(far))),
+        "_ends": F.when(every.isNotNull(), running(F.col("_to"), F.greatest, 0, "bigint")),
+        "_next": F.when(every.isNotNull(), running(F.col("_from"), F.least, far, "bigint")),
+        "_apart": F.filter(zipped, lambda z: ~z["x"]["base"] & (z["ends"] <= z["x"]["start"]) & (z["next"] >= z["x"]["end"])),
+    }
+
+
+def _packed(docs: DataFrame, *leave: str) -> DataFrame:
+    """All columns of ``docs`` but ``leave`` in one struct ``_row``, so that no name of theirs meets one of the steps'."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in leave]).alias("_row"), *[F.col(f"`{c}`").alias(f"_given_{i}") for i, c in enumerate(leave)])
+
+
 def labelled(docs: DataFrame, text_col: str = "text", out_col: str = "candidates") -> DataFrame:
-    """``docs`` with its candidate spans: array<struct<kind,start,end,base,votes>> by kind, then start.
+    """``docs`` with its candidate spans: array<struct<kind,start,end,base,votes,form>> by kind, then start.
 
     Base spans satisfy the kind's pattern and rule; others come from wider patterns and lie outside of the base spans of their kind.
-    Null text: empty. Whole texts are read; no shuffle.
+    Null text: empty. Whole texts are read, in time that grows with their length and number of spans; no shuffle. Repeated rows have the same spans;
+    an empty table gives no rows. A column named ``out_col`` is replaced; others stay as they are, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.drop(out_col)
 
     def valid(k: str) -> Column:
         return F.filter(f"_base_{k}", lambda s: passes(k, s["m"]))
 
-    def spans(k: str) -> list[Column]:
-        def span(s: Column, base: bool) -> Column:
-            return F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), _votes(k, text, s, base).alias("votes"))
+    rows = _packed(docs.drop(out_col)).withColumn("_text", F.coalesce(F.col("_row")[text_col], F.lit("")))
+    step = _find(rows, F.col("_text"), {f"_base_{k}": (BASE[k], TRIGGER[k]) for k in KINDS} | {f"_wide_{k}": (WIDE[k], WIDE_TRIGGER[k]) for k in KINDS})
+    step = step.withColumns({f"_own_{k}": valid(k) for k in KINDS})
+    for name, c in _apart().items():
+        step = step.withColumn(name, c)
 
-        own = F.col(f"_own_{k}")
-        apart = F.filter(F.col(f"_wide_{k}"), lambda w: ~F.exists(own, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-        return [F.transform(own, lambda s: span(s, True)), F.transform(apart, lambda s: span(s, False))]
+    def apart(k: str) -> Column:
+        own = F.filter("_apart", lambda z: z["x"]["kind"] == KINDS.index(k))
+        return F.when(F.size("_apart") > 0, F.transform(own, lambda z: z["x"]["s"])).otherwise(F.array().cast(SPANS))
 
-    step = _find(kept, text, {f"_base_{k}": (BASE[k], TRIGGER[k]) for k in KINDS} | {f"_wide_{k}": (WIDE[k], WIDE_TRIGGER[k]) for k in KINDS})
-    step = step.withColumns({f"_own_{k}": valid(k) for k in KINDS})
-    parts = [c for k in KINDS for c in spans(k)]
-    return step.select(*kept.columns, F.array_sort(F.concat(*parts)).alias(out_col))
+    def spans(k: str, base: bool) -> Column:
+        return F.transform(F.col(f"_own_{k}") if base else apart(k), lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), _votes(k, s, base).alias("votes"), _form(s).alias("form")))
+
+    parts = [spans(k, base) for k in KINDS for base in (True, False)]
+    return step.select("_row.*", F.array_sort(F.concat(*parts)).alias(out_col))
 
 
 @dataclass
 class Model:
-    """Posterior by vote pattern and the classifier's weights; ``accepted``: patterns that it calls personal data."""
+    """Reliabilities of the labelers and the classifier's weights; ``accepted``: kinds, votes and forms that it calls personal data."""
 
     reliabilities: dict[tuple[int, int, int, int], float] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     accepted: list[str] = field(default_factory=list)
 
 
-def _code(kind: int, votes: Sequence[int]) -> str:
-    return f"{kind}:" + ",".join(map(str, votes))
+def _code(kind: int, votes: Sequence[int], form: int) -> str:
+    return f"{kind}:" + ",".join(map(str, [*votes, form]))
 
 
 def em(counts: Mapping[tuple[int, tuple[int, ...]], int], rounds: int = 50) -> tuple[dict, dict]:
@@ -209,16 +245,20 @@ def em(counts: Mapping[tuple[int, tuple[int, ...]], int], rounds: int = 50) -> t
     return post, table
 
 
-def classifier(counts: Mapping[tuple[int, tuple[int, ...]], int], post: Mapping, rounds: int = 400) -> dict[str, float]:
-    """Logistic regression on kind and vote indicators, fitted to the posteriors by gradient steps over the patterns."""
+def _features(kind: int, votes: Sequence[int], form: int) -> list[str]:
+    return ["bias", f"k{kind}", *(f"{j}={v}" for j, v in enumerate(votes)), f"k{kind} length {form // 2}", f"opened {form % 2}"]
+
+
+def classifier(counts: Mapping[tuple[int, tuple[int, ...], int], int], post: Mapping, rounds: int = 400) -> dict[str, float]:
+    """Logistic regression on kind, votes and the span's form, fitted by gradient steps to the posteriors of the votes."""
     total = float(sum(counts.values())) or 1.0
-    feats = {p: ["bias", f"k{p[0]}", *(f"{j}={v}" for j, v in enumerate(p[1]))] for p in counts}
+    feats = {p: _features(*p) for p in counts}
     w: dict[str, float] = {}
     for _ in range(rounds):
         grad: dict[str, float] = {}
         for p, n in counts.items():
             z = sum(w.get(f, 0.0) for f in feats[p])
-            d = math.sqrt(n / total) * (post[p] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            d = math.sqrt(n / total) * (post[p[:2]] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             for f in feats[p]:
                 grad[f] = grad.get(f, 0.0) + d
         for f, g in grad.items():
@@ -227,44 +267,51 @@ def classifier(counts: Mapping[tuple[int, tuple[int, ...]], int], post: Mapping,
 
 
 def fit(candidates: DataFrame, col: str = "candidates") -> Model:
-    """Learn from the candidates of a whole table (column ``col`` as made by :func:`labelled`). No candidate: an empty model."""
-    rows = candidates.select(F.explode(col).alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect()
-    counts = {(r["kind"], tuple(r["votes"])): r["n"] for r in rows}
+    """Learn from the candidates of a whole table (column ``col`` as made by :func:`labelled`). No candidate: an empty model.
+
+    What comes to the driver are counts by kind, votes and form."""
+    # explode_outer, as Spark infers a filter from explode, which would work out all spans of a lazy table once more
+    rows = candidates.select(F.explode_outer(col).alias("c")).where("c is not null").groupBy("c.kind", "c.votes", "c.form").agg(F.count("*").alias("n")).collect()
+    counts = {(r["kind"], tuple(r["votes"]), r["form"]): r["n"] for r in rows}
     if not counts:
         return Model()
-    post, table = em(counts)
+    by_votes: dict[tuple[int, tuple[int, ...]], int] = {}
+    for (kind, votes, _), n in counts.items():
+        by_votes[kind, votes] = by_votes.get((kind, votes), 0) + n
+    post, table = em(by_votes)
     weights = classifier(counts, post)
-    score = lambda k, votes: sum(weights.get(f, 0.0) for f in ["bias", f"k{k}", *(f"{j}={v}" for j, v in enumerate(votes))])
-    return Model(table, weights, sorted(_code(*p) for p in counts if score(*p) >= 0.0))
+    return Model(table, weights, sorted(_code(*p) for p in counts if sum(weights.get(f, 0.0) for f in _features(*p)) >= 0.0))
 
 
 def decided(candidates: DataFrame, model: Model, col: str = "candidates", out_col: str = "spans") -> DataFrame:
-    """Adds ``out_col``: the candidates that are base spans or that the classifier accepts."""
-    accepted = F.array(*[F.lit(c) for c in model.accepted]).cast("array<string>")
-    code = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.array_join(F.transform(s["votes"], lambda v: v.cast("string")), ","))
-    return candidates.withColumn(out_col, F.filter(col, lambda s: s["base"] | F.array_contains(accepted, code(s))))
+    """Adds ``out_col``: the candidates that are base spans or that the classifier accepts. A column of that name is replaced; null candidates: null."""
+    return candidates.withColumn(out_col, _accepted(F.col(col), model))
 
 
-def redacted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets, overlapping spans by the first one's kind. Null texts stay null."""
-    spans = decided(labelled(docs, text_col, "_candidates"), model, "_candidates", "_spans")
-    by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+def _accepted(candidates: Column, model: Model) -> Column:
+    accepted = F.array(*[F.lit(c) for c in model.accepted]).cast("array<string>")
+    code = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.array_join(F.transform(F.array_append(s["votes"], s["form"]), lambda v: v.cast("string")), ","))
+    return F.filter(candidates, lambda s: s["base"] | F.array_contains(accepted, code(s)))
+
 
-    def merge(state: Column, s: Column) -> Column:
-        last = F.get(state, F.size(state) - 1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        overlaps = (F.size(state) > 0) & (s["start"] < last["end"])
-        return F.when(overlaps, F.array_append(F.slice(state, 1, F.greatest(F.size(state) - 1, F.lit(0))), joined)).otherwise(F.array_append(state, s))
+def redacted(candidates: DataFrame, model: Model, text_col: str = "text", col: str = "candidates") -> DataFrame:
+    """Rows with the candidates ``col`` of their text (see :func:`labelled`), less that column and with every accepted span replaced by its kind in
+    brackets, overlapping spans by the first one's kind.
 
-    merged = F.aggregate(by_start, none, merge)
+    Null texts stay null, texts without spans as they are; repeated rows are treated alike; an empty table gives no rows; other columns stay, whatever
+    their names. The time grows with a text's length and number of spans.
+    """
+    step = _packed(candidates, col).withColumn("_spans", F.array_sort(F.transform(_accepted(F.col("_given_0"), model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    step = step.withColumn("_to", F.transform("_spans", lambda s: s["end"]))
+    step = step.withColumn("_ends", running(F.col("_to"), F.greatest))
+    # a span that starts before all spans so far have ended belongs to the one before; the rest are heads, with the end of what lies before them
+    zipped = F.arrays_zip(F.col("_spans").alias("s"), F.slice(F.concat(F.array(F.lit(0)), F.col("_ends")), 1, F.size("_spans")).alias("upto"))
+    step = step.withColumns({"_heads": F.filter(zipped, lambda z: z["s"]["start"] >= z["upto"]), "_cut": F.when(F.size("_spans") > 0, pieces(F.col("_row")[text_col]))})
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col(text_col)
-    gaps = F.transform("_merged", lambda s, i: F.concat(F.substr(text, F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("_merged", i - 1)["end"], F.lit(0))), F.get(tags, s["kind"])))
-    tail = F.substr(text, F.element_at("_merged", -1)["end"] + 1, F.length(text))
-    new = F.when(F.size("_merged") > 0, F.concat(F.array_join(gaps, ""), tail)).otherwise(text)
-    step = spans.withColumn("_merged", merged)
-    return step.select(*[new.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    cut, text = F.col("_cut"), F.col("_row")[text_col]
+    gaps = F.transform("_heads", lambda h: F.concat(between(cut, h["upto"], h["s"]["start"]), F.get(tags, h["s"]["kind"])))
+    new = F.when(F.size(cut) > 0, F.concat(F.array_join(gaps, ""), between(cut, F.element_at("_ends", -1), F.length(text)))).otherwise(text)
+    return step.select(*[new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in candidates.columns if c != col])
 
 
 def digest(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
+from quern.llm import arrays, chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,23 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: A conversation whose texts hold the template's own marks.
-PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+PROBE = r"""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(n AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(n, role)"""
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe, formatted, then digested from what reading the output back gives."""
-    probe = spark.createDataFrame(PROBE, "conv_id bigint, turn bigint, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    out = chat.formatted(chat.reply_chain(rows))
-    turns = chat.read_back(F.col("formatted"))
-    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = chat.loss_text(F.col("formatted"), F.col("loss_mask"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PROBE))
+    out = chat.formatted(chat.reply_chain(rows)).withColumns({"turns": chat.read_back(F.col("formatted")), "cut": arrays.pieces(F.col("formatted"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.withColumns({"said": said, "loss": chat.loss_text(F.col("cut"), F.col("loss_mask"))})
     return out.select(
         F.col("tree").alias("conv_id"),
-        F.size(turns).cast("bigint").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("bigint").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
 
@@ -85,7 +83,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scratch.written(pii.labelled(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "candidates"), "op5")
     spans = pii.decided(found, pii.fit(found))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, no=no: s["kind"] == no)).cast("bigint").alias(f"n_{k}") for no, k in enumerate(pii.KINDS)]
+
+    def count(no: int) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == no)).cast("bigint").alias(f"n_{pii.KINDS[no]}")
+
+    counts = [count(no) for no in range(len(pii.KINDS))]
     return spans.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 

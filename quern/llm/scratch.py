@@ -5,33 +5,38 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; on a local master without one, a temporary folder.
+    """The cluster's ``spark.checkpoint.dir``; on a local master without one, a temporary folder of this process.
 
-    Raises ValueError on a cluster that names no shared folder: a machine-local one would lose rows.
+    Raises ValueError on a cluster that names no shared folder: a machine-local one would lose rows. The session's settings stay as they are.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="quern-"))
+    return _local[0]
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold at most BATCH_BYTES, so that long texts don't fill a Python worker."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``df``, in a session whose Arrow batches hold at most BATCH_BYTES, so that long texts don't fill a Python worker. Spark reads this setting when a
+    result is worked out, so it stays; a session that sets ``spark.sql.execution.arrow.maxBytesPerBatch`` to less keeps its own value."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(conf.get(name)).lower().removesuffix("b")
+    if not (given.isdigit() and 0 < int(given) <= BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
@@ -52,6 +57,22 @@ def drop(*tables: DataFrame) -> None:
         path = getattr(table, "_quern_path", None)
         if path:
             _delete(table.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
+
+
+def mark() -> int:
+    """A point to release from."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the tables written since ``since`` (see :func:`mark`), or all, but for ``keep``. Results read them when they are worked out, so call this
+    after the last action on any result that reads them."""
+    stay = {getattr(t, "_quern_path", None) for t in keep}
+    for spark, path in _written[since:]:
+        if path not in stay and spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    _written[since:] = [w for w in _written[since:] if w[1] in stay]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -62,9 +83,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return

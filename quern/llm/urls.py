@@ -121,7 +121,8 @@ RULES = [
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    values = ", ".join(f"(r'{h}', r'{p}', '{v}')" for h, p, v in rules)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
 
 
 def oracle(rules=RULES, default: str = "allow") -> str:

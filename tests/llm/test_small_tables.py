@@ -74,7 +74,7 @@ def test_personal_data(docs, none):
         found = pii.labelled(df)
         model = pii.fit(found)
         assert pii.decided(found, model).count() == n
-        assert pii.redacted(df, model).columns == df.columns
+        assert pii.redacted(pii.labelled(df), model).columns == df.columns
 
 
 def test_decontamination(spark, docs, none):
@@ -126,5 +126,5 @@ def test_stages(spark, docs, none, labels, tmp_path, stage):
     spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for df in (docs, none):
         out = corpus_pipeline.STAGES[stage][1](spark, df, str(tmp_path))
-        assert stage == 4 or out.columns == df.columns
+        assert set(out.columns) >= set(df.columns) if stage == 4 else out.columns == df.columns
         assert out.count() <= df.count()
