@@ -22,34 +22,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that a lexicon learned from ``labels`` scores under 0.5. Null and empty texts score as texts without a hit."""
+    """Rows that a lexicon learned from ``labels`` scores under 0.5. Null and empty texts score as texts without a hit; repeated rows go or stay together;
+    an empty table, or one without labels, stays as it is."""
     lexicon = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.score(docs, lexicon, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the smallest id's. Of rows that repeat an id the one with the least text stays, and only it is compared; rows with a null id all stay."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text", "source", "lang", "n_chars")).alias("r"))
-    one = scratch.written(one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]), "pipeline-ids")
-    kept = neardup.groups(one.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY).where("kept").select("doc_id")
-    return one.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate group: the smallest id's, null ids last; of an id's several texts the one of the smallest digest.
+
+    Rows are told apart by id and text, so an id that repeats with unlike texts keeps each of them. Rows equal in both stay once: the one with the
+    least other columns, those that Spark can't order left out. Rows without a word stay, once for each id and text. An empty table gives no rows.
+    """
+    ordered = [f"`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    last, none = F.lit(2**63 - 1), F.lit(b"")
+    named = [F.coalesce(F.col("doc_id").cast("bigint"), last).alias("_id"), F.coalesce(neardup.digest(F.col("text")), none).alias("_key")]
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    one = docs.groupBy(*named).agg(F.min_by(row, F.struct(*ordered)).alias("_row"))
+    kept = neardup.leaders(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
+    kept = kept.select(F.coalesce("doc_id", last).alias("_id"), F.coalesce("text_key", none).alias("_key"))
+    return one.join(kept, ["_id", "_key"], "left_semi").select("_row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no item of ``benchmark``, neither word for word nor re-parameterised."""
+    """Rows whose text holds no item of ``benchmark``, neither word for word nor re-parameterised. Null and empty texts stay; repeated rows go or stay together;
+    an empty table, or an empty benchmark, changes nothing."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data in texts replaced by the kind in brackets; n_chars follows the new text."""
-    model = pii.fit(scratch.written(pii.labelled(docs.select("text")).select("candidates"), "pipeline-pii"))
-    return pii.redacted(docs, model).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+    """All rows, personal data in texts replaced by the kind in brackets; n_chars follows the new text.
+
+    Spans are worked out once and written with their rows; the classifier is fitted on them and then decides on them. Null texts and their n_chars stay as
+    they are; repeated rows are treated alike; an empty table gives no rows."""
+    found = scratch.written(pii.labelled(docs, out_col="_candidates"), "pipeline-pii")
+    out = pii.redacted(found, pii.fit(found, "_candidates"), col="_candidates")
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as ids and words: documents that it takes words from, with their source's size and target."""
-    return mixing.mix(docs.select("doc_id", "text", "source")).where("taken > 0")
+    """The mix: documents that it takes words from, whole, with their size, their source's size and target, and how many words are taken.
+
+    Null and empty texts have no words and so are in no mix; rows that repeat an id or a whole row are documents of their own; an empty table gives no rows."""
+    return mixing.mixed(docs).where("taken > 0")
 
 
 STAGES = [
@@ -62,8 +77,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; returns the last one's rows."""
+    """All stages over ``documents``; returns the last one's rows. A stage's tables are deleted as soon as its result is written."""
     docs = _table(spark, sf_dir, "documents")
+    since = scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.release(since, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
