@@ -195,9 +195,32 @@ PARAMETERS = {
 }
 
 
+#: Whole numbers that a request may state about a ligand.
+COUNTS = {
+    "ligand_net_charge": r"\b(?:net\s+)?charge\s*(?:of|=|is|:)?\s*([+-]?\d+)\b",
+    "ligand_multiplicity": r"\bmultiplicity\s*(?:of|=|is|:)?\s*(\d+)\b",
+}
+#: Choices that a request may state, by patterns of its lower-cased text; the first that is found counts.
+CHOICES = {
+    "charge_method": [("am1-?bcc", "am1bcc"), ("resp", "resp"), ("existing charge|keep charge", "existing")],
+    "protein_force_field": [("ff19sb", "ff19SB"), ("ff14sb", "ff14SB")],
+    "water_model": [(r"\bopc(?:box)?\b", "OPCBOX"), (r"\btip3p(?:box)?\b", "TIP3PBOX")],
+    "preset": [(r"\bstandard\s+preset\b", "standard"), (r"\bcompatibility\s+preset\b", "compatibility")],
+}
+
+
 def parameters_of(c: Column) -> dict[str, Column]:
-    """Numbers that a free-text request states, by name; NULL if it does not."""
-    return {k: F.regexp_extract(c, f"(?i){p}", 1).try_cast("double") for k, p in PARAMETERS.items()}
+    """What a free-text request states, by name: numbers, whole numbers and choices; NULL if it does not."""
+    low = F.lower(c)
+
+    def choice(options: Sequence[tuple[str, str]]) -> Column:
+        return F.coalesce(*[F.when(F.regexp_like(low, F.lit(p)), F.lit(v)) for p, v in options])
+
+    return (
+        {k: F.regexp_extract(c, f"(?i){p}", 1).try_cast("double") for k, p in PARAMETERS.items()}
+        | {k: F.regexp_extract(c, f"(?i){p}", 1).try_cast("int") for k, p in COUNTS.items()}
+        | {k: choice(options) for k, options in CHOICES.items()}
+    )
 
 
 #: Words of a request for help with a failed run, and of one to set a run up.
@@ -208,7 +231,7 @@ SETUP = r"(?i)\b(?:set\s*up|configure|prepare|build|generate|simulate|run)\b|设
 
 def intent_of(c: Column) -> Column:
     """troubleshooting, setup (an action, or stated numbers outside of a question) or general."""
-    stated = F.coalesce(*parameters_of(c).values()).isNotNull()
+    stated = F.coalesce(*[x.cast("string") for x in parameters_of(c).values()]).isNotNull()
     return (
         F.when(F.regexp_like(c, F.lit(TROUBLE)), "troubleshooting")
         .when(F.regexp_like(c, F.lit(SETUP)) | (stated & ~F.regexp_like(c, F.lit(ASKING))), "setup")
@@ -216,14 +239,15 @@ def intent_of(c: Column) -> Column:
     )
 
 
-#: Words that look like molecule strings but are none.
-SMILES_STOP = ["the", "and", "for", "what", "how", "sweet", "predict"]
+#: How molecule strings begin, go on and end, and descriptor names and acronyms that look like them.
+SMILES = r"\b[A-Z][A-Za-z0-9@+\-\[\]()=#$:/\\.]{2,}\b"
+SMILES_STOP = ["TPSA", "BCUT2D", "VSA", "PEOE", "ECFP", "MACCS", "RDKit", "SHAP", "AUC", "ROC", "API", "RAG", "LLM", "PDF", "CSV"]
 
 
 def smiles_candidates(c: Column) -> Column:
-    """Distinct words of at least three characters that could be molecule strings: letters, digits and bond signs, with a bracket, = or #."""
-    form, sign = F.lit(r"^[A-Za-z0-9@+\-\[\]()=#$/\\%.]{3,}$"), F.lit(r"[=()\[\]#]")
-    return F.array_distinct(F.filter(F.split(c, " "), lambda x: F.regexp_like(x, form) & F.regexp_like(x, sign) & ~F.lower(x).isin(SMILES_STOP)))
+    """Strings in running text that could be molecules, in order, repeats kept: a capital and at least two more of a molecule string's characters, from
+    word edge to word edge, but no descriptor name or acronym."""
+    return F.filter(F.regexp_extract_all(c, F.lit(SMILES), F.lit(0)), lambda x: ~x.isin(SMILES_STOP))
 
 
 def chunks(c: Column, size: int, overlap: int) -> Column:
@@ -257,6 +281,52 @@ def journal_of(c: Column, journals: Mapping[str, str] = JOURNALS) -> Column:
     return F.get(F.filter(entries, lambda e: low.contains(e["p"])), F.lit(0))["name"]
 
 
+def journal_of_name(c: Column, journals: Mapping[str, str] = JOURNALS) -> Column:
+    """Name of the first listed pattern that a file name without its ending contains, else 'Unknown Journal'."""
+    stem = F.lower(F.regexp_replace(F.regexp_extract(c, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", ""))
+    entries = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("name")) for p, n in journals.items()])
+    return F.coalesce(F.get(F.filter(entries, lambda e: stem.contains(e["p"])), F.lit(0))["name"], F.lit("Unknown Journal"))
+
+
+# Journals by the beginning of a DOI, by the letters after one publisher's prefix, and by a code inside another publisher's.
+DOI_JOURNALS = {
+    "10.1038/srep": "Scientific Reports", "10.1038/s41538": "npj Science of Food", "10.1038/s41467": "Nature Communications", "10.1038/s41586": "Nature",
+    "10.1038/s41598": "Scientific Reports", "10.1038/ijo": "International Journal of Obesity", "10.1017/s0029665": "Proceedings of the Nutrition Society",
+    "10.1016/j.foodhyd": "Food Hydrocolloids", "10.1016/j.foodchem": "Food Chemistry", "10.1016/j.foodres": "Food Research International",
+    "10.1016/j.lwt": "LWT - Food Science and Technology", "10.1016/j.ijbiomac": "International Journal of Biological Macromolecules",
+    "10.1016/j.carbpol": "Carbohydrate Polymers", "10.1016/j.jcis": "Journal of Colloid and Interface Science",
+    "10.1016/j.colsurfb": "Colloids and Surfaces B: Biointerfaces", "10.1016/j.foodcont": "Food Control",
+    "10.1016/j.tifs": "Trends in Food Science & Technology", "10.1016/j.fbio": "Food Bioscience", "10.1016/j.ultsonch": "Ultrasonics Sonochemistry",
+}
+LETTER_JOURNALS = {"nutrients": "Nutrients", "foods": "Foods", "molecules": "Molecules", "ijms": "International Journal of Molecular Sciences", "sensors": "Sensors", "life": "Life"}
+CODE_JOURNALS = {
+    "s00217": "European Food Research and Technology", "s10068": "Food Science and Biotechnology", "s11694": "Journal of Food Measurement and Characterization",
+    "s11248": "Transgenic Research", "s002170": "European Food Research and Technology",
+}
+
+
+def journal_of_doi(c: Column) -> Column:
+    """The journal that a DOI names by its beginning or code; NULL where it names a publisher at most."""
+    low = F.lower(c)
+    begins = F.coalesce(*[F.when(low.startswith(p), F.lit(n)) for p, n in DOI_JOURNALS.items()])
+    letters = F.regexp_replace(F.split_part(c, F.lit("/"), F.lit(2)), r"[^\p{L}]", "")
+    own = F.coalesce(mapped(F.lower(letters), LETTER_JOURNALS), F.concat(F.lit("MDPI - "), F.upper(F.left(letters, F.lit(1))), F.lower(F.substr(letters, F.lit(2)))))
+    coded = F.coalesce(*[F.when(low.contains(k), F.lit(n)) for k, n in CODE_JOURNALS.items()])
+    return F.when(begins.isNotNull(), begins).when(low.startswith("10.3390"), F.when(letters != "", own)).when(low.startswith("10.1007"), coded)
+
+
+def authors_in(c: Column) -> Column:
+    """Up to five names like 'Smith J. A.' or 'Smith, J.' of the first 20 lines of running text. A line with both forms gives its names twice."""
+    forms = (r"[A-Z][a-z]+\s+[A-Z]\.", r"[A-Z][a-z]+,\s+[A-Z]\.")
+    lines = F.transform(F.slice(F.split(c, "\n"), 1, 20), lambda x: F.trim(x))
+
+    def names(line: Column) -> Column:
+        found, none = F.regexp_extract_all(line, F.lit(r"[A-Z][a-z]+(?:,?\s+[A-Z]\.)+"), F.lit(0)), F.array().cast("array<string>")
+        return F.concat(*[F.when(F.regexp_like(line, F.lit(f)), found).otherwise(none) for f in forms])
+
+    return F.slice(F.flatten(F.transform(lines, names)), 1, 5)
+
+
 #: Words that show that a request speaks of a parameter, whether or not it gives a number.
 MENTIONS = {
     "project_name": r"\bproject\s+name\b",

@@ -38,7 +38,8 @@ SELECT o_orderkey AS id, CASE CAST(o_orderkey % 8 AS INT)
     WHEN 0 THEN 'Run ' || CAST(o_orderkey % 90 AS STRING) || '.5 ns at 310 K and 1.01 bar with 0.15 M NaCl'
     WHEN 1 THEN 'Why did the ligand escape? It crashed after heating 20 ps' WHEN 2 THEN 'set up a box, padding of 12 A, cutoff 9 angstrom, timestep 2 fs'
     WHEN 3 THEN 'What is the difference between 300 K and 310 K?' WHEN 4 THEN 'write trajectory every 10 ps, equilibrate for 500 ps'
-    WHEN 5 THEN '如何设置 模拟' WHEN 6 THEN 'predict CC(=O)O and c1ccccc1 [Na+] for the sweet taste' ELSE o_orderpriority END AS text
+    WHEN 5 THEN CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '如何设置 模拟' WHEN 1 THEN 'net charge: -1, keep charges, ff14SB with TIP3P and the compatibility preset' ELSE 'multiplicity 2 by AM1-BCC, ff19sb, OPC water, standard preset' END
+    WHEN 6 THEN 'predict CC(=O)O, CCO. and C1=CC=C(C=C1)O by TPSA and ECFP, c1ccccc1 [Na+] for the sweet taste of CCO' ELSE o_orderpriority END AS text
 FROM {orders}
 """
 

@@ -161,7 +161,14 @@ def h20(t: Tables) -> DataFrame:
     return t.sql(ANSWERS).select("id", F.array_join(F.array_sort(ids), ",").alias("cited"), F.array_join(F.array_sort(F.array_except(ids, valid)), ",").alias("invalid"))
 
 
-@query("h20_citations_kept", rf"WITH a AS ({ANSWERS}) SELECT id, CASE kind WHEN 0 THEN 'Sugar is sweet [ref_1] and so is honey [ref_2].' WHEN 2 THEN 'See only.' WHEN 4 THEN 'Twice [ref_2] and again [ref_2, ref_1] with [3] and [CrossRef]' ELSE answer END AS answer FROM a")
+_GROUP = r"\[(?:ref_\d+\s*,\s*)*ref_\d+\]"
+#: Pieces of an answer round its groups of citations, numbered; a group's ids as a list.
+_CUT = f"SELECT id, unnest(list_concat(string_split_regex(answer, '{_GROUP}'), [])) AS gap, generate_subscripts(string_split_regex(answer, '{_GROUP}'), 1) AS k, regexp_extract_all(answer, '{_GROUP}') AS groups FROM a"
+_IDS = "string_split_regex(regexp_replace(groups[k], '[\\[\\]]', '', 'g'), '\\s*,\\s*')".replace("\\\\", "\\")
+
+
+@query("h20_citations_kept", f"""WITH a AS ({ANSWERS}), c AS ({_CUT}), g AS (SELECT id, k, gap, CASE WHEN k <= len(groups) THEN list_filter({_IDS}, lambda x: x IN ('ref_1', 'ref_2')) ELSE [] END AS ids FROM c)
+SELECT id, regexp_replace(string_agg(gap || CASE WHEN len(ids) > 0 THEN '[' || array_to_string(ids, ', ') || ']' ELSE '' END, '' ORDER BY k), ' {{2,}}', ' ', 'g') AS answer FROM g GROUP BY id""")
 def h20k(t: Tables) -> DataFrame:
     return t.sql(ANSWERS).select("id", text.citations_kept(F.col("answer"), F.array(F.lit("ref_1"), F.lit("ref_2"))).alias("answer"))
 
@@ -179,20 +186,25 @@ def h23(t: Tables) -> DataFrame:
     return t.sql(ANSWERS).select("id", (text.count_contained(F.col("answer"), _WORDS) / F.lit(float(len(_WORDS)))).alias("hit_rate"))
 
 
-@query("h24_smiles_candidates", rf"WITH r AS ({REQUESTS}) SELECT id, coalesce(array_to_string(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Za-z0-9@+\-\[\]()=#$/\\%.]{{3,}}$') AND regexp_matches(x, '[=()\[\]#]')), ' '), '') AS found FROM r")
+@query("h24_smiles_candidates", f"WITH r AS ({REQUESTS}) SELECT id, coalesce(array_to_string(list_filter(regexp_extract_all(text, '{text.SMILES}'), lambda x: x NOT IN ({', '.join(map(repr, text.SMILES_STOP))})), ' '), '') AS found FROM r")
 def h24(t: Tables) -> DataFrame:
     return t.sql(REQUESTS).select("id", F.array_join(text.smiles_candidates(F.col("text")), " ").alias("found"))
 
 
-@query("h25_parameters", rf"WITH r AS ({REQUESTS}) SELECT id, " + ", ".join(f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS DOUBLE) AS {k}" for k, p in text.PARAMETERS.items()) + " FROM r")
-def h25(t: Tables) -> DataFrame:
-    return t.sql(REQUESTS).select("id", *[c.alias(k) for k, c in text.parameters_of(F.col("text")).items()])
+_STATED = (
+    {k: f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS DOUBLE)" for k, p in text.PARAMETERS.items()}
+    | {k: f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS INT)" for k, p in text.COUNTS.items()}
+    | {k: "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{v}'" for p, v in options) + " END" for k, options in text.CHOICES.items()}
+)
+_ANY_STATED = "coalesce(" + ", ".join(f"({c})::VARCHAR" for c in _STATED.values()) + ") IS NOT NULL"
 
 
-_STATED = "coalesce(" + ", ".join(f"TRY_CAST(regexp_extract(text, '(?i){p}', 1) AS DOUBLE)" for p in text.PARAMETERS.values()) + ") IS NOT NULL"
+@query("h25_parameters", f"WITH r AS ({REQUESTS}) SELECT id, " + ", ".join(f"{c} AS {k}" for k, c in _STATED.items()) + " FROM r")
+def h25(t: Tables) -> DataFrame:
+    return t.sql(REQUESTS).select("id", *[c.alias(k) for k, c in text.parameters_of(F.col("text")).items()])
 
 
-@query("h26_intent", rf"WITH r AS ({REQUESTS}) SELECT id, CASE WHEN regexp_matches(text, '{text.TROUBLE}') THEN 'troubleshooting' WHEN regexp_matches(text, '{text.SETUP}') OR ({_STATED} AND NOT regexp_matches(text, '{text.ASKING}')) THEN 'setup' ELSE 'general' END AS intent FROM r")
+@query("h26_intent", rf"WITH r AS ({REQUESTS}) SELECT id, CASE WHEN regexp_matches(text, '{text.TROUBLE}') THEN 'troubleshooting' WHEN regexp_matches(text, '{text.SETUP}') OR ({_ANY_STATED} AND NOT regexp_matches(text, '{text.ASKING}')) THEN 'setup' ELSE 'general' END AS intent FROM r")
 def h26(t: Tables) -> DataFrame:
     return t.sql(REQUESTS).select("id", text.intent_of(F.col("text")).alias("intent"))
 
@@ -387,12 +399,43 @@ def h17(t: Tables) -> DataFrame:
     return t.sql(PAPERS).select("id", text.journal_of(F.concat(F.coalesce("journal", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))).alias("journal"))
 
 
+def _chain(c: str, table, test: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(c=c, p=p)} THEN '{n}'" for p, n in table.items())
+
+
+@query("h17_journal_of_name", f"WITH p AS ({PAPERS}) SELECT id, {_chain('stem', text.JOURNALS, 'contains({c}, $${p}$$)')} ELSE 'Unknown Journal' END AS journal FROM (SELECT id, lower(regexp_replace(coalesce(journal, '') || '_' || filename, '\.[^.]*$', '')) AS stem FROM p)")
+def h17n(t: Tables) -> DataFrame:
+    return t.sql(PAPERS).select("id", text.journal_of_name(F.concat(F.lit("/some/folder/"), F.coalesce("journal", F.lit("")), F.lit("_"), "filename")).alias("journal"))
+
+
+_DOIS = "SELECT o_orderkey AS id, CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '10.1016/j.FoodChem.2020.' || CAST(o_custkey AS STRING) WHEN 1 THEN '10.3390/foods1406' || CAST(o_custkey AS STRING) WHEN 2 THEN '10.3390/newJ' || CAST(o_custkey AS STRING) WHEN 3 THEN '10.1007/s00217-' || CAST(o_custkey AS STRING) WHEN 4 THEN '10.1038/S41598-' || CAST(o_custkey AS STRING) WHEN 5 THEN '10.1007/x' ELSE '10.3390/123' END AS doi FROM {orders}"
+
+
+@query("h17_journal_of_doi", f"""WITH d AS (SELECT *, lower(doi) AS low, regexp_replace(split_part(doi, '/', 2), '[^A-Za-z]', '', 'g') AS code FROM ({_DOIS}))
+SELECT id, {_chain('low', text.DOI_JOURNALS, "starts_with({c}, '{p}')")} WHEN starts_with(low, '10.3390') THEN {_chain('lower(code)', text.LETTER_JOURNALS, "{c} = '{p}'")} WHEN code <> '' THEN 'MDPI - ' || upper(code[1:1]) || lower(code[2:]) END
+  WHEN starts_with(low, '10.1007') THEN {_chain('low', text.CODE_JOURNALS, "contains({c}, '{p}')")} END END AS journal FROM d""")
+def h17d(t: Tables) -> DataFrame:
+    return t.sql(_DOIS).select("id", text.journal_of_doi(F.col("doi")).alias("journal"))
+
+
+_BODIES = "SELECT c_custkey AS id, c_name || chr(10) || CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'Smith J. A., Lee, K. and Doe P.' WHEN 1 THEN 'By Ann Lee' WHEN 2 THEN 'Moe, A. ' || chr(10) || 'Roe B. C.' ELSE 'Abe C.' || chr(10) || 'Bea D., Cal E., Dee F., Eve G., Fay H.' END AS body FROM {customer}"
+
+
+@query("h18_authors_in_text", f"""WITH l AS (SELECT id, unnest(string_split(body, chr(10))[1:20]) AS l, generate_subscripts(string_split(body, chr(10))[1:20], 1) AS k FROM ({_BODIES})),
+f AS (SELECT id, k, regexp_extract_all(l, '[A-Z][a-z]+(?:,?\s+[A-Z]\.)+') AS f, regexp_matches(l, '[A-Z][a-z]+\s+[A-Z]\.')::INT + regexp_matches(l, '[A-Z][a-z]+,\s+[A-Z]\.')::INT AS n FROM l)
+SELECT id, array_to_string(flatten(list(CASE n WHEN 2 THEN list_concat(f, f) WHEN 1 THEN f ELSE [] END ORDER BY k))[1:5], '|') AS names FROM f GROUP BY id""")
+def h18t(t: Tables) -> DataFrame:
+    return t.sql(_BODIES).select("id", F.array_join(text.authors_in(F.col("body")), "|").alias("names"))
+
+
 @query("h25_mentions", f"WITH r AS ({REQUESTS}) SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in text.MENTIONS.items()) + "], lambda x: x IS NOT NULL), ',') AS parameters FROM r")
 def h25m(t: Tables) -> DataFrame:
     return t.sql(REQUESTS).select("id", F.array_join(text.mentioned(F.col("text")), ",").alias("parameters"))
 
 
-@query("j21_numbered_citations", f"WITH a AS ({ANSWERS}) SELECT id, CASE kind WHEN 0 THEN 'Sugar is sweet [[1]](#ref_1) [[2]](#ref_99) and so is  honey [[3]](#ref_2).' WHEN 2 THEN 'See [[1]](#ref_77) only.' WHEN 4 THEN 'Twice [[1]](#ref_2) and again [[1]](#ref_2) [[2]](#ref_1) with [3] and [CrossRef]' ELSE answer END AS answer FROM a")
+@query("j21_numbered_citations", f"""WITH a AS ({ANSWERS}), c AS ({_CUT}), i AS (SELECT id, k, unnest({_IDS}) AS x, generate_subscripts({_IDS}, 1) AS j FROM c WHERE k <= len(groups)),
+n AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY min(k * 1000 + j)) AS no FROM i GROUP BY id, x), l AS (SELECT id, k, string_agg('[[' || no || ']](#' || x || ')', ' ' ORDER BY j) AS links FROM i JOIN n USING (id, x) GROUP BY id, k)
+SELECT id, string_agg(gap || coalesce(links, ''), '' ORDER BY k) AS answer FROM c LEFT JOIN l USING (id, k) GROUP BY id""")
 def j21(t: Tables) -> DataFrame:
     return t.sql(ANSWERS).select("id", text.citations_numbered(F.col("answer")).alias("answer"))
 
