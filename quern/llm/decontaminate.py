@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.words import tokens, windows
+from quern.llm.words import parts, tokens, windows
 
 #: Tokens of a window (shorter items are one window of their own length), and how many of them must be literal where others are slots.
 WINDOW, LITERALS = 8, 4
@@ -193,8 +193,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         return (table[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 > 0
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, codes, lits, slots = templates(b.column("text"))
+        for keys, (first_row, texts) in ((b.column("text_key"), p) for b in batches for p in parts(b.column("text"))):
+            row, codes, lits, slots = templates(texts)
             for n in sizes:
                 for plain, at, code in _windows(row, codes, lits, slots, n):
                     hit = passes(code)
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
                         continue
                     start = np.searchsorted(row, row[at])
                     found = np.empty(0, np.int64) if plain else lits.view(np.int64)[at[:, None] + np.arange(n)].ravel()
-                    cols = [b.column("text_key").take(pa.array(row[at])), pa.array((at - start).astype(np.int32)), pa.array(np.full(len(at), plain)), pa.array(code.view(np.int64)), _lists(found, np.full(len(at), 0 if plain else n), pa.int64())]
+                    cols = [keys.take(pa.array(first_row + row[at])), pa.array((at - start).astype(np.int32)), pa.array(np.full(len(at), plain)), pa.array(code.view(np.int64)), _lists(found, np.full(len(at), 0 if plain else n), pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     texts = docs.where("text is not null").select(text_key(F.col("text")).alias("text_key"), "text")

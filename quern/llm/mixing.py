@@ -18,6 +18,8 @@ MAX_SOURCES = 100_000
 SHARD_WORDS, MAX_SHARDS = 2_000_000, 4096
 BLOCK_WORDS = 32
 SEED = 7
+#: Cuts, one row a shard, of at most this number are broadcast; more are joined by shuffle.
+BROADCAST_CUTS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -160,5 +162,7 @@ def _taken(
     cuts = strung.groupBy(*where).agg(F.first("_passes").alias("_passes"), F.max(cut).alias("_cut"), F.max(part).alias("_part"))
     own = F.struct("_draw", F.col(id_col).alias("id"), "size")
     extra = F.when(own < F.col("_cut"), F.col("size")).when(own == F.col("_cut"), F.col("_part")).otherwise(0)
+    if sum(shards) <= BROADCAST_CUTS:  # one row a shard, so their number is known
+        cuts = F.broadcast(cuts)
     out = dealt(rows).join(cuts, where, "left")
     return out.withColumn("taken", F.coalesce(F.col("_passes") * F.col("size") + extra, F.lit(0)).cast("bigint"))

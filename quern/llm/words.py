@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 import xxhash
 
 _STEP = 0x9E3779B97F4A7C15
+#: Bytes of text whose words a worker holds at a time; a longer text is held whole.
+PART_BYTES = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,13 +37,27 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return row, at, vocabulary
 
 
+def parts(texts: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """An array of texts in slices of about ``most`` bytes, each at least one text, with the place of their first."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, texts.slice(at, upto - at)
+        at = upto
+
+
 def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
     """The hashes of the words of each text, as :func:`hashed` of :func:`words` gives them."""
-    row, at, vocabulary = tokens(pc.ascii_lower(texts.cast(pa.large_string())))
-    flat = hashed(vocabulary)[at]
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        yield flat[a:b]
+    for _, part in parts(texts):
+        row, at, vocabulary = tokens(pc.ascii_lower(part.cast(pa.large_string())))
+        flat = hashed(vocabulary)[at]
+        bounds = np.searchsorted(row, np.arange(len(part) + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield flat[a:b]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
