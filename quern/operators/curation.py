@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -81,39 +82,88 @@ def linked_by_keys(rows: DataFrame, id_col: str, keys: Mapping[str, Column]) ->
     return out
 
 
+_local: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster without one is an error."""
+    """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary folder of this process, a cluster without one is an error."""
     import tempfile
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="quern-"))
+        root = _local[0]
     return root.rstrip("/")
 
 
 def written_table(df: DataFrame) -> DataFrame:
     """Written in the shared folder and read back, so that a loop's plan does not grow and a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/quern-loop-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quern-loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written_table` that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_quern_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
+
+
+def release() -> None:
+    """Delete all tables made by :func:`written_table`. Results read them when they are worked out, so call this after the last action on any result."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        return
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
-    """``id, group`` (smallest id reachable over ``edges(u, v)``) by rounds of smallest neighbour labels and pointer jumps."""
-    both = written_table(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = written_table(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("g")))
+    """``id, group`` (smallest id reachable over ``edges(u, v)``) of every id on an edge.
+
+    Each round links the greater neighbours of an id with its smallest one, then the smaller ones, so that edges become stars in a logarithmic number of
+    rounds; no id's neighbours meet in one list, and a count and a sum of hashes tell when nothing changes any more.
+    """
+    ends = edges.where("u is not null and v is not null")
+    now = written_table(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("g").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("u")).select("id", F.least("g", "m").alias("g"))
-        jump = step.alias("a").join(step.alias("b"), F.expr("a.g = b.id"), "left").select(F.col("a.id").alias("id"), F.least("a.g", F.coalesce("b.g", "a.g")).alias("g"))
-        new = written_table(jump)
-        moved = new.alias("a").join(labels.alias("b"), "id").where("a.g <> b.g").limit(1).count()
-        labels = new
-        if not moved:
-            return labels.select("id", F.col("g").alias("group"))
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state["n"] == 0 or state == before:
+            break
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written_table(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        dropped(now)
+        now, before = new, state
+    ids = ends.select(F.col("u").alias("id")).unionByName(ends.select(F.col("v").alias("id"))).distinct()
+    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def containing(rows: DataFrame, body: str, terms: DataFrame, term: str, how: str = "inner", block: int = 2000) -> DataFrame:

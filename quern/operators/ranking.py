@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import numbers, text
+from quern.operators.ranges import ranked
 
 # Journals and cues of evidence, with their scores.
 TOP_JOURNALS = ["nature", "science", "cell", "lancet", "new england journal of medicine", "jama", "british medical journal", "bmj", "food chemistry",
@@ -71,9 +72,9 @@ def topic_score(base: Column, overlap: Column, concept_hits: Column, focus: Colu
 
 
 def numbered(refs: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """``ref_id`` ref_1, ref_2, ... in the given order, for each group of ``by``. Without groups the rows are those of one answer."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return refs.withColumn("ref_id", F.concat(F.lit("ref_"), F.row_number().over(w).cast("string")))
+    """``ref_id`` ref_1, ref_2, ... in the given (total) order, for each group of ``by``, whatever a group's size."""
+    placed = ranked(refs, list(by), list(order), "_no")
+    return placed.withColumn("ref_id", F.concat(F.lit("ref_"), F.col("_no").cast("string"))).drop("_no", "all__no")
 
 
 def supplemented(refs: DataFrame, catalog: DataFrame, target: int, overlap: Column, concept_hits: Column, allow_weak: bool = True) -> DataFrame:

@@ -21,21 +21,25 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "vec
     return vectors.select(id_col, dot_with(F.col(vector_col), list(query)).alias("score")).orderBy(F.desc("score"), id_col).limit(max(1, k))
 
 
-def scores(vectors: DataFrame, queries: DataFrame, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
-    """``query_id, vec_id, score`` of every vector for every row of ``queries(query_id, query)``, a set that is counted first and
-    broadcast in blocks of ``block`` rows. Filter or rank before anything moves: nothing here does."""
-    n = queries.count()
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))).cast("int"))
-    parts = []
-    for b in range(max(1, -(-n // block))):
-        pairs = vectors.select("vec_id", "embedding", *keep).join(F.broadcast(numbered.where(F.col("_block") == b).select("query_id", "query")))
-        parts.append(pairs.select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"), *keep))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def met(rows: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every row with every one of ``queries(query_id, ...)``, a stated set that is counted first and broadcast in blocks of about ``block`` rows; the rows
+    are scanned once a block and never moved. Filter or rank what comes of it before anything else moves."""
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        return rows.join(F.broadcast(queries))
+    numbered, out = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), None
+    for b in range(blocks):
+        part = rows.join(F.broadcast(numbered.where(F.col("_block") == b).drop("_block")))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def scores(vectors: DataFrame, queries: DataFrame, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """``query_id, vec_id, score`` of every vector for every row of ``queries(query_id, query)``: see :func:`met`."""
+    pairs = met(vectors.select("vec_id", "embedding", *keep), queries.select("query_id", "query"), block)
+    return pairs.select("query_id", "vec_id", dot(F.col("embedding"), F.col("query")).alias("score"), *keep)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the ``k`` best vectors for each query.
 

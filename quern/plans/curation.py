@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import paths, text
-from quern.operators import checks, compounds, curation
+from quern.operators import checks, compounds, curation, ranges
 from quern.plans.base import Tables, query
 from quern.plans.proxies import COMPOUNDS, PAPERS
 
@@ -170,14 +170,16 @@ def e14(t: Tables) -> DataFrame:
 
 @query("f5_nulls_last", f"SELECT cid, row_number() OVER (PARTITION BY kind ORDER BY sweetness DESC NULLS LAST, cid) AS down, row_number() OVER (PARTITION BY kind ORDER BY sweetness ASC NULLS LAST, cid) AS up FROM ({COMPOUNDS})")
 def f5(t: Tables) -> DataFrame:
-    rank = lambda d: F.row_number().over(Window.partitionBy("kind").orderBy(compounds.ordered(F.col("sweetness"), d), "cid")).cast("bigint")
-    return t.sql(COMPOUNDS).select("cid", rank(True).alias("down"), rank(False).alias("up"))
+    rows = t.sql(COMPOUNDS).select("cid", "kind", "sweetness")
+    for name, down in (("down", True), ("up", False)):
+        rows = ranges.ranked(rows, ["kind"], [compounds.ordered(F.col("sweetness"), down), F.col("cid").asc()], name).drop(f"all_{name}")
+    return rows.select("cid", "down", "up")
 
 
 @query("f6_year_text_order", f"SELECT id, row_number() OVER (PARTITION BY journal ORDER BY year DESC NULLS LAST, id) AS place FROM ({PAPERS})")
 def f6(t: Tables) -> DataFrame:
-    w = Window.partitionBy("journal").orderBy(F.desc_nulls_last("year"), "id")
-    return t.sql(PAPERS).select("id", F.row_number().over(w).cast("bigint").alias("place"))
+    rows = t.sql(PAPERS).select("id", "journal", "year")
+    return ranges.ranked(rows, ["journal"], [F.desc_nulls_last("year"), F.col("id").asc()], "place").select("id", "place")
 
 
 @query("f7_f9_head", "SELECT o_orderkey, o_orderdate::VARCHAR AS day FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 20")
@@ -254,7 +256,7 @@ def g13(t: Tables) -> DataFrame:
 
 _NEAR = f"""WITH c AS (SELECT cid, mw, logp, sweetness, tpsa FROM ({COMPOUNDS})), s AS (SELECT {', '.join(f"avg({p}) AS m_{p}, coalesce(nullif(stddev_pop({p}), 0), 1) AS s_{p}" for p in ('mw', 'logp', 'sweetness', 'tpsa'))} FROM c),
 z AS (SELECT cid, {', '.join(f'(({p} - m_{p}) / s_{p})::DOUBLE AS {p}' for p in ('mw', 'logp', 'sweetness', 'tpsa'))} FROM c, s),
-d AS (SELECT a.cid AS target, b.cid, list_filter([{', '.join(f'pow(a.{p} - b.{p}, 2)' for p in ('mw', 'logp', 'sweetness', 'tpsa'))}], lambda x: x IS NOT NULL) AS sq FROM z a, z b WHERE a.cid IN (1, 2, 14) AND a.cid <> b.cid),
+d AS (SELECT a.cid AS target, b.cid, list_filter([{', '.join(f'pow(a.{p} - b.{p}, 2)' for p in ('mw', 'logp', 'sweetness', 'tpsa'))}], lambda x: x IS NOT NULL) AS sq FROM z a, z b WHERE a.cid % 20 = 0 AND a.cid <> b.cid),
 r AS (SELECT target, cid, exp(-sqrt(list_sum(sq) / len(sq))) AS similarity FROM d WHERE len(sq) >= 3)
 SELECT target, cid, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY target ORDER BY round(similarity, 6) DESC, cid) AS rank FROM r QUALIFY rank <= 12"""
 
@@ -262,7 +264,7 @@ SELECT target, cid, round(similarity, 6) AS similarity, row_number() OVER (PARTI
 @query("i6_c17_neighbours", _NEAR)
 def i6(t: Tables) -> DataFrame:
     rows = t.sql(COMPOUNDS)
-    near = compounds.neighbours(rows, rows.where("cid in (1, 2, 14)"), "cid", ["mw", "logp", "sweetness", "tpsa"])
+    near = compounds.neighbours(rows, rows.where("cid % 20 = 0"), "cid", ["mw", "logp", "sweetness", "tpsa"])
     return near.select("target", "cid", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -273,10 +275,31 @@ def i7(t: Tables) -> DataFrame:
     return t.sql(COMPOUNDS).select("cid", F.round(proximity(F.col("sweetness"), F.col("mw")), 5).alias("proximity"))
 
 
-@query("i9_c18_chemical_space")
-def i9(t: Tables) -> DataFrame:
+def _bits(t: Tables) -> DataFrame:
     bits = F.aggregate(F.transform(F.slice("embedding", 1, 48), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
-    return compounds.chemical_space(t.embeddings.where("vec_id < 49").select("vec_id", F.array(bits).alias("words")), "vec_id", "words", 100)
+    return t.embeddings.select("vec_id", F.array(bits).alias("words"))
+
+
+@query("i9_chemical_space")
+def i9(t: Tables) -> DataFrame:
+    return compounds.chemical_space(_bits(t), "vec_id", "words")
+
+
+_WORD = "(" + " | ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)::BIGINT" for i in range(48)) + ")"
+
+
+@query("c18_landmark_distances", f"WITH b AS (SELECT vec_id, {_WORD} AS w FROM embeddings) SELECT b.vec_id, a.vec_id AS landmark, round(CASE WHEN bit_count(a.w | b.w) = 0 THEN 0.0 ELSE 1 - bit_count(a.w & b.w) / bit_count(a.w | b.w)::DOUBLE END, 6) AS distance FROM b a, b WHERE a.vec_id < 64")
+def c18(t: Tables) -> DataFrame:
+    """Fingerprint distances of all rows to a bounded set of them."""
+    points = _bits(t)
+    far = compounds.landmark_distances(points, points.where("vec_id < 64"), "vec_id", "words")
+    return far.select("vec_id", "landmark", F.round("distance", 6).alias("distance"))
+
+
+@query("h47_bit_operations", f"WITH b AS (SELECT vec_id, {_WORD} AS w FROM embeddings) SELECT vec_id, bit_count(w)::INT AS ones, (w & 65535)::BIGINT AS low, (w | 1)::BIGINT AS odd FROM b")
+def h47(t: Tables) -> DataFrame:
+    w = F.get("words", 0)
+    return _bits(t).select("vec_id", F.bit_count(w).alias("ones"), w.bitwiseAND(F.lit(65535)).alias("low"), w.bitwiseOR(F.lit(1)).alias("odd"))
 
 
 @query("i10_fuzzy_names")
@@ -289,6 +312,17 @@ def n1(t: Tables) -> DataFrame:
     return checks.index_report(t.embeddings, t.documents, "vec_id", "doc_id", "embedding", 64)
 
 
+_MANIFEST = "SELECT count(*) AS vector_count, count(*) + 1 AS chunk_count, 3 AS orphan_vector_count, count(*) + 3 AS vectors_seen FROM {embeddings}"
+
+
+@query("n2_release_checks", """WITH v AS (SELECT count(*) AS v FROM embeddings), c AS (SELECT count(*) AS c, count(e.vec_id) AS m FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
+SELECT unnest(['vectors = mapped = chunks', 'manifest vectors', 'manifest chunks', 'seen = indexed + orphans']) AS rule, unnest([v = m AND m = c, true, v + 1 = c, true]) AS holds FROM v, c""")
+def n2(t: Tables) -> DataFrame:
+    ids = t.embeddings.select("vec_id").distinct()
+    chunks = t.documents.join(ids, F.col("doc_id") == F.col("vec_id"), "left")
+    return checks.release_report(t.embeddings, chunks, t.sql(_MANIFEST), "vec_id", "vec_id")
+
+
 @query("n4_catalog_rules", f"WITH p AS ({PAPERS}) SELECT id, CASE WHEN coalesce(file_path, '') = '' THEN 'no path' WHEN trim(coalesce(title, ''), ' ') = '' THEN 'no title' WHEN contains(file_path, chr(92)) THEN 'path not canonical' END AS violation FROM p WHERE coalesce(file_path, '') = '' OR trim(coalesce(title, ''), ' ') = '' OR contains(file_path, chr(92))")
 def n4(t: Tables) -> DataFrame:
     rules = {"no path": F.coalesce("file_path", F.lit("")) == "", "no title": F.trim(F.coalesce("title", F.lit(""))) == "", "path not canonical": F.contains("file_path", F.lit("\\"))}
@@ -300,10 +334,13 @@ def n5(t: Tables) -> DataFrame:
     return checks.violations(t.labels, "doc_id", {"quality": ~F.col("quality").isin(0, 1), "approved but toxic": (F.col("toxic") == 1) & (F.col("quality") == 1)})
 
 
-@query("n7_a22_identity", "SELECT 'gone' AS change, count(*) AS n FROM (SELECT doc_id, sha256(text) FROM documents EXCEPT SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 10 <> 3) UNION ALL SELECT 'new', 0")
+@query("n7_a22_identity", "SELECT 'gone' AS change, count(*) AS n FROM (SELECT doc_id, sha256(coalesce(text, '')) FROM documents EXCEPT SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE coalesce(text, '') END) FROM documents WHERE doc_id % 10 <> 3) UNION ALL SELECT 'new', count(*) FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE coalesce(text, '') END) FROM documents WHERE doc_id % 10 <> 3 EXCEPT SELECT doc_id, sha256(coalesce(text, '')) FROM documents)")
 def n7(t: Tables) -> DataFrame:
-    files = t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
-    return checks.changes(files, files.where("doc_id % 10 <> 3"))
+    """A second manifest that lacks some files and has others changed."""
+    text = F.coalesce("text", F.lit(""))
+    files = t.documents.select("doc_id", F.sha2(text, 256).alias("digest"))
+    later = t.documents.where("doc_id % 10 <> 3").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, "x").otherwise(text), 256).alias("digest"))
+    return checks.changes(files, later)
 
 
 @query("n8_unique_and_bounded", "SELECT count(*) - count(DISTINCT p_partkey) AS repeated, count(*) FILTER (NOT p_size BETWEEN 0 AND 50) AS outside FROM part")
