@@ -258,6 +258,37 @@ def chunks(c: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
 
 
+def sentence_chunks(c: Column, size: int = 512, overlap: int = 50) -> Column:
+    """Chunks of whole sentences, at most ``size`` words each, as far as sentences of paragraphs (parted by blank lines) fit; each chunk but the first repeats
+    the last sentences of the one before that have at most ``overlap`` words together. A sentence ends at , . ; 。 ？ ！ or with its paragraph; one of more than
+    ``size`` words is cut into pieces of ``size``. White space becomes single spaces.
+    """
+    none = F.array().cast("array<string>")
+    sentences = F.flatten(F.transform(F.split(c, r"\n\n"), lambda p: F.regexp_extract_all(p, F.lit(r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]"), F.lit(0))))
+    words = F.filter(F.transform(sentences, lambda s: F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")), lambda w: F.size(w) > 0)
+    cut = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda k: F.slice(w, k * size + 1, F.lit(size)))))
+    start = F.struct(none.alias("done"), F.array().cast("array<array<string>>").alias("open"), F.lit(0).alias("n"))
+    count = lambda parts: F.aggregate(parts, F.lit(0), lambda n, w: n + F.size(w))
+    joined = lambda parts: F.array_join(F.flatten(parts), " ")
+
+    def kept(parts: Column, room: Column) -> Column:
+        """The last sentences that repeat: no more words than the overlap, nor than leave room for the next sentence."""
+        starts = F.sequence(F.lit(1), F.size(parts) + 1)
+        first = F.get(F.filter(starts, lambda k: count(F.slice(parts, k, F.size(parts))) <= F.least(F.lit(overlap), room)), F.lit(0))
+        return F.slice(parts, first, F.size(parts))
+
+    def add(st: Column, w: Column) -> Column:
+        fits = st["n"] + F.size(w) <= size
+        again = kept(st["open"], F.lit(size) - F.size(w))
+        open_ = F.when(fits, F.array_append(st["open"], w)).otherwise(F.array_append(again, w))
+        return F.struct(
+            F.when(fits, st["done"]).otherwise(F.array_append(st["done"], joined(st["open"]))).alias("done"), open_.alias("open"),
+            F.when(fits, st["n"] + F.size(w)).otherwise(count(again) + F.size(w)).alias("n"),
+        )
+
+    return F.aggregate(cut, start, add, lambda st: F.when(F.size(st["open"]) > 0, F.array_append(st["done"], joined(st["open"]))).otherwise(st["done"]))
+
+
 # Journals by a name or short name in running text; the longest that occurs counts.
 JOURNALS = {
     "nature": "Nature", "science": "Science", "cell": "Cell", "lancet": "The Lancet", "jama": "JAMA", "nejm": "New England Journal of Medicine",

@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +167,37 @@ def groups_of(edges: DataFrame) -> DataFrame:
     return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
+#: Endings that mark a copy of a file, a year in a name's middle, and how generic downloads begin.
+COPY_MARK = r"(?i)(?:\s*\(\d+\)|[ _-]copy|\s*副本)$"
+DATED = r"\s-\s(?:19|20)\d{2}\s-\s"
+DOWNLOADED = "1-s2.0-"
+
+
+def keeper_rank(path: Column, title: Column, pages: Column, size: Column) -> Column:
+    """What makes a file the one to keep of its copies, as a struct to take the greatest of: no copy mark, pages, no generic name, likeness of name and title
+    (difflib ratio of their letters and digits), author and year in the name, size."""
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if y else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+    stem = F.regexp_replace(F.regexp_extract(path, r"[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    key = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
+    return F.struct(
+        (~F.regexp_like(stem, F.lit(COPY_MARK))).cast("int").alias("unmarked"), pages.alias("pages"), (~F.lower(stem).startswith(DOWNLOADED)).cast("int").alias("named"),
+        likeness(key(F.regexp_replace(stem, COPY_MARK, "")), key(title)).alias("likeness"), F.regexp_like(stem, F.lit(DATED)).cast("int").alias("dated"), size.alias("size"),
+    )
+
+
+def kept_copies(rows: DataFrame, by: str, path: str, title: str, pages: str, size: str) -> DataFrame:
+    """``<by>, kept``: of the files of each group the path with the greatest :func:`keeper_rank`; of equals the smallest path."""
+    ranked = rows.select(by, F.col(path).alias("_path"), keeper_rank(F.col(path), F.col(title), F.col(pages), F.col(size)).alias("_rank"))
+    best = ranked.groupBy(by).agg(F.max("_rank").alias("_best"))
+    return ranked.join(best, by).where(F.col("_rank") == F.col("_best")).groupBy(by).agg(F.min("_path").alias("kept"))
+
+
 def containing(rows: DataFrame, body: str, terms: DataFrame, term: str, how: str = "inner", block: int = 2000) -> DataFrame:
     """Rows whose ``body`` contains a term, as literal text: with the term (``how`` inner), or once each (left_semi; needs distinct rows).
 

@@ -152,6 +152,12 @@ def d26(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("digest")).agg(best.alias("kept"), F.count("*").alias("n"), F.when(F.count_distinct("source") == 1, "source").otherwise("text").alias("reason"))
 
 
+@query("d26_kept_copies")
+def d26k(t: Tables) -> DataFrame:
+    rows = t.sql(PAPERS).select("id", "filename", "title", F.pmod("id", F.lit(40)).alias("g"), F.pmod("id", F.lit(3)).alias("pages"), F.length("title").alias("size"))
+    return curation.kept_copies(rows, "g", "filename", "title", "pages", "size")
+
+
 @query("d28_d29_health", "SELECT count(*) FILTER (p_retailprice > 0) AS priced, count(*) FILTER (p_size > 10) AS sized, CASE WHEN bool_and(p_retailprice > 0) AND count(*) > 0 THEN 'ready' ELSE 'degraded' END AS state FROM part")
 def d28(t: Tables) -> DataFrame:
     return t.part.agg(F.count_if(F.col("p_retailprice") > 0).alias("priced"), F.count_if(F.col("p_size") > 10).alias("sized"), F.when(F.bool_and(F.col("p_retailprice") > 0) & (F.count("*") > 0), "ready").otherwise("degraded").alias("state"))

@@ -154,7 +154,10 @@ def j2(t: Tables) -> DataFrame:
     return t.sql(QUESTIONS).select("id", q.expansion(F.col("question")).alias("search"))
 
 
-@query("j4_variants")
+@query("j4_variants", f"""WITH a AS (SELECT id, question, {_concepts_sql('question')} AS cs, regexp_replace(lower(trim(question, ' ')), '({q.QUESTION_WORDS})', ' ', 'g') AS t FROM ({QUESTIONS})),
+b AS (SELECT id, question, array_to_string(list_concat([question], {_EXPAND})[1:10], ' OR ') AS e, {_TOKENS} AS k FROM a),
+c AS (SELECT id, list_filter(list_transform([e, question, CASE WHEN contains(e, ' OR ') THEN split_part(e, ' OR ', 1) END, CASE WHEN len(k) > 0 THEN array_to_string(k[1:3], ' ') END, CASE WHEN len(k) >= 2 THEN k[1] || ' ' || k[2] || ' 相互作用 机制' END], lambda x: nullif(trim(x, ' '), '')), lambda x: x IS NOT NULL) AS l FROM b)
+SELECT id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], ' | '), '') AS variants FROM c""")
 def j4(t: Tables) -> DataFrame:
     c = F.col("question")
     return t.sql(QUESTIONS).select("id", F.array_join(q.variants(q.expansion(c), c), " | ").alias("variants"))

@@ -457,3 +457,27 @@ def h41(t: Tables) -> DataFrame:
     body = F.to_json(F.struct(F.when(k == 0, F.array(F.array(y))).alias("print"), F.when(k == 1, F.array(F.array(y + 1))).alias("online"), F.array(F.array(y + 2)).alias("issued")))
     parts = F.from_json(body, "print array<array<bigint>>, online array<array<bigint>>, issued array<array<bigint>>")
     return t.orders.select("o_orderkey", F.coalesce(*[F.get(F.get(parts[c], 0), 0) for c in ("print", "online", "issued")]).alias("year"))
+
+
+@query("j1_sentence_chunks")
+def j1s(t: Tables) -> DataFrame:
+    """Sentence chunks of every document, with their number and size."""
+    made = t.documents.select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"))).alias("no", "chunk"))
+    return made.select("doc_id", "no", F.size(F.split("chunk", " ")).alias("words"), F.sha2("chunk", 256).alias("digest"))
+
+
+@query("h1_text_tests", "SELECT p_partkey, lower(trim('  ' || p_brand || ' ')) AS brand, contains(lower(p_name), 'red') AS red, contains(p_type, '_') OR contains(p_type, '%') AS marks FROM part")
+def h1(t: Tables) -> DataFrame:
+    marks = F.contains("p_type", F.lit("_")) | F.contains("p_type", F.lit("%"))
+    return t.part.select("p_partkey", F.lower(F.trim(F.concat(F.lit("  "), "p_brand", F.lit(" ")))).alias("brand"), F.contains(F.lower("p_name"), F.lit("red")).alias("red"), marks.alias("marks"))
+
+
+@query("f8_slices", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], '|') AS five, array_to_string(string_split(text, ' ')[1:10], '|') AS ten, array_to_string(string_split(text, ' ')[1:3], '|') AS three FROM documents")
+def f8(t: Tables) -> DataFrame:
+    words = F.split("text", " ")
+    return t.documents.select("doc_id", *[F.array_join(F.slice(words, 1, n), "|").alias(k) for k, n in (("five", 5), ("ten", 10), ("three", 3))])
+
+
+@query("g10_ordered_unique", "WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS l FROM part) SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS words FROM w")
+def g10(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.array_join(F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")), "|").alias("words"))

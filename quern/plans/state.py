@@ -182,6 +182,23 @@ def a19(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{at}/out").select("event_id", "line")
 
 
+@query("a22_quarantine", "SELECT unnest(['quarantine', 'quarantine', 'rollback', 'purge']) AS action, unnest([true, false, true, true]) AS done, unnest([4, 1, 2, 2])::BIGINT AS n WHERE (SELECT count(*) FROM region) = 5")
+def a22(t: Tables) -> DataFrame:
+    """Four files set aside and a fifth that is missing; two come back, the other two are deleted."""
+    from quern.sources import files
+
+    at = _folder(t, "papers")
+    t.region.where("r_regionkey < 4").select("r_name", F.col("r_regionkey").alias("k")).write.partitionBy("k").text(at)
+    names = [r["path"] for r in files.listing(t.spark, at, [".txt"]).orderBy("path").collect()]
+    made = t.spark.createDataFrame([(p, p.replace(at.rsplit("/", 1)[1], "held", 1) + f".{i}") for i, p in enumerate([*names, f"{at}/none.txt"])], "path string, held string")
+    steps = [("quarantine", made), ("rollback", made.where("held like '%.0' or held like '%.1'")), ("purge", made.where("held like '%.2' or held like '%.3'"))]
+    out = None
+    for action, part in steps:
+        one = files.apply_manifest(t.spark, part, action).select(F.lit(action).alias("action"), "done")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("action", "done").agg(F.count("*").alias("n"))
+
+
 @query("n9_read_only", "SELECT r_name, 'upsert delete' AS rejected FROM region")
 def n9(t: Tables) -> DataFrame:
     from quern.sources import files

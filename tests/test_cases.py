@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import citations, numbers, paths, text
-from quern.operators import checks, compounds, curation, metrics, ml, queries, ranking, retrieval
+from quern.operators import checks, compounds, curation, metrics, ml, queries, ranges, ranking, retrieval
 from quern.sources import files
 from quern.streaming import jobs, streams
 
@@ -305,3 +305,175 @@ def test_domains_load_once(spark):
         with pytest.raises(error):
             domains.get(name)
     assert {r["domain"]: r["state"] for r in domains.snapshot(spark).collect()} == {"a": "ready", "b": "failed", "c": "not_built", "d": "not_loaded"}
+
+
+def test_ranks_and_quantiles_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]) if i % 4 else "a", rng.choice([None, rng.randint(0, 30) / 4])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, v double").repartition(7)
+    found = ranges.ranked(df, ["g"], [F.desc_nulls_last("v"), F.col("id").asc()], "place").collect()
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [(r["id"], r["place"], r["all_place"]) for r in sorted(found, key=lambda r: r["place"]) if r["g"] == g] == [(r[0], k + 1, len(own)) for k, r in enumerate(own)]
+    for r in ranges.quantiles(df, ["g"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}).collect():
+        own = sorted(x[2] for x in rows if x[1] == r["g"] and x[2] is not None)
+        at = lambda p: own[int((len(own) - 1) * p)] + (own[min(len(own) - 1, int((len(own) - 1) * p) + 1)] - own[int((len(own) - 1) * p)]) * ((len(own) - 1) * p % 1)
+        assert abs(r["low"] - at(0.25)) < 1e-9 and abs(r["mid"] - at(0.5)) < 1e-9 and r["top"] == own[-1]
+    assert ranges.quantiles(df.where("false"), ["g"], "v", {"mid": 0.5}).count() == 0
+
+
+def test_exact_areas(spark):
+    rng = random.Random(4)
+    rows = [(rng.random() / 1e7, int(rng.random() < 0.4)) for _ in range(300)] + [(0.5, 1), (0.5, 0)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    area = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+    assert abs(metrics.roc_auc(df, "y", "s").first()[0] - area) < 1e-9
+
+
+def test_titles_as_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["sweet", "receptor", "binding", "a", "review", "of", "the", "effects", "effect", "in", "rats", "taste"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["a review of sweet receptor binding", "effects of taste in rats", "A", "ab", "abcde", "Sweet"]
+
+    def changed(t):
+        at = rng.randrange(len(t))
+        return rng.choice([t, t[:at] + t[at + 1 :], t[:at] + "x" + t[at:], t[:at] + "y" + t[at + 1 :], t.partition(" ")[2] or t, t.upper()])
+
+    others = [changed(t) for t in titles] + ["review of sweet receptor binding", "effect of taste in rats", "abcdf"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    found = {r["id"]: (r["match"], round(r["ratio"], 9)) for r in compounds.best_titles(rows, spark.createDataFrame([(t,) for t in others], "title string"), "id", "title").collect()}
+    for i, t in enumerate(titles):
+        best = max((SequenceMatcher(None, t.lower(), o.lower()).ratio(), o.lower()) for o in others)
+        if best[0] >= 0.9:
+            assert found[i][1] == round(best[0], 9) and SequenceMatcher(None, t.lower(), found[i][0].lower()).ratio() == best[0], (t, best, found.get(i))
+        else:
+            assert i not in found
+    assert sum(1 for i in found if titles[i].lower() != found[i][0].lower()) > 10
+
+
+def test_token_sets(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        assert compounds.common_letters(a, b) == row[-1]
+    assert compounds.token_set_ratio("Red widget", "widget, red!") == 100 and compounds.token_set_ratio("", "a") == 0
+    assert compounds.token_set_ratio("red wigdet", "red widget") == 90
+    rows = spark.createDataFrame([(i, "red widget" if i > 3 else "blue", "red") for i in range(30)], "id int, a string, b string")
+    best = compounds.fuzzy(rows, "id", ["a", "b"], "red widget", limit=5, least=60).collect()
+    assert [(r["id"], r["column"]) for r in best] == [(i, "a") for i in range(4, 9)]
+
+
+def test_chemical_space_keeps_what_two_axes_can(spark):
+    rng = random.Random(7)
+    near, far = (1 << 40) - 1, ((1 << 20) - 1) << 42
+    rows = [(i, [(near if i % 2 else far) & ~(1 << rng.randrange(62))]) for i in range(90)]
+    found = {r["id"]: (r["x"], r["y"]) for r in compounds.chemical_space(spark.createDataFrame(rows, "id bigint, words array<bigint>"), "id", "words").collect()}
+    assert len(found) == 90
+    sides = [{found[i][0] > 0.5 for i in range(k, 90, 2)} for k in (0, 1)]
+    assert len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
+    for n in (0, 1, 2):
+        assert compounds.chemical_space(spark.createDataFrame(rows[:n], "id bigint, words array<bigint>"), "id", "words").count() == n
+
+
+def test_release_report_digests_and_guards(spark, tmp_path):
+    import hashlib
+
+    from quern.operators import checks
+
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    vectors, chunks = make([(1,), (2,)], "id int"), make([("a", 1), ("b", 2)], "c string, id int")
+    report = lambda chunks, *m: {r["rule"]: r["holds"] for r in checks.release_report(vectors, chunks, make([m], "vector_count int, chunk_count int, orphan_vector_count int, vectors_seen int"), "id", "id").collect()}
+    assert all(report(chunks, 2, 2, 1, 3).values()) and all(report(chunks, 2, 2, None, None).values())
+    assert [k for k, v in report(chunks, 1, 2, 0, 2).items() if not v] == ["manifest vectors"]
+    assert not report(make([("a", 1), ("b", None)], "c string, id int"), 2, 2, 0, 2)["vectors = mapped = chunks"]
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    assert [tuple(r) for r in files.digests(spark, str(tmp_path)).collect()] == [("x.bin", hashlib.sha256(b"abc").hexdigest())]
+    files.guard(spark, str(tmp_path), 0.0, 1e6)
+    for limits in ((1e9, 1e6), (0.0, 1e-6)):
+        with pytest.raises(RuntimeError):
+            files.guard(spark, str(tmp_path), *limits)
+
+
+def test_a_broken_publish_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "rel")
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, root)
+    files.publish(spark.range(3), root, "1")
+    (tmp_path / "rel" / "pointers" / ".half").write_text("{")  # a publisher that stopped before its rename
+    assert files.current(spark, root).count() == 3
+    files.publish(spark.range(5), root, "2")
+    assert files.current(spark, root).count() == 5
+
+
+def test_sentence_chunks_as_the_loop(spark):
+    import re
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["one two", "a", "long words here", " ", "\n\n", "\n", ".", ",", "。", "; ", "x " * 12]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["", " \n\n ", "w " * 45]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", text.sentence_chunks(F.col("t"), 10, 4).alias("c")).collect()
+    for r in found:
+        parts = []
+        for p in texts[r["i"]].split("\n\n"):
+            for s in re.findall(r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]", p):
+                w = s.split()
+                parts += [w[k : k + 10] for k in range(0, len(w), 10)]
+        done, open_ = [], []
+        for w in parts:
+            if sum(map(len, open_)) + len(w) > 10:
+                done.append(open_)
+                again = []
+                for x in reversed(open_):
+                    if sum(map(len, again)) + len(x) > min(4, 10 - len(w)):
+                        break
+                    again.insert(0, x)
+                open_ = again
+            open_ = [*open_, w]
+        want = [" ".join(w for s in ch for w in s) for ch in [*done, open_] if ch]
+        assert r["c"] == want, texts[r["i"]]
+        assert all(len(ch.split()) <= 10 for ch in r["c"])
+
+
+def test_kept_copies_as_the_rule(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    rows = [
+        ("a", "x/Sweet taste (2).pdf", "Sweet taste", 9, 10), ("a", "x/1-s2.0-S0.pdf", "Sweet taste", 9, 99), ("a", "x/Sweet taste.pdf", "Sweet taste!", 9, 5), ("a", "x/Lee - 2001 - Sweet.pdf", "Sweet taste", 9, 5),
+        ("b", "x/p copy.pdf", None, 7, 1), ("b", "x/q.pdf", None, 3, 1), ("b", "x/r.pdf", None, 3, 1), ("c", "x/s - 1999 - t.pdf", "", 1, 1), ("c", "x/t.pdf", "", 1, 1),
+    ]
+
+    def rank(path, title, pages, size):
+        stem = path.rpartition("/")[2].rpartition(".")[0]
+        key = lambda x: re.sub("[^a-z0-9]+", "", x.lower())
+        mark = re.compile(curation.COPY_MARK)
+        like = SequenceMatcher(None, key(mark.sub("", stem)), key(title)).ratio() if key(title or "") else 0.0
+        return (not mark.search(stem), pages, not stem.lower().startswith("1-s2.0-"), like, bool(re.search(curation.DATED, stem)), size)
+
+    found = {r["g"]: r["kept"] for r in curation.kept_copies(spark.createDataFrame(rows, "g string, path string, title string, pages int, size int"), "g", "path", "title", "pages", "size").collect()}
+    for g in "abc":
+        own = [r[1:] for r in rows if r[0] == g]
+        best = max(rank(*r) for r in own)
+        assert found[g] == min(r[0] for r in own if rank(*r) == best)
+    assert found["a"] == "x/Sweet taste.pdf" and found["c"] == "x/s - 1999 - t.pdf"
+
+
+def test_catalog_text_with_unicode(spark):
+    import html
+    import re
+    import unicodedata
+
+    texts = ["Ｆｕｌｌ ｗｉｄｔｈ &amp; <i>x</i>", "ﬁne &#945;-D  \u00a0glucose", None, "n/a", "&lt;b&gt;kept&lt;/b&gt;", "a\u2003b\tc", "Unknown Title", "½ &frac12;"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.catalog_text(F.col("t")).alias("c")).collect()
+    for r in found:
+        t = html.unescape(unicodedata.normalize("NFKC", texts[r["i"]] or ""))
+        t = re.sub(r"\s+", " ", re.sub("<[^>]+>", "", t)).strip()
+        assert r["c"] == ("" if t.lower() in text.MISSING else t)
