@@ -231,4 +231,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 def clean(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """``docs`` less the rows whose text holds a benchmark item (see :func:`leaks`); null texts stay, all columns stay as they are."""
     held = scratch.written(leaks(docs, benchmark, **kwargs).select(F.col("text_key").alias("_held")).distinct(), "leaks")
-    return docs.join(held, text_key(docs["text"]) == held["_held"], "left_anti")
+    return docs.join(held, text_key(docs["text"]) == held["_held"], "left_anti")  # both sides are named, so a column _held of docs does no harm

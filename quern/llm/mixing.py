@@ -105,10 +105,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
     task as counts. A source of any size is split into shards by a hash of the id, so no task holds a source, and texts are not shuffled to find the
     cuts: each shard's cut is one row, which its documents are held against.
     """
-    rows = _sized(docs.drop("size", "source_size", "target", "taken"), id_col, kwargs.get("seed", SEED))
-    sized = scratch.written(rows.select(F.col(id_col).alias("id"), "source", "size", "_draw"), "mix")
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return _taken(rows, sized, id_col, **kwargs).select(*[f"`{c}`" for c in names], "size", "source_size", "target", "taken")
+    kept = docs.drop("size", "source_size", "target", "taken")
+    row = F.struct(*[f"`{c}`" for c in kept.columns]).alias("_row")  # so that no name of theirs meets one of the steps'
+    rows = _sized(kept.select(row, F.col(id_col).alias("id"), "source", "text"), "id", kwargs.get("seed", SEED)).drop("text")
+    sized = scratch.written(rows.drop("_row"), "mix")
+    return _taken(rows, sized, "id", **kwargs).select("_row.*", "size", "source_size", "target", "taken")
 
 
 def _sized(docs: DataFrame, id_col: str, seed: int) -> DataFrame:

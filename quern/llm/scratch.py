@@ -60,6 +60,14 @@ def drop(*tables: DataFrame) -> None:
             _written[:] = [w for w in _written if w[1] != path]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mark() -> int:
     """A point to release from."""
     return len(_written)

@@ -128,3 +128,62 @@ def test_stages(spark, docs, none, labels, tmp_path, stage):
         out = corpus_pipeline.STAGES[stage][1](spark, df, str(tmp_path))
         assert set(out.columns) >= set(df.columns) if stage == 4 else out.columns == df.columns
         assert out.count() <= df.count()
+
+
+CLASHES = "licenses lang_pred fingerprint candidates spans _candidates _merged _row _text _spans _cut text_key code bits _held _toxicity taken target source_size _draw _no _shard _id _key id n least row rank".split()
+
+
+def test_clashing_names(spark, docs, labels, tmp_path):
+    """Columns with the names that an operator uses inside or puts out: outputs replace theirs, the rest come through unchanged."""
+    wide = docs.drop("rep", "score", "size").withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    rest = lambda df, *out: [c for c in CLASHES if c not in out and c in df.columns]
+
+    def same(df, *out, n=7):
+        rows = df.collect()
+        assert set(wide.columns) - set(out) <= set(df.columns) and len(rows) == n
+        assert all(r[c] == f"own {c}" for r in rows for c in rest(df, *out))
+
+    same(licenses.scan(wide), "licenses")
+    same(language.predict(wide, language.fit(wide, F.lit(True))), "lang_pred")
+    same(fingerprints.fingerprinted(wide), "fingerprint")
+    same(toxicity.score(wide, toxicity.fit(wide, labels, F.lit(True))))
+    found = pii.labelled(wide)
+    same(found, "candidates")
+    same(pii.decided(found, pii.Model()), "candidates", "spans")
+    same(pii.redacted(found, pii.Model()), "candidates")
+    same(mixing.mixed(wide), "source_size", "target", "taken")
+    assert mixing.mix(wide).count() == neardup.groups(wide).count() == fingerprints.edit_likeness(wide).count() == 7
+    bench = spark.createDataFrame([(1, "a plain text about nothing")], "item_id bigint, text string")
+    same(decontaminate.clean(wide, bench), n=5)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert all(r[c] == f"own {c}" for r in out.collect() for c in rest(out, "source_size", "target", "taken")), name
+
+
+def test_ties(spark):
+    """Languages of equal cosine go to the first name; rows of one id and text have one fingerprint and follow each other."""
+    rows = [(1, "abc abc", "b"), (2, "abc abc", "a"), (3, "abc abc", "b"), (4, "abc abc", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["lang_pred"] for r in language.predict(df, language.fit(df, F.lit(True))).collect()} == {"a"}
+    same = spark.createDataFrame([(1, "one two three four")] * 3 + [(2, "five")], "doc_id bigint, text string")
+    found = sorted((r["doc_id"], r["near_next"]) for r in fingerprints.edit_likeness(same).collect())
+    assert [f[0] for f in found] == [1, 1, 1, 2] and [f[1] for f in found].count(1.0) == 2
+
+
+def test_a_benchmark_of_short_items(spark, docs):
+    bench = spark.createDataFrame([(1, "nothing"), (1, "nothing"), (1, "ipsum dolor"), (2, "absent"), (3, "!!"), (4, "12")], "item_id bigint, text string")
+    text = docs.where("text is not null").select("text").distinct().withColumn("k", decontaminate.text_key(F.col("text")))
+    held = decontaminate.leaks(docs, bench).join(text, F.col("k") == F.col("text_key")).collect()
+    assert sorted((r["item_id"], r["text"][:5], r["share"]) for r in held) == [(1, "a pla", 1.0), (1, "lorem", 1.0)]
+
+
+def test_scratch_tables_are_released(spark, docs):
+    from quern.llm import scratch
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    since = scratch.mark()
+    assert mixing.mix(docs).count() == 7 and scratch.mark() > since
+    scratch.release(since)
+    assert scratch.mark() == since and spark.conf.get("spark.checkpoint.dir") == before
