@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a lexicon learned from ``labels`` scores under 0.5. Null and empty texts score as texts without a hit; repeated rows go or stay together;
     an empty table, or one without labels, stays as it is."""
     lexicon = toxicity.fit(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, lexicon, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = scratch.fresh(docs, "_toxicity")
+    return toxicity.score(docs, lexicon, out_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Spans are worked out once and written with their rows; the classifier is fitted on them and then decides on them. Null texts and their n_chars stay as
     they are; repeated rows are treated alike; an empty table gives no rows."""
-    found = scratch.written(pii.labelled(docs, out_col="_candidates"), "pipeline-pii")
-    out = pii.redacted(found, pii.fit(found, "_candidates"), col="_candidates")
+    name = scratch.fresh(docs, "_candidates")
+    found = scratch.written(pii.labelled(docs, out_col=name), "pipeline-pii")
+    out = pii.redacted(found, pii.fit(found, name), col=name)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
