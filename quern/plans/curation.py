@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import paths, text
+from quern.functions import molecules, paths, text
 from quern.operators import checks, compounds, curation, ranges
 from quern.plans.base import Tables, query
 from quern.plans.proxies import COMPOUNDS, PAPERS
@@ -286,6 +286,18 @@ def _bits(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.array(bits).alias("words"))
 
 
+_MOLECULES = "SELECT p_partkey AS id, CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN 'CC(=O)[O-].[Na+]' WHEN 1 THEN 'C[NH3+].[Cl-]' WHEN 2 THEN 'c1ccccc1' WHEN 3 THEN 'CC(=O)O.CCBr.CCO' WHEN 4 THEN ' ' WHEN 5 THEN 'C1CC(' WHEN 6 THEN 'not one!' WHEN 7 THEN '[2H]OC' ELSE '[H+]' END AS smiles FROM {part}"
+_HEAVY = f"len(list_filter(regexp_extract_all({{c}}, '{molecules.ATOM}'), lambda x: NOT regexp_matches(x, '{molecules.HYDROGEN}')))"
+
+
+@query("k1_standardised", f"""WITH m AS (SELECT id, trim(smiles, ' ') AS s FROM ({_MOLECULES})),
+r AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN NOT regexp_matches(s, '{molecules.ALLOWED}') THEN 'characters' WHEN length(replace(s, '(', '')) <> length(replace(s, ')', '')) OR length(replace(s, '[', '')) <> length(replace(s, ']', '')) THEN 'unbalanced' WHEN {_HEAVY.format(c='s')} = 0 THEN 'no heavy atom' END AS reason FROM m),
+f AS (SELECT id, reason, unnest(string_split(s, '.')) AS p, generate_subscripts(string_split(s, '.'), 1) AS k FROM r), b AS (SELECT id, reason, arg_max(p, ({_HEAVY.format(c='p')}, length(p), -k)) AS p FROM f GROUP BY id, reason)
+SELECT id, reason IS NULL AS valid, reason, CASE WHEN reason IS NULL THEN regexp_replace(p, '{molecules.CHARGED}', '\\1', 'g') END AS canonical, CASE WHEN reason IS NULL THEN {_HEAVY.format(c='p')} END::INT AS atoms FROM b""")
+def k1(t: Tables) -> DataFrame:
+    return t.sql(_MOLECULES).select("id", molecules.standardised(F.col("smiles")).alias("m")).select("id", "m.*")
+
+
 @query("i9_chemical_space")
 def i9(t: Tables) -> DataFrame:
     return compounds.chemical_space(_bits(t), "vec_id", "words")
