@@ -46,12 +46,16 @@ def paths(nodes: DataFrame, max_paths: int | None = None) -> DataFrame:
                 break
         twice = jumps[-1].alias("a").join(jumps[-1].alias("b"), F.expr("a.tree = b.tree and a.up = b.node")).select("a.tree", "a.node", "b.up")
         jumps.append(scratch.written(twice, "chat-up"))
-    endless = jumps.pop().select("tree", F.col("node").alias("leaf")).distinct()
+    last = jumps.pop()
+    endless = last.select("tree", F.col("node").alias("leaf")).distinct()
     leaves = nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("depth"))
     found = leaves.join(endless, ["tree", "leaf"], "left_anti")
     for k, jump in enumerate(jumps):
         far = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + 2**k).alias("depth"))
-        found = scratch.written(found.unionByName(far), "chat-paths")
+        before, found = found, scratch.written(found.unionByName(far), "chat-paths")
+        scratch.drop(before)
+    if jumps:  # else the paths still read the last table
+        scratch.drop(*jumps, last)
     ranked = found.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if max_paths is not None:

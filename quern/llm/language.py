@@ -99,7 +99,9 @@ def training_rows(docs: DataFrame, train: Column, fit_rows: int) -> DataFrame:
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(train)
     ids = smallest_hashes(usable.select("doc_id"), "doc_id", fit_rows)
     rows = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang")
+    out = scratch.written(rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang"), "lang-fit")
+    scratch.drop(ids)
+    return out
 
 
 def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM) -> Profiles:
@@ -129,9 +131,11 @@ def fit(docs: DataFrame, train: Column, fit_rows: int = FIT_ROWS, dim: int = DIM
         if sums:
             yield flush()
 
-    parts = training_rows(docs, train, fit_rows).transform(scratch.bounded).mapInArrow(bundle, "lang string, sums array<double>")
+    sample = training_rows(docs, train, fit_rows)
+    parts = sample.transform(scratch.bounded).mapInArrow(bundle, "lang string, sums array<double>")
     summed = parts.select("lang", F.posexplode("sums").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     found = summed.limit((MAX_LANGUAGES + 1) * (dim + 1)).toArrow()
+    scratch.drop(sample)
     if found.num_rows > MAX_LANGUAGES * (dim + 1):
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = found.column("lang").combine_chunks().dictionary_encode()

@@ -141,9 +141,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: i
     """``text, toxic`` of ``fit_rows`` labelled ids where ``train`` holds, by hash of the id. An id labelled twice counts as toxic if one label is 1;
     of the rows of ``docs`` that repeat an id the one with the least text counts."""
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(train).select("doc_id", (-F.col("toxic").cast("int")).alias("clean"))
-    chosen = smallest_hashes(chosen, "doc_id", fit_rows).select("doc_id", (-F.col("clean")).alias("toxic"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    chosen = smallest_hashes(chosen, "doc_id", fit_rows)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen.select("doc_id", (-F.col("clean")).alias("toxic"))), "doc_id")
+    out = scratch.written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-fit")
+    scratch.drop(chosen)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_ROWS, exceptions: Sequence[str] = ()) -> Lexicon:
@@ -155,10 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
     Null ids, labels and texts are left out; ``toxic`` may be any number type. Executors count; at most MAX_CANDIDATES patterns, and for each
     of at most ``fit_rows`` fitted texts three numbers and the patterns of a toxic one come to the driver.
     """
-    sample = scratch.written(training_rows(docs, labels, train, fit_rows), "toxic-fit")
+    sample = training_rows(docs, labels, train, fit_rows)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos:
+        scratch.drop(sample)
         return Lexicon({}, set(), 0.5, 0.0, math.log(0.5 / (n_neg + 1.0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
     learned = near.groupBy("p").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos = 0 and n >= 3").orderBy(F.desc("n"), "p").limit(MAX_ENTRIES).collect()
     draft.exceptions |= {r["p"] for r in learned}
     scored = sample.transform(scratch.bounded).mapInArrow(context, "w double, words bigint, near array<string>, toxic int").groupBy("w", "words", "toxic").count().collect()
+    scratch.drop(sample)
     return _calibrated(draft, [(r["w"], r["words"], r["toxic"], r["count"]) for r in scored])
 
 

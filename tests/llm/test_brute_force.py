@@ -7,6 +7,7 @@ import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -231,6 +232,23 @@ def test_rows_of_one_id_or_none_spread_over_tasks(spark):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["bits"], r["edited_sha256"]) for r in found) == sorted(want)
 
 
+def test_words_of_many_texts_at_a_time():
+    rng = random.Random(34)
+    texts = [rng.choice([None, "", " ", prose(rng, rng.choice([1, 50, 4000])), " A b\t\x0bc\n", "x\x85y\u3000 É"]) for _ in range(400)]
+    assert sum(len(t or "") for t in texts) > 2 * words.PART_BYTES
+    for made in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()), pa.array(["z z"] * 7 + texts).slice(7)):
+        for t, h in zip(texts, words.hashes(made)):
+            want = words.hashed(words.words(t))
+            assert len(h) == len(want) and (h == want).all()
+        rows, codes = [], []
+        for first, part in words.parts(made):
+            row, code, _, _ = decontaminate.templates(part)
+            rows.append(row + first), codes.append(code)
+        rows, codes = np.concatenate(rows), np.concatenate(codes)
+        for i in range(0, 400, 17):
+            assert (codes[rows == i] == decontaminate.templates(pa.array([texts[i]], pa.string()))[1]).all()
+
+
 def test_apportion_is_sainte_lague():
     rng = random.Random(1)
     for _ in range(60):
