@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,18 +171,20 @@ def leaders(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(F.nullif("doc_id", last).alias("doc_id"), "text_key")
 
 
-def tiled(few: DataFrame, all_: DataFrame, tile: int = 512) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join by ``key`` with a column ``cell`` to join by as well: a bucket of many rows is cut into cells of about ``tile`` rows a side, and each
-    row is dealt to all cells of its line, so that each pair meets in one cell and no task holds a bucket. Sizes are counted with map-side sums."""
-    parts = lambda df, name: df.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
-    cuts = parts(few, "lines").join(parts(all_, "columns"), "key")
+#: Rows of a side that a cell of a bucket holds, about.
+CELL = 1024
 
-    def dealt(df: DataFrame, own: str, other: str, by: Callable[[Column, Column], Column]) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        out = df.join(cuts, "key").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return out.withColumn("cell", by(F.col("_own"), F.col("_other"))).drop("_own", "_other", "lines", "columns")
 
-    return dealt(few, "lines", "columns", lambda own, other: F.struct(own.alias("i"), other.alias("j"))), dealt(all_, "columns", "lines", lambda own, other: F.struct(other.alias("i"), own.alias("j")))
+def dealt(rows: DataFrame, few: bool, size: int = CELL) -> DataFrame:
+    """One side of a join by ``key, line, column``: ``rows(key, id, ..., n_few, n_all)`` with the bucket's number of rows on the few side and on all.
+
+    A bucket of many rows is a table of lines of ``size`` few rows and columns of ``size`` rows of all: a row has its own line, or column, by a hash of the
+    id, and is repeated along it. So each pair meets in one cell and no task holds a bucket.
+    """
+    lines, columns = (F.ceil(F.col(n) / size).cast("int") for n in ("n_few", "n_all"))
+    own, other = ("line", "column") if few else ("column", "line")
+    mine = F.pmod(F.xxhash64("id"), lines if few else columns).cast("int")
+    return rows.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), (columns if few else lines) - 1)))
 
 
 def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +194,7 @@ def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     Equal sets collapse to one numbered node first; its text is one of its smallest id's. Every node then goes to its bucket's smallest member in each band,
     never to all of them; the best partner by estimate is confirmed on full sets, then others that still join two components. At last, in
     buckets where components still differ, members outside of the bucket's main component meet all members of other ones, in cells of bounded size (see
-    :func:`tiled`), so no candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
+    :func:`dealt`), so no candidate pair is given up: the join itself holds estimate and full sets against the threshold and puts out links only.
     """
     rows = scratch.written(signed(docs, size), "near-sets")
     least = F.min(F.struct("doc_id", "text_key")).alias("least")
@@ -217,38 +219,33 @@ def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     stars = stars.join(sigs.alias("a"), F.expr("p.id = a.id")).join(sigs.alias("b"), F.expr("p.rep = b.id")).where(likely("a", "b"))
     stars = scratch.written(stars.select(F.col("p.id").alias("u"), F.col("p.rep").alias("v"), estimate("a", "b").alias("est")), "near-stars")
     best = stars.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
-    edges = scratch.written(confirmed(best, texts, size, percent), "near-edges")
-    found = components(edges)
-
+    linked = lambda found: found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    found = components(confirmed(best, texts, size, percent))
     open_ = across(stars.select("u", "v"), found).join(best, ["u", "v"], "left_anti")
-    edges = scratch.written(edges.unionByName(confirmed(open_, texts, size, percent)), "near-edges")
-    found = components(edges)
+    found = components(linked(found).unionByName(confirmed(open_, texts, size, percent)))
 
     member = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     counts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    mixed_ = scratch.written(member.join(mains, "key"), "near-mixed")
-    light = mixed_.join(sigs, "id")
-    few, all_ = tiled(light.where("c <> main"), light)
-    few, all_ = few.alias("a"), all_.alias("b")
-    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") != F.col("b.c"))
+    mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_few"))
+    light = scratch.written(member.join(mains.where("kinds > 1").drop("kinds"), "key").join(sigs, "id"), "near-light")
+    few, all_ = dealt(light.where("c <> main"), True).alias("a"), dealt(light, False).alias("b")
+    cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.column") == F.col("b.column")) & (F.col("a.c") != F.col("b.c"))
     meets = cross & likely("a", "b")
     asking, asked = few.join(all_, meets, "left_semi").select("key", "id"), all_.join(few, meets, "left_semi").select("key", "id")
     live = scratch.written(asking.unionByName(asked).distinct().join(light, ["key", "id"]), "near-live")
     sets = scratch.written(full_sets(texts.join(live.select("id").distinct(), "id", "left_semi"), size), "near-full")
-    few, all_ = tiled(live.where("c <> main"), live)
-    whole = nodes.select("id", "bands").join(sets, "id")
-    few, all_ = few.join(whole, "id").alias("a"), all_.join(whole, "id").alias("b")
+    whole = live.join(nodes.select("id", "bands").join(sets, "id"), "id")
+    few, all_ = dealt(whole.where("c <> main"), True, 4 * CELL).alias("a"), dealt(whole, False, 4 * CELL).alias("b")
     once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.array_position(F.col("a.bands"), F.col("a.key"))
     turn = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
     common = F.size(F.array_intersect("a.members", "b.members"))
     alike = 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
     more = few.join(all_, cross & turn & likely("a", "b") & once & alike).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
-    found = components(edges.unionByName(more))
+    found = components(linked(found).unionByName(more))
 
     out = reps.join(found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("c"))
     out = out.join(out.groupBy("c").agg(F.min("least").alias("component")), "c").select("set_key", "component")
-    scratch.drop(shared, texts, stars, mixed_, nodes, live, sets)
+    scratch.drop(shared, texts, stars, light, nodes, live, sets)
     return rows, out
 
 

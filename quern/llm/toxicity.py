@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
                     c = seen.setdefault(p, [0, 0, 0, 0])
                     c[y] += 1
                     c[2 + y] += n
-                if len(seen) > 150_000:
+                if len(seen) > 80_000:
                     yield flush()
         yield flush()
 

@@ -78,10 +78,12 @@ def test_cells_hold_each_pair_once(spark):
     rows = [(1, i) for i in range(120)] + [(2, i) for i in range(200, 205)] + [(3, 300)]
     some = [r for r in rows if r[0] != 3 and rng.random() < 0.5]
     make = lambda x: spark.createDataFrame(x, "key int, id bigint")
-    few, all_ = neardup.tiled(make(some), make(rows), 16)
-    met = few.alias("a").join(all_.alias("b"), F.expr("a.key = b.key and a.cell = b.cell")).select("a.key", F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()
+    sizes = {k: (sum(r[0] == k for r in some), sum(r[0] == k for r in rows)) for k in (1, 2, 3)}
+    give = lambda x: make(x).withColumn("n_few", F.create_map(*[F.lit(v) for k in sizes for v in (k, sizes[k][0])])[F.col("key")]).withColumn("n_all", F.create_map(*[F.lit(v) for k in sizes for v in (k, sizes[k][1])])[F.col("key")])
+    few, all_ = neardup.dealt(give(some), True, 16), neardup.dealt(give(rows).where("n_few > 0"), False, 16)
+    met = few.alias("a").join(all_.alias("b"), F.expr("a.key = b.key and a.line = b.line and a.column = b.column")).select("a.key", F.col("a.id").alias("x"), F.col("b.id").alias("y")).collect()
     assert sorted(map(tuple, met)) == sorted((k, i, j) for k, i in some for m, j in rows if m == k)
-    assert all_.groupBy("key", "cell").count().agg(F.max("count")).first()[0] < 40
+    assert all_.groupBy("key", "line", "column").count().agg(F.max("count")).first()[0] < 40
 
 
 def test_pipeline_stages_as_brute_force(spark, tmp_path):
