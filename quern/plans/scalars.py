@@ -403,7 +403,7 @@ def _chain(c: str, table, test: str) -> str:
     return "CASE " + " ".join(f"WHEN {test.format(c=c, p=p)} THEN '{n}'" for p, n in table.items())
 
 
-@query("h17_journal_of_name", f"WITH p AS ({PAPERS}) SELECT id, {_chain('stem', text.JOURNALS, 'contains({c}, $${p}$$)')} ELSE 'Unknown Journal' END AS journal FROM (SELECT id, lower(regexp_replace(coalesce(journal, '') || '_' || filename, '\.[^.]*$', '')) AS stem FROM p)")
+@query("h17_journal_of_name", f"WITH p AS ({PAPERS}) SELECT id, {_chain('stem', text.JOURNALS, 'contains({c}, $${p}$$)')} ELSE 'Unknown Journal' END AS journal FROM (SELECT id, lower(regexp_replace(coalesce(journal, '') || '_' || filename, '\\.[^.]*$', '')) AS stem FROM p)")
 def h17n(t: Tables) -> DataFrame:
     return t.sql(PAPERS).select("id", text.journal_of_name(F.concat(F.lit("/some/folder/"), F.coalesce("journal", F.lit("")), F.lit("_"), "filename")).alias("journal"))
 
@@ -422,7 +422,7 @@ _BODIES = "SELECT c_custkey AS id, c_name || chr(10) || CASE CAST(c_custkey % 4
 
 
 @query("h18_authors_in_text", f"""WITH l AS (SELECT id, unnest(string_split(body, chr(10))[1:20]) AS l, generate_subscripts(string_split(body, chr(10))[1:20], 1) AS k FROM ({_BODIES})),
-f AS (SELECT id, k, regexp_extract_all(l, '[A-Z][a-z]+(?:,?\s+[A-Z]\.)+') AS f, regexp_matches(l, '[A-Z][a-z]+\s+[A-Z]\.')::INT + regexp_matches(l, '[A-Z][a-z]+,\s+[A-Z]\.')::INT AS n FROM l)
+f AS (SELECT id, k, regexp_extract_all(l, '[A-Z][a-z]+(?:,?\\s+[A-Z]\\.)+') AS f, regexp_matches(l, '[A-Z][a-z]+\\s+[A-Z]\\.')::INT + regexp_matches(l, '[A-Z][a-z]+,\\s+[A-Z]\\.')::INT AS n FROM l)
 SELECT id, array_to_string(flatten(list(CASE n WHEN 2 THEN list_concat(f, f) WHEN 1 THEN f ELSE [] END ORDER BY k))[1:5], '|') AS names FROM f GROUP BY id""")
 def h18t(t: Tables) -> DataFrame:
     return t.sql(_BODIES).select("id", F.array_join(text.authors_in(F.col("body")), "|").alias("names"))
