@@ -244,7 +244,9 @@ def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     found = components(linked(found).unionByName(more))
 
     out = reps.join(found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("c"))
-    out = out.join(out.groupBy("c").agg(F.min("least").alias("component")), "c").select("set_key", "component")
+    # written, so that the join's other side is a shuffle of its own, which Spark can split where one component holds many sets
+    leasts = scratch.written(out.groupBy("c").agg(F.min("least").alias("component")), "near-leasts")
+    out = out.join(leasts, "c").select("set_key", "component")
     scratch.drop(shared, texts, stars, light, nodes, live, sets)
     return rows, out
 
