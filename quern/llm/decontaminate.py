@@ -22,7 +22,7 @@ SHARE, RUN = 0.5, 13
 #: The filter of window hashes has about 64 bits for each window of the benchmark, within these bounds (logarithms); it never decides, the join does.
 LEAST_BITS, MOST_BITS = 16, 27
 #: Words that a worker remembers; the memory starts anew when it is full.
-MAX_WORDS = 60_000
+MAX_WORDS = 150_000
 
 # Units of measure and number words that become placeholders.
 UNITS = """kg g mg lb lbs oz t ton tons km m cm mm mi mile miles ft foot feet inch inches yard yards l ml litre litres liter liters

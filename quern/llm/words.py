@@ -11,7 +11,7 @@ import xxhash
 
 _STEP = 0x9E3779B97F4A7C15
 #: Bytes of text whose words a worker holds at a time; a longer text is held whole.
-PART_BYTES = 1 << 20
+PART_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
