@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import arrays, chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
+from quern.llm import alignment, arrays, chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by their end bytes in every document, with corpus-wide counts of the linked ids."""
+    return alignment.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_fingerprints": op2_fingerprints,
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op8_url_filters": urls.oracle()}
