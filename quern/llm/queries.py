@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import alignment, arrays, chat, decontaminate, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
+from quern.llm import alignment, arrays, chat, decontaminate, exact, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,18 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts are equal without white space, and the row that stays of each."""
+    return exact.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies aligned by their end bytes in every document, with corpus-wide counts of the linked ids."""
     return alignment.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -136,7 +148,8 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op12_exact_duplicates": op12_exact_duplicates,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op8_url_filters": urls.oracle()}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op12_exact_duplicates": OP12_SQL, "op8_url_filters": urls.oracle()}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 _local: list[str] = []
 
 
@@ -51,6 +52,18 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return out
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """``df`` written once as a table of ``buckets`` buckets by ``by`` in the shared folder: grouping and joining by that column moves no row of it."""
+    spark, table = df.sparkSession, f"quern_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(table)
+    _written.append((spark, path))
+    _tables[path] = table
+    out = spark.table(table)
+    out._quern_path = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for table in tables:
@@ -84,6 +97,8 @@ def release(since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
