@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import alignment, arrays, chat, decontaminate, exact, fingerprints, language, licenses, mixing, neardup, pii, scratch, toxicity, urls
+from quern.llm import alignment, arrays, chat, decontaminate, exact, fingerprints, language, lexical, licenses, mixing, neardup, pii, scratch, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,25 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP11_SQL = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+')) AS raw FROM documents),
+d AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, count(*) AS tf FROM words GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(regexp_replace(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM d GROUP BY term), total),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l)) AS i FROM d JOIN sizes USING (doc_id), total WHERE term IN (SELECT term FROM asked)),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * i) AS BIGINT) AS score FROM asked JOIN impacts USING (term) JOIN weights USING (term) GROUP BY item_id, doc_id HAVING sum(w * i) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose texts are equal without white space, and the row that stays of each."""
     return exact.duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -148,8 +167,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
+    "op11_lexical_search": op11_lexical_search,
     "op12_exact_duplicates": op12_exact_duplicates,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op12_exact_duplicates": OP12_SQL, "op8_url_filters": urls.oracle()}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op11_lexical_search": OP11_SQL, "op12_exact_duplicates": OP12_SQL, "op8_url_filters": urls.oracle()}
