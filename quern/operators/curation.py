@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources import tables
+
 #: The molecule table's 18 columns, in order.
 MOLECULES = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("mol_id", "name", "smiles_raw", "smiles_canonical", "inchi", "inchi_key", "source_db", "source_id", "source_refs", "pubchem_cid", "cas_number", "taste_class_raw", "taste_class")]
@@ -46,13 +46,13 @@ def merged_sources(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def looked_up(rows: DataFrame, keys: Sequence[str], tables: Sequence[DataFrame], value: str) -> DataFrame:
-    """``value`` of the first table that has the row's key: keys[i] of the rows against column 'key' of tables[i], which must be unique."""
+def looked_up(rows: DataFrame, keys: Sequence[str], sources: Sequence[DataFrame], value: str) -> DataFrame:
+    """``value`` of the first table that has the row's key: keys[i] of the rows against column 'key' of sources[i], which must be unique."""
     out = rows
-    for i, (k, table) in enumerate(zip(keys, tables)):
+    for i, (k, table) in enumerate(zip(keys, sources)):
         out = out.join(table.select(F.col("key").alias(f"_k{i}"), F.col(value).alias(f"_v{i}")), F.col(k) == F.col(f"_k{i}"), "left")
-    found = F.coalesce(*[F.col(f"_v{i}") for i in range(len(tables))])
-    tier = F.coalesce(*[F.when(F.col(f"_k{i}").isNotNull(), F.lit(i)) for i in range(len(tables))])
+    found = F.coalesce(*[F.col(f"_v{i}") for i in range(len(sources))])
+    tier = F.coalesce(*[F.when(F.col(f"_k{i}").isNotNull(), F.lit(i)) for i in range(len(sources))])
     return out.select(*rows.columns, found.alias(value), tier.alias("tier"))
 
 
@@ -83,65 +83,6 @@ def linked_by_keys(rows: DataFrame, id_col: str, keys: Mapping[str, Column]) ->
     return out
 
 
-_local: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary folder of this process, a cluster without one is an error."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _local:
-            _local.append(tempfile.mkdtemp(prefix="quern-"))
-        root = _local[0]
-    return root.rstrip("/")
-
-
-def written_table(df: DataFrame) -> DataFrame:
-    """Written in the shared folder and read back, so that a loop's plan does not grow and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written_table` that no later plan reads."""
-    for table in tables:
-        path = getattr(table, "_quern_path", None)
-        if path:
-            _delete(table.sparkSession, path)
-            _written[:] = [w for w in _written if w[1] != path]
-
-
-def release() -> None:
-    """Delete all tables made by :func:`written_table`. Results read them when they are worked out, so call this after the last action on any result."""
-    while _written:
-        spark, path = _written.pop()
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    try:
-        release()
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        return
-
-
 def groups_of(edges: DataFrame) -> DataFrame:
     """``id, group`` (smallest id reachable over ``edges(u, v)``) of every id on an edge.
 
@@ -149,7 +90,7 @@ def groups_of(edges: DataFrame) -> DataFrame:
     rounds; no id's neighbours meet in one list, and a count and a sum of hashes tell when nothing changes any more.
     """
     ends = edges.where("u is not null and v is not null")
-    now = written_table(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = tables.written(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "loop")
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -160,8 +101,8 @@ def groups_of(edges: DataFrame) -> DataFrame:
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written_table(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
-        dropped(now)
+        new = tables.written(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "loop")
+        tables.drop(now)
         now, before = new, state
     ids = ends.select(F.col("u").alias("id")).unionByName(ends.select(F.col("v").alias("id"))).distinct()
     return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left").select("id", F.coalesce("group", "id").alias("group"))

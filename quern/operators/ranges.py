@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.curation import written_table
+from quern.sources import tables
 
 
 def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amounts: dict[str, Column]) -> DataFrame:
@@ -18,7 +18,7 @@ def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column], am
     """
     ranged = rows.withColumns({f"_amount_{k}": c for k, c in amounts.items()})
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written_table(ranged.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id()))
+    ranged = tables.written(ranged.repartitionByRange(n, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id()), "ranges")
     ends = ranged.groupBy(*by, "_range").agg(*[F.sum(f"_amount_{k}").alias(f"_in_{k}") for k in amounts])
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

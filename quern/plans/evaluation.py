@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import checks, curation, metrics, ml, ranges
+from quern.operators import attributions, checks, curation, metrics, ml, ranges
 from quern.plans.base import Tables, query
 from quern.plans.proxies import ANSWERS
 from quern.plans.retrieval import _HITS, hits
@@ -266,3 +266,44 @@ def k12(t: Tables) -> DataFrame:
     model = ml.fitted(_small(t), _SMALL, "y", "forest", numTrees=3, maxDepth=3)
     out = ml.inferred(rows.drop("y"), model, _SMALL, "id", F.expr(_BAD.format(p="id")))
     return out.select("id", "status", (F.col("p").isNotNull() & F.col("sweet").isNotNull()).alias("scored"))
+
+
+# a tree of three splits over two features: size at most 25, then price at most 910 on the left and size at most 40 on the right
+_LEAVES = "CASE WHEN p_size <= 25 THEN CASE WHEN p_retailprice <= 910 THEN 3 ELSE 4 END WHEN p_size <= 40 THEN 5 ELSE 6 END"
+_TREE = [(0, 0, 25.0, 1, 2, (3, 4, 5, 6)), (1, 1, 910.0, 3, 4, (3, 4)), (2, 0, 40.0, 5, 6, (5, 6)), *[(k, None, None, None, None, (k,)) for k in (3, 4, 5, 6)]]
+
+
+@query("k10_tree_parts", f"""WITH r AS (SELECT p_partkey AS id, p_size AS s, p_retailprice AS p, {_LEAVES} AS leaf, length(p_name)::DOUBLE AS y FROM part), l AS (SELECT leaf, avg(y) AS v, count(*)::DOUBLE AS n FROM r GROUP BY leaf),
+g AS (SELECT max(v) FILTER (leaf = 3) AS v3, max(v) FILTER (leaf = 4) AS v4, max(v) FILTER (leaf = 5) AS v5, max(v) FILTER (leaf = 6) AS v6, max(n) FILTER (leaf = 3) AS n3, max(n) FILTER (leaf = 4) AS n4, max(n) FILTER (leaf = 5) AS n5, max(n) FILTER (leaf = 6) AS n6 FROM l),
+h AS (SELECT id, CASE WHEN s <= 25 THEN CASE WHEN p <= 910 THEN v3 ELSE v4 END WHEN s <= 40 THEN v5 ELSE v6 END AS both_known,
+  CASE WHEN s <= 25 THEN (n3 * v3 + n4 * v4) / (n3 + n4) WHEN s <= 40 THEN v5 ELSE v6 END AS size_known,
+  ((n3 + n4) * CASE WHEN p <= 910 THEN v3 ELSE v4 END + n5 * v5 + n6 * v6) / (n3 + n4 + n5 + n6) AS price_known,
+  (n3 * v3 + n4 * v4 + n5 * v5 + n6 * v6) / (n3 + n4 + n5 + n6) AS none_known FROM r, g)
+SELECT id, round(none_known, 6) AS base, round(both_known, 6) AS output, round((size_known - none_known + both_known - price_known) / 2, 6) AS size_part, round((price_known - none_known + both_known - size_known) / 2, 6) AS price_part FROM h""")
+def k10(t: Tables) -> DataFrame:
+    """A tree whose splits are stated and whose leaves are means over the table: the parts of its two features are those over all subsets."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.expr(_LEAVES).alias("leaf"), F.length("p_name").cast("double").alias("y"))
+    shape = ", ".join(f"({k}, {'NULL' if f is None else f}, {'NULL' if c is None else c}, {a or 'NULL'}, {b or 'NULL'}, array{leaves if len(leaves) > 1 else f'({leaves[0]})'})" for k, f, c, a, b, leaves in _TREE)
+    tree = t.spark.sql(f"SELECT node, int(feature) AS feature, double(threshold) AS threshold, int(a) AS left, int(b) AS right, leaves FROM VALUES {shape} AS v(node, feature, threshold, a, b, leaves)")
+    found = rows.groupBy("leaf").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    sums = tree.select("node", F.explode("leaves").alias("leaf")).join(F.broadcast(found), "leaf").groupBy("node").agg((F.sum("y") / F.sum("n")).alias("value"), F.sum("n").cast("double").alias("cover"))
+    nodes = tree.join(sums, "node", "left").fillna(0.0, ["value", "cover"]).select(F.lit(0).alias("tree"), "node", "feature", "threshold", F.lit(None).cast("array<double>").alias("categories"), "left", "right", "value", "cover", F.lit(1.0).alias("weight"))
+    out = attributions.attributed(rows, nodes, ["size", "price"], "id")
+    return out.select("id", F.round("base", 6).alias("base"), F.round("output", 6).alias("output"), *[F.round(F.get("parts", i), 6).alias(n) for i, n in enumerate(("size_part", "price_part"))])
+
+
+@query("k10_strongest_features")
+def k10s(t: Tables) -> DataFrame:
+    """Columns by their mean part in a fitted forest's output on held-out rows."""
+    split = ml.stratified(_features(t), "id", "y")
+    model = ml.fitted(split.where("split = 'train'"), _COLUMNS, "y", "forest", numTrees=20, maxDepth=5)
+    return attributions.strongest(attributions.attributed(split.where("split = 'val'"), attributions.node_table(model), _COLUMNS, "id"), _COLUMNS)
+
+
+@query("k10_explained_predictions")
+def k10e(t: Tables) -> DataFrame:
+    """Every held-out row's margin under boosted trees, with what each column adds to it."""
+    split = ml.stratified(_features(t), "id", "y")
+    model = ml.fitted(split.where("split = 'train'"), _COLUMNS, "y", "boosted", maxIter=10, maxDepth=3)
+    out = attributions.attributed(split.where("split = 'test'"), attributions.node_table(model), _COLUMNS, "id")
+    return out.select("id", F.round("base", 9).alias("base"), F.round("output", 9).alias("margin"), *[F.round(F.get("parts", i), 9).alias(c) for i, c in enumerate(_COLUMNS)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import ranges
 from quern.plans.base import Tables, query
+from quern.sources import tables
 from quern.streaming import jobs
 
 _STATUS = "CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'preparing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'docking' END"
@@ -92,11 +93,7 @@ def sliding(t: Tables) -> DataFrame:
 
 def _folder(t: Tables, name: str) -> str:
     """A new folder in the shared one, for queries that write and read back."""
-    import uuid
-
-    from quern.operators.curation import shared_dir
-
-    return f"{shared_dir(t.spark)}/quern-{name}-{uuid.uuid4().hex}"
+    return tables.folder(t.spark, name)
 
 
 @query("a5_typed_csv_scan", "SELECT lpad(o_orderkey::VARCHAR, 9, '0') AS id, o_totalprice AS price, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority || ', \"q\"' END AS note FROM orders")
