@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import molecules, paths, text
 from quern.operators import checks, compounds, curation, ranges
+from quern.operators import molecules as molecule_tables
 from quern.plans.base import Tables, query
 from quern.plans.proxies import COMPOUNDS, PAPERS
 
@@ -290,14 +291,54 @@ _MOLECULES = "SELECT p_partkey AS id, CASE CAST(p_partkey % 9 AS INT) WHEN 0 THE
 _HEAVY = f"len(list_filter(regexp_extract_all({{c}}, '{molecules.ATOM}'), lambda x: NOT regexp_matches(x, '{molecules.HYDROGEN}')))"
 
 
-@query("k1_standardised", f"""WITH m AS (SELECT id, trim(smiles, ' ') AS s FROM ({_MOLECULES})),
+@query("k1_fragment_text", f"""WITH m AS (SELECT id, trim(smiles, ' ') AS s FROM ({_MOLECULES})),
 r AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN NOT regexp_matches(s, '{molecules.ALLOWED}') THEN 'characters' WHEN length(replace(s, '(', '')) <> length(replace(s, ')', '')) OR length(replace(s, '[', '')) <> length(replace(s, ']', '')) THEN 'unbalanced' WHEN {_HEAVY.format(c='s')} = 0 THEN 'no heavy atom' END AS reason FROM m),
 f AS (SELECT id, reason, unnest(string_split(s, '.')) AS p, generate_subscripts(string_split(s, '.'), 1) AS k FROM r), b AS (SELECT id, reason, arg_max(p, ({_HEAVY.format(c='p')}, length(p), -k)) AS p FROM f GROUP BY id, reason)
 SELECT id, reason IS NULL AS valid, reason, CASE WHEN reason IS NULL THEN regexp_replace(p, '{molecules.CHARGED}', '\\1', 'g') END AS canonical, CASE WHEN reason IS NULL THEN {_HEAVY.format(c='p')} END::INT AS atoms FROM b""")
-def k1(t: Tables) -> DataFrame:
+def k1_text(t: Tables) -> DataFrame:
+    """What the text of a molecule string tells on its own; ``k1_standardised`` reads it."""
     return t.sql(_MOLECULES).select("id", molecules.standardised(F.col("smiles")).alias("m")).select("id", "m.*")
 
 
+# a chain of n carbons with an end: acid salt, nitro group, quaternary nitrogen, alcohol and phenyl in two spellings each, ammonium, and strings that are refused
+_CHAINS = """SELECT id, kind, n, CASE kind WHEN 0 THEN c || 'C(=O)[O-].[Na+]' WHEN 1 THEN '[O-][N+](=O)' || c WHEN 2 THEN 'C[N+](C)(C)' || c || '.[Cl-]' WHEN 3 THEN 'O' || c WHEN 4 THEN c || 'O' WHEN 5 THEN c || 'c1ccccc1'
+  WHEN 6 THEN 'C1=CC=CC=C1' || c WHEN 7 THEN c || '[NH3+]' WHEN 8 THEN ' ' WHEN 9 THEN c || '(' WHEN 10 THEN '[Na+].[Cl-]' ELSE c || '[SiH3]' END AS smiles
+FROM (SELECT p_partkey AS id, CAST(p_partkey % 12 AS INT) AS kind, CAST(p_size % 12 + 1 AS INT) AS n, repeat('C', CAST(p_size % 12 + 1 AS INT)) AS c FROM {part})"""
+_WORKED = f"""WITH m AS ({_CHAINS}), w AS (SELECT id, kind, n, CASE kind WHEN 3 THEN 4 WHEN 5 THEN 6 ELSE kind END AS class,
+  CASE WHEN kind IN (8, 9) THEN 'parse_failed' WHEN kind = 11 THEN 'disallowed_atoms:Si' END AS reason,
+  CASE kind WHEN 0 THEN n + 1 WHEN 2 THEN n + 3 WHEN 5 THEN n + 6 WHEN 6 THEN n + 6 WHEN 10 THEN 0 ELSE n END AS nc,
+  CASE kind WHEN 0 THEN 2 * n + 2 WHEN 1 THEN 2 * n + 1 WHEN 2 THEN 2 * n + 10 WHEN 5 THEN 2 * n + 6 WHEN 6 THEN 2 * n + 6 WHEN 7 THEN 2 * n + 3 WHEN 10 THEN 1 ELSE 2 * n + 2 END AS nh,
+  CASE WHEN kind IN (1, 2, 7) THEN 1 ELSE 0 END AS nn, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS no, CASE WHEN kind = 10 THEN 1 ELSE 0 END AS ncl FROM m)"""
+
+
+@query("k1_standardised", _WORKED + """, f AS (SELECT *, CASE WHEN nc > 0 THEN 'C' || CASE WHEN nc > 1 THEN nc::VARCHAR ELSE '' END || 'H' || CASE WHEN nh > 1 THEN nh::VARCHAR ELSE '' END || repeat('N', nn) || CASE WHEN no > 0 THEN 'O' ELSE '' END || CASE WHEN no > 1 THEN no::VARCHAR ELSE '' END ELSE 'ClH' END AS formula,
+  nc * 12.011 + nh * 1.008 + nn * 14.007 + no * 15.999 + ncl * 35.45 AS weight FROM w)
+SELECT id, reason IS NULL AS valid, reason, CASE WHEN reason IS NULL THEN formula END AS formula, CASE WHEN reason IS NULL THEN round(weight, 3)::DOUBLE END AS weight, CASE WHEN reason IS NULL THEN (nc + nn + no + ncl)::INT END AS n_heavy_atoms,
+  CASE WHEN reason IS NULL THEN (kind = 2)::INT END AS charge, CASE WHEN reason IS NULL THEN min(id) OVER (PARTITION BY reason, CASE WHEN kind = 10 THEN 0 ELSE n END, class) END AS same_as FROM f""")
+def k1(t: Tables) -> DataFrame:
+    """Molecule strings read, stripped of salts and uncharged; molecules that are equal, however written, name the smallest id among them."""
+    found = molecule_tables.standardised(t.sql(_CHAINS), "id", "smiles")
+    least = found.where("valid").groupBy("key").agg(F.min("id").alias("same_as"))
+    return found.join(least, "key", "left").select("id", "valid", "reason", "formula", F.round("weight", 3).alias("weight"), "n_heavy_atoms", "charge", "same_as")
+
+
+@query("k2_descriptors", _WORKED + """ SELECT id, round(nc * 12.011 + nh * 1.008 + nn * 14.007 + no * 15.999 + ncl * 35.45, 3)::DOUBLE AS weight, nc + nn + no + ncl AS n_heavy, nc + nn + no + ncl - 1 + (class = 6)::INT AS n_bonds, (class = 6)::INT AS n_rings,
+  (kind IN (0, 3, 4, 7))::INT AS donors, nn + no AS acceptors, CASE WHEN kind = 10 THEN 0 WHEN kind IN (3, 4, 7) THEN greatest(n - 2, 0) ELSE n - 1 END AS rotatable, 6 * (class = 6)::INT AS aromatic,
+  CASE WHEN kind = 0 THEN round(n / (n + 1), 6) WHEN class = 6 THEN round(n / (n + 6), 6) WHEN kind = 10 THEN 0 ELSE 1 END::DOUBLE AS share_sp3, (kind = 2)::INT AS charge FROM w WHERE reason IS NULL""")
+def k2_descriptors(t: Tables) -> DataFrame:
+    """Simple descriptors of all molecules that can be read; failed rows are dropped."""
+    found = molecule_tables.standardised(t.sql(_CHAINS), "id", "smiles").where("valid")
+    made = found.select("id", molecule_tables.descriptors(F.col("atoms")).alias("d")).select("id", "d.*")
+    return made.withColumns({"weight": F.round("weight", 3), "share_sp3": F.round("share_sp3", 6)})
+
+
+@query("k2_circular_fingerprints")
+def k2(t: Tables) -> DataFrame:
+    """Set bits of 1,024 by neighbourhoods of up to two bonds, as 64-bit words, of all molecules that can be read."""
+    found = molecule_tables.circular_bits(molecule_tables.standardised(t.sql(_CHAINS), "id", "smiles").where("valid"))
+    return found.select("id", F.size("bits").alias("n_bits"), F.array_join(molecule_tables.words(F.col("bits")).cast("array<string>"), ",").alias("words"))
+
+
 @query("i9_chemical_space")
 def i9(t: Tables) -> DataFrame:
     return compounds.chemical_space(_bits(t), "vec_id", "words")
