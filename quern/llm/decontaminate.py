@@ -19,8 +19,8 @@ from quern.llm.words import parts, tokens, windows
 WINDOW, LITERALS = 8, 4
 #: A document holds an item if it covers this share of its tokens, or so many tokens in one run.
 SHARE, RUN = 0.5, 13
-#: The filter of window hashes has about 64 bits for each window of the benchmark, within these bounds (logarithms); it never decides, the join does.
-LEAST_BITS, MOST_BITS = 16, 27
+#: The filter of window hashes has about FILTER bits for each window of the benchmark, within these bounds (logarithms); it never decides, the join does.
+FILTER, LEAST_BITS, MOST_BITS = 512, 16, 27
 #: Words that a worker remembers; the memory starts anew when it is full.
 MAX_WORDS = 150_000
 
@@ -39,6 +39,8 @@ _glued = re.compile(r"(\d)([^\W\d_]{1,8}|%)(?=\W|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%") + "«»“”„‘’…–—¿¡€£"
 _CLOSING = "\"')]»”’"
 SLOT_CODES = {"num": np.uint64(0x11), "unit": np.uint64(0x22), "name": np.uint64(0x33)}
+#: Kinds of windows: plain words, templates, templates whose sentences' first words are slots if they may be names.
+PLAIN, CLOSED, OPEN = 0, 1, 2
 #: What sets the hashes of plain windows apart from those of templates.
 _PLAIN = np.uint64(0x5851F42D4C957F2D)
 
@@ -60,7 +62,7 @@ def _piece(word: str) -> tuple[int, int]:
         flags |= NUM
     elif low in _units:
         flags |= UNIT
-    elif len(core) > 1 and core[0].isupper() and core[1:].islower():
+    elif core[0].isupper() and (core[1:2].isalpha() or core[2:3].isupper()):  # Ann, McDonald, USA, O'Brien, but not I'm
         flags |= CAPITAL
     return xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), flags
 
@@ -80,8 +82,13 @@ def _pieces(raw: bytes) -> tuple[tuple[int, int], ...]:
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the tokens of all texts of an Arrow array: their row, canonical code, literal hash, and whether they are a slot.
 
-    Numbers, units after a number, and words with one capital, their first letter, that do not begin a sentence are slots: their code is their type's.
+    Numbers, units after a number, and words that begin with a capital but do not begin a sentence are slots: their code is their type's.
     """
+    return readings(texts)[:4]
+
+
+def readings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`templates`, and whether a token is a word with a capital that begins a sentence: a name or any other word, so it is read as either."""
     row, at, vocabulary = tokens(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \x01 "))
     learned = [_pieces(w) for w in vocabulary]
     flat = [x for pieces in learned for x in pieces]
@@ -104,23 +111,29 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     unit = (f & UNIT) > 0
     unit[1:] &= num[:-1] & (row[1:] == row[:-1])
     unit[:1] = False
-    name = ((f & CAPITAL) > 0) & ~begins
+    capital = (f & CAPITAL) > 0
+    name, either = capital & ~begins, capital & begins & ~unit
     codes = np.where(num, SLOT_CODES["num"], np.where(unit, SLOT_CODES["unit"], np.where(name, SLOT_CODES["name"], h)))
-    return row, codes, h, num | unit | name
+    return row, codes, h, num | unit | name, either
 
 
-def _windows(row: np.ndarray, codes: np.ndarray, literals: np.ndarray, slots: np.ndarray, n: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """Places and codes of the windows of ``n`` tokens within one text: of plain words, then of templates with a slot and enough literal tokens."""
+def _windows(row: np.ndarray, codes: np.ndarray, literals: np.ndarray, slots: np.ndarray, either: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, places and codes of the windows of ``n`` tokens within one text: of plain words, then of templates with a slot and enough literal tokens, then
+    of those templates that differ where a capital at a sentence's start is read as a name."""
     if len(codes) < n:
         return
     whole = row[n - 1 :] == row[: len(row) - n + 1]
     at = np.flatnonzero(whole)
-    yield True, at, (windows(literals, n) + np.uint64(n) ^ _PLAIN)[at]
-    if n >= LITERALS:
-        held = np.concatenate([[0], np.cumsum(slots)])
-        held = held[n:] - held[:-n]
-        at = np.flatnonzero(whole & (held > 0) & (held <= n - LITERALS))
-        yield False, at, (windows(codes, n) + np.uint64(n))[at]
+    yield PLAIN, at, (windows(literals, n) + np.uint64(n) ^ _PLAIN)[at]
+    if n < LITERALS:
+        return
+    summed = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int32)]))[n:] - c[:-n]
+    held, open_ = summed(slots), summed(either)
+    at = np.flatnonzero(whole & (held > 0) & (held <= n - LITERALS))
+    yield CLOSED, at, (windows(codes, n) + np.uint64(n))[at]
+    at = np.flatnonzero(whole & (open_ > 0) & (held + open_ <= n - LITERALS))
+    if len(at):
+        yield OPEN, at, (windows(np.where(either, SLOT_CODES["name"], codes), n) + np.uint64(n))[at]
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -128,22 +141,23 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """``item_id, version, length, n, at, plain, code, literals, slots`` of every window of ``benchmark(item_id, text)``; version: a hash of the item's text."""
-    names = ["item_id", "version", "length", "n", "at", "plain", "code", "literals", "slots"]
-    schema = "item_id bigint, version bigint, length int, n int, at int, plain boolean, code bigint, literals array<bigint>, slots array<boolean>"
+    """``item_id, version, length, n, at, kind, code, literals, slots`` of every window of ``benchmark(item_id, text)``; version: a hash of the item's text."""
+    names = ["item_id", "version", "length", "n", "at", "kind", "code", "literals", "slots"]
+    schema = "item_id bigint, version bigint, length int, n int, at int, kind int, code bigint, literals array<bigint>, slots array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {k: [] for k in names}
             for item, version, text in zip(b.column("item_id").to_pylist(), b.column("version").to_pylist(), b.column("text")):
-                row, codes, lits, slots = templates(pa.array([text.as_py()], pa.string()))
+                row, codes, lits, slots, either = readings(pa.array([text.as_py()], pa.string()))
                 n = min(window, len(codes))
-                for plain, at, code in _windows(row, codes, lits, slots, n) if n else ():
+                for kind, at, code in _windows(row, codes, lits, slots, either, n) if n else ():
+                    open_ = slots | either if kind == OPEN else slots
                     for i, c in zip(at.tolist(), code.view(np.int64).tolist()):
-                        found = ([], []) if plain else (lits.view(np.int64)[i : i + n].tolist(), slots[i : i + n].tolist())
-                        for k, v in zip(names, (item, version, len(codes), n, i, plain, c, *found)):
+                        found = ([], []) if kind == PLAIN else (lits.view(np.int64)[i : i + n].tolist(), open_[i : i + n].tolist())
+                        for k, v in zip(names, (item, version, len(codes), n, i, kind, c, *found)):
                             rows[k].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(rows[k], kind) for k, kind in zip(names, kinds)], names=names)
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.xxhash64("text").alias("version"), "text").distinct()
@@ -153,7 +167,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
     """A bit table of the leading bits of all window hashes of the benchmark, put together in Spark: at most 2^MOST_BITS bits come to the driver."""
     n = items.select("code").distinct().count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (FILTER * n).bit_length()))
     lead = items.select(F.shiftrightunsigned("code", 64 - bits).alias("lead"))
     bytes_ = lead.groupBy(F.shiftright("lead", 3).alias("k")).agg(F.bit_or(F.expr("shiftleft(1, int(lead % 8))")).alias("v"))
     found = bytes_.toArrow()
@@ -176,7 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     A window of plain words counts wherever the words are equal, whatever their number: an item shorter than ``window`` is one window, so a
     one-word item is held by every text with that word (leave such items out of ``benchmark`` if that is not meant). A window of a template has LITERALS
     literal tokens at least and counts where, over all windows of the same alignment, equal slots of the item stand for equal ones of the text and
-    different for different. Case and punctuation don't matter. Null, empty and wordless texts and items hold nothing and are held by nothing; a repeated
+    different for different. A word with a capital is a name within a sentence; where it begins one, item and text are read in both ways, as a name and as
+    the word it is, so a name there may change too. Case and punctuation don't matter. Null, empty and wordless texts and items hold nothing and are held by nothing; a repeated
     item id counts with each of its texts, repeated rows once. Empty tables give no rows. Other columns are ignored.
 
     Executors read whole texts once, however long, in narrow tasks, and emit only windows whose hash lies in a bit table of bounded size; those meet
@@ -194,10 +209,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, (first_row, texts) in ((b.column("text_key"), p) for b in batches for p in parts(b.column("text"))):
-            row, codes, lits, slots = templates(texts)
+            row, codes, lits, slots, either = readings(texts)
             for n in sizes:
-                for plain, at, code in _windows(row, codes, lits, slots, n):
-                    hit = passes(code)
+                for kind, at, code in _windows(row, codes, lits, slots, either, n):
+                    plain, hit = kind == PLAIN, passes(code)
                     at, code = at[hit], code[hit]
                     if plain and n < window and len(at):  # such a window is a whole item: the first place is enough
                         _, first = np.unique(np.stack([row[at].astype(np.uint64), code]), axis=1, return_index=True)
@@ -210,14 +225,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     texts = docs.where("text is not null").select(text_key(F.col("text")).alias("text_key"), "text")
-    hits = texts.transform(scratch.bounded).mapInArrow(emit, "text_key binary, pos int, plain boolean, code bigint, found array<bigint>").join(items, ["code", "plain"])
+    hits = texts.transform(scratch.bounded).mapInArrow(emit, "text_key binary, pos int, plain boolean, code bigint, found array<bigint>").join(items.withColumn("plain", F.col("kind") == PLAIN), ["code", "plain"])
+    # an alignment is looked at by its closed templates alone, and by all of them
+    kinds = F.when(F.col("kind") == CLOSED, F.array(F.lit(CLOSED), F.lit(OPEN))).otherwise(F.array("kind"))
+    hits = hits.withColumn("reading", F.explode(kinds))
     slots = F.filter(F.arrays_zip("slots", "literals", "found"), lambda s: s["slots"])
     pairs = F.transform(slots, lambda s: F.struct(s["literals"].alias("a"), s["found"].alias("b")))
     one = ["text_key", "item_id", "version", "length"]
-    lined = hits.groupBy(*one, "n", (F.col("pos") - F.col("at")).alias("shift"), "plain").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    lined = hits.groupBy(*one, "n", (F.col("pos") - F.col("at")).alias("shift"), "reading").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
     only = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
     lined = lined.where(only("a") & only("b")).withColumn("altered", F.size(F.filter("slots", lambda s: s["a"] != s["b"])))
-    # one alignment has a row of plain windows and one of templates at most, each with no more places than the item has tokens
+    # one alignment has a row of plain windows and two of templates at most, each with no more places than the item has tokens
     lined = lined.groupBy(*one, "n", "shift").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.max("altered").alias("altered"))
     covers = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("n") - 1))))
     lined = lined.withColumn("tokens", covers).withColumn("run", F.size("tokens"))
