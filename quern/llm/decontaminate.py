@@ -37,7 +37,7 @@ _units, _numbers = frozenset(UNITS), frozenset(NUMBERS)
 _number = re.compile(r"[+-]?\d[\d.,:/]*")
 _glued = re.compile(r"(\d)([^\W\d_]{1,8}|%)(?=\W|$)")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "%") + "«»“”„‘’…–—¿¡€£"
-_CLOSING = "\"')]»”’"
+_CLOSING, _SIGNS = "\"')]»”’", tuple(".,;:!?")
 SLOT_CODES = {"num": np.uint64(0x11), "unit": np.uint64(0x22), "name": np.uint64(0x33)}
 #: Kinds of windows: plain words, templates, templates whose sentences' first words are slots if they may be names.
 PLAIN, CLOSED, OPEN = 0, 1, 2
@@ -72,7 +72,14 @@ def _pieces(raw: bytes) -> tuple[tuple[int, int], ...]:
     found = _known.get(raw)
     if found is None:
         word = raw.decode("utf-8", "replace")
-        found = tuple(_piece(w) for w in _glued.sub(r"\1 \2", word).split(" ")) if word else ()
+        core = word if word.isalpha() else word[:-1] if word[-1:] in _SIGNS and word[:-1].isalpha() else ""
+        if core:  # letters and perhaps one sign, as most words are: what _piece finds, sooner
+            low = core.lower()
+            flags = ENDS if word[-1] in ".!?:" else 0
+            flags |= NUM if low in _numbers else UNIT if low in _units else CAPITAL if core[0].isupper() and len(core) > 1 else 0
+            found = ((xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), flags),)
+        else:
+            found = tuple(_piece(w) for w in _glued.sub(r"\1 \2", word).split(" ")) if word else ()
         if len(_known) >= MAX_WORDS:
             _known.clear()
         _known[raw] = found
