@@ -238,7 +238,7 @@ def a8(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
-@query("a8_huge_object", "SELECT 'v' || vec_id AS key, len(embedding) AS n, round(embedding[1], 6)::DOUBLE AS first, round(list_sum(embedding), 4)::DOUBLE AS total FROM embeddings")
+@query("a8_huge_object", "SELECT 'v' || vec_id AS key, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def a8_huge(t: Tables) -> DataFrame:
     """All vectors in one JSON object of one file, read back by splits of it."""
     from quern.sources import json_objects
@@ -248,7 +248,7 @@ def a8_huge(t: Tables) -> DataFrame:
     lines = t.embeddings.join(F.broadcast(first)).select((F.col("vec_id") - F.col("first") + 1).alias("o"), F.concat(F.when(F.col("vec_id") != F.col("first"), ",").otherwise(""), F.lit('"v'), "vec_id", F.lit('":'), F.to_json("embedding")).alias("value"))
     ends = t.spark.sql("""SELECT * FROM VALUES (0L, '{"note":"embedding_dict","embedding_dict":{'), (9223372036854775807L, '},"model":{"size":64}}') AS v(o, value)""")
     lines.unionByName(ends).repartition(1).sortWithinPartitions("o").select("value").write.text(at)  # one file has one writer
-    value = F.from_json("value", "array<double>")
+    value = F.from_json("value", "array<float>").cast("array<double>")
     found = json_objects.entries(t.spark, at, "embedding_dict").select("key", value.alias("v"))
     return found.select("key", F.size("v").cast("bigint").alias("n"), F.round(F.get("v", 0), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
