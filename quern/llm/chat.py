@@ -111,8 +111,8 @@ def loss_text(cut: Column, mask: Column) -> Column:
 def reply_chain(conversations: DataFrame) -> DataFrame:
     """``conversations(conv_id, turn, role, text)`` as trees of one branch: every turn answers the one before.
 
-    Turns order by turn, then role and text; null turns come first. Rows with a null conv_id belong to no known conversation and are left out.
+    Turns order by turn, then role and text; null turns come first. ``tree`` is a struct of the conv_id, so that rows without one are one conversation as well.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.where("conv_id is not null").select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), F.lit(0.0).alias("score"), "role", "text")
+    rows = conversations.select(F.struct("conv_id").alias("tree"), F.row_number().over(order).cast("bigint").alias("node"), F.lit(0.0).alias("score"), "role", "text")
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))

@@ -23,7 +23,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = out.withColumns({"said": said, "loss": chat.loss_text(F.col("cut"), F.col("loss_mask"))})
     return out.select(
-        F.col("tree").alias("conv_id"),
+        F.col("tree.conv_id").alias("conv_id"),
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2("said", 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"),
@@ -33,7 +33,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 g AS (SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,

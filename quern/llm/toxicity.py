@@ -20,8 +20,6 @@ from quern.llm.sampling import smallest_hashes
 
 #: The lexicon and its calibration are fitted on at most this many labelled rows, those with the smallest hash of the id.
 FIT_ROWS = 20_000
-#: Candidates that come to the driver, and entries that a lexicon may have.
-MAX_CANDIDATES, MAX_ENTRIES = 20_000, 2_000
 PREFIXES = range(4, 9)
 #: Lengths of patterns inside runs of scripts that write no spaces between words.
 INNER = range(2, 5)
@@ -154,8 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
     Patterns are words and word beginnings; those found in toxic rows and hardly in others enter greedily, each for the
     toxic rows that it adds. Weights are smoothed log odds. Word pairs round a hit that occur in clean rows only
     become exception phrases. Without a toxic row the lexicon is empty and every score is the share of toxic rows.
-    Null ids, labels and texts are left out; ``toxic`` may be any number type. Executors count; at most MAX_CANDIDATES patterns, and for each
-    of at most ``fit_rows`` fitted texts three numbers and the patterns of a toxic one come to the driver.
+    Null ids, labels and texts are left out; ``toxic`` may be any number type. Executors count. What comes to the driver is bounded by the fit: the
+    patterns that could add to LEAST_SHARE of the toxic rows (as many as a toxic row has on average, over that share, at most), for each of at most ``fit_rows`` fitted texts three numbers
+    and those patterns of a toxic one, and the exception phrases met three times. As an entry adds to that share of rows, each counted COVER times at most, cover ends the lexicon at COVER / LEAST_SHARE
+    entries; no other limit drops any.
     """
     sample = training_rows(docs, labels, train, fit_rows)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -186,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
 
     cost = min(1.0, LEAST_LIFT * n_pos / max(1, n_neg))
     counted = sample.transform(scratch.bounded).mapInArrow(count, "pattern string, neg bigint, pos bigint, neg_n bigint, pos_n bigint").groupBy("pattern").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "neg_n", "pos_n")])
-    counted = counted.where(F.col("pos") >= 2).withColumn("worth", F.col("pos") - F.lit(cost) * F.col("neg")).where("worth > 0").orderBy(F.desc("worth"), "pattern").limit(MAX_CANDIDATES)
-    candidates = {r["pattern"]: r for r in counted.collect()}
+    counted = counted.where(F.col("pos") >= 2).withColumn("worth", F.col("pos") - F.lit(cost) * F.col("neg")).where(F.col("worth") >= _least(n_pos))
+    candidates = {r["pattern"]: r for r in counted.orderBy(F.desc("worth"), "pattern").collect()}
     names = list(candidates)
     number = {p: i for i, p in enumerate(names)}
 
@@ -222,13 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
             yield pa.RecordBatch.from_pydict({"w": pa.array([x[0] for x in out], pa.float64()), "words": pa.array([x[1] for x in out], pa.int64()), "near": pa.array([x[2] for x in out], pa.list_(pa.string())), "toxic": b["toxic"].cast(pa.int32())})
 
     near = sample.transform(scratch.bounded).mapInArrow(context, "w double, words bigint, near array<string>, toxic int").withColumn("p", F.explode("near"))
-    learned = near.groupBy("p").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos = 0 and n >= 3").orderBy(F.desc("n"), "p").limit(MAX_ENTRIES).collect()
+    learned = near.groupBy("p").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos = 0 and n >= 3").collect()
     draft.exceptions |= {r["p"] for r in learned}
     scored = sample.transform(scratch.bounded).mapInArrow(context, "w double, words bigint, near array<string>, toxic int").groupBy("w", "words", "toxic").count().collect()
     scratch.drop(sample)
     return _calibrated(draft, [(r["w"], r["words"], r["toxic"], r["count"]) for r in scored])
 
 
+def _least(n_pos: int) -> float:
+    """Toxic rows that an entry must add."""
+    return max(2.0, LEAST_SHARE * n_pos)
+
+
 def _cover(names: Sequence[str], costs: Sequence[float], rows: Sequence[Sequence[int]], n_pos: int) -> list[str]:
     """Greedy cover of every toxic row up to COVER times: the pattern that adds most toxic rows less its cost in clean ones; of equals
     the longest beginning of a word. A beginning or continuation of a chosen pattern is not chosen."""
@@ -238,10 +243,10 @@ def _cover(names: Sequence[str], costs: Sequence[float], rows: Sequence[Sequence
             where.setdefault(k, set()).add(i)
     rank = lambda k: (len(names[k].strip()), not names[k].endswith(" "), names[k])
     worth = {k: len(v) - costs[k] for k, v in where.items()}
-    least, out, covered = max(2.0, LEAST_SHARE * n_pos), [], [0] * len(rows)
+    least, out, covered = _least(n_pos), [], [0] * len(rows)
     queue = [(-g, [-x for x in rank(k)[:2]], names[k], k) for k, g in worth.items()]
     heapq.heapify(queue)
-    while queue and len(out) < MAX_ENTRIES:
+    while queue:
         g, r, name, k = heapq.heappop(queue)
         gain = sum(covered[i] < COVER for i in where[k]) - costs[k]
         if gain < least or any(name.startswith(x.rstrip()) or x.startswith(name.rstrip()) for x in out):
