@@ -253,6 +253,31 @@ def a8_huge(t: Tables) -> DataFrame:
     return found.select("key", F.size("v").cast("bigint").alias("n"), F.round(F.get("v", 0), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query("a10_a11_matrix_files", "SELECT 'vec ' || lpad(vec_id::VARCHAR, 9, '0') AS id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def a10(t: Tables) -> DataFrame:
+    """All vectors written as a matrix with its ids, and read back by offset."""
+    from quern.sources import matrices
+
+    at = _folder(t, "matrix") + "/vectors"
+    matrices.write(t.embeddings.select(F.concat(F.lit("vec "), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), "embedding"), at, "id", "embedding")
+    found = matrices.with_ids(t.spark, at, 1 << 16)
+    return found.select("id", F.size("values").cast("bigint").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.get("values", 0), 6).alias("first"))
+
+
+@query("a4_a13_workbook", "SELECT 'parts' AS sheet, lpad(p_partkey::VARCHAR, 8, '0') AS id, p_name AS name, p_size::BIGINT AS size, round(p_retailprice, 2) AS price, p_size > 25 AS large FROM part UNION ALL SELECT 'suppliers', lpad(s_suppkey::VARCHAR, 8, '0'), s_name, NULL, round(s_acctbal, 2), NULL FROM supplier")
+def a4(t: Tables) -> DataFrame:
+    """Two tables as sheets of one workbook, read back by a schema: ids keep their zeros."""
+    from quern.sources import workbooks
+
+    at = _folder(t, "workbook") + "/both.xlsx"
+    parts = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("ID"), F.col("p_name").alias("name"), "p_size", F.round("p_retailprice", 2).alias("price"), (F.col("p_size") > 25).alias("large"))
+    suppliers = t.supplier.select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("ID"), F.col("s_name").alias("name"), F.round("s_acctbal", 2).alias("price"))
+    workbooks.write({"parts": parts, "suppliers": suppliers}, at)
+    schema = "ID string, name string, p_size bigint, price double, large boolean"
+    both = [workbooks.read(t.spark, at, schema, s).select(F.lit(s).alias("sheet"), F.col("ID").alias("id"), "name", F.col("p_size").alias("size"), "price", "large") for s in ("parts", "suppliers")]
+    return both[0].unionByName(both[1])
+
+
 @query("a9_ids_and_counts", "SELECT count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents")
 def a9(t: Tables) -> DataFrame:
     return t.documents.agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
