@@ -137,17 +137,3 @@ def kept_copies(rows: DataFrame, by: str, path: str, title: str, pages: str, siz
     ranked = rows.select(by, F.col(path).alias("_path"), keeper_rank(F.col(path), F.col(title), F.col(pages), F.col(size)).alias("_rank"))
     best = ranked.groupBy(by).agg(F.max("_rank").alias("_best"))
     return ranked.join(best, by).where(F.col("_rank") == F.col("_best")).groupBy(by).agg(F.min("_path").alias("kept"))
-
-
-def containing(rows: DataFrame, body: str, terms: DataFrame, term: str, how: str = "inner", block: int = 2000) -> DataFrame:
-    """Rows whose ``body`` contains a term, as literal text: with the term (``how`` inner), or once each (left_semi; needs distinct rows).
-
-    The term table is counted and broadcast in blocks of about ``block`` rows, whatever its size; the rows are never shuffled.
-    """
-    n = max(1, -(-terms.count() // block))
-    dealt = terms.withColumn("_block", F.pmod(F.xxhash64(term), F.lit(n)).cast("int"))
-    out = None
-    for b in range(n):
-        part = rows.join(F.broadcast(dealt.where(F.col("_block") == b).drop("_block")), F.contains(body, term), how)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if how == "left_semi" and n > 1 else out

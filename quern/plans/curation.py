@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import molecules, paths, text
-from quern.operators import checks, compounds, curation, ranges
+from quern.operators import checks, compounds, containment, curation, ranges
 from quern.operators import molecules as molecule_tables
 from quern.plans.base import Tables, query
 from quern.plans.proxies import COMPOUNDS, PAPERS
@@ -56,7 +56,7 @@ def c7(t: Tables) -> DataFrame:
 @query("c8_term_semi_join", "SELECT DISTINCT p_partkey FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part WHERE p_size > 45) ON contains(p_name, w) WHERE w <> 'ring'")
 def c8(t: Tables) -> DataFrame:
     words = t.part.where("p_size > 45").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).where("w <> 'ring'").distinct()
-    return curation.containing(t.part.select("p_partkey", "p_name"), "p_name", words, "w", "left_semi").select("p_partkey")
+    return containment.containing(t.part.select("p_partkey", "p_name"), "p_name", words, "w", "left_semi").select("p_partkey")
 
 
 @query("c9_new_files", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import attributions, checks, curation, metrics, ml, ranges
+from quern.operators import attributions, checks, containment, curation, metrics, ml, ranges
 from quern.plans.base import Tables, query
 from quern.plans.proxies import ANSWERS
 from quern.plans.retrieval import _HITS, hits
@@ -34,7 +34,7 @@ def e6(t: Tables) -> DataFrame:
 def e8(t: Tables) -> DataFrame:
     quotes = t.benchmark.select("item_id", text.strip_space(F.col("text")).alias("quote"))
     docs = t.documents.select("doc_id", text.strip_space(F.col("text")).alias("body"))
-    found = curation.containing(docs, "body", quotes, "quote").groupBy("item_id").agg(F.count("*").alias("n"))
+    found = containment.containing(docs, "body", quotes, "quote").groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found"))
 
 
