@@ -333,3 +333,15 @@ def l9(t: Tables) -> DataFrame:
     files.guard(t.spark, root.rsplit("/", 1)[0], 0.001, 1000.0)
     files.publish(t.documents.select("doc_id", "lang"), root, "1", [lambda df: df.where("doc_id is null")])
     return files.current(t.spark, root)
+
+
+@query("l9_stopped_build", "SELECT doc_id, length(coalesce(text, '')) AS n, (doc_id % 4)::INT AS batch, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 2 END AS run FROM documents")
+def l9_stopped(t: Tables) -> DataFrame:
+    """A build of four batches that ends after two; the next run does the other two, and a third finds nothing to do."""
+    from quern.streaming import builds
+
+    root, rows = _folder(t, "build"), t.documents.select("doc_id", "text")
+    measured = lambda df: df.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
+    for most in (2, None, None):
+        builds.build(rows, root, F.col("doc_id") % 4, 4, measured, most)
+    return builds.built(t.spark, root)
