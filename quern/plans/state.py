@@ -345,3 +345,16 @@ def l9_stopped(t: Tables) -> DataFrame:
     for most in (2, None, None):
         builds.build(rows, root, F.col("doc_id") % 4, 4, measured, most)
     return builds.built(t.spark, root)
+
+
+@query("l3_l4_queue_stream")
+def l3_stream(t: Tables) -> DataFrame:
+    """The events as requests to a job queue, read as a stream: each job's state after its legal moves and timers."""
+    from quern.streaming import job_queue
+
+    at = _folder(t, "queue")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/[e]vents.parquet")
+    log = stream.select(F.col("user_id").alias("job"), "ts", F.expr(_STATUS).alias("status"))
+    moves = job_queue.moved(log, "job", "ts", "status")
+    moves.writeStream.format("parquet").option("path", f"{at}/moves").option("checkpointLocation", f"{at}/point").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return shown(job_queue.current(t.spark.read.parquet(f"{at}/moves")))
