@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import molecules, paths, text
+from quern.functions import molecules, paths, text, vectors
 from quern.operators import checks, compounds, containment, curation, ranges
 from quern.operators import molecules as molecule_tables
 from quern.plans.base import Tables, query
@@ -283,8 +283,7 @@ def i7(t: Tables) -> DataFrame:
 
 
 def _bits(t: Tables) -> DataFrame:
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 48), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
-    return t.embeddings.select("vec_id", F.array(bits).alias("words"))
+    return t.embeddings.select("vec_id", vectors.sign_words(F.col("embedding")).alias("words"))
 
 
 _MOLECULES = "SELECT p_partkey AS id, CASE CAST(p_partkey % 9 AS INT) WHEN 0 THEN 'CC(=O)[O-].[Na+]' WHEN 1 THEN 'C[NH3+].[Cl-]' WHEN 2 THEN 'c1ccccc1' WHEN 3 THEN 'CC(=O)O.CCBr.CCO' WHEN 4 THEN ' ' WHEN 5 THEN 'C1CC(' WHEN 6 THEN 'not one!' WHEN 7 THEN '[2H]OC' ELSE '[H+]' END AS smiles FROM {part}"
@@ -344,10 +343,12 @@ def i9(t: Tables) -> DataFrame:
     return compounds.chemical_space(_bits(t), "vec_id", "words")
 
 
-_WORD = "(" + " | ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)::BIGINT" for i in range(48)) + ")"
+_word = lambda low: "(" + " | ".join(f"(CASE WHEN embedding[{low + i + 1}] > 0 THEN {1 << i} ELSE 0 END)::BIGINT" for i in range(32)) + ")"
+_WORDS = f"SELECT vec_id, {_word(0)} AS v, {_word(32)} AS w FROM embeddings"
+_DISTANCE = "round(CASE WHEN bit_count(a.v | b.v) + bit_count(a.w | b.w) = 0 THEN 0.0 ELSE 1 - (bit_count(a.v & b.v) + bit_count(a.w & b.w)) / (bit_count(a.v | b.v) + bit_count(a.w | b.w))::DOUBLE END, 6)"
 
 
-@query("c18_landmark_distances", f"WITH b AS (SELECT vec_id, {_WORD} AS w FROM embeddings) SELECT b.vec_id, a.vec_id AS landmark, round(CASE WHEN bit_count(a.w | b.w) = 0 THEN 0.0 ELSE 1 - bit_count(a.w & b.w) / bit_count(a.w | b.w)::DOUBLE END, 6) AS distance FROM b a, b WHERE a.vec_id < 64")
+@query("c18_landmark_distances", f"WITH b AS ({_WORDS}) SELECT b.vec_id, a.vec_id AS landmark, {_DISTANCE} AS distance FROM b a, b WHERE a.vec_id < 64")
 def c18(t: Tables) -> DataFrame:
     """Fingerprint distances of all rows to a bounded set of them."""
     points = _bits(t)
@@ -355,10 +356,10 @@ def c18(t: Tables) -> DataFrame:
     return far.select("vec_id", "landmark", F.round("distance", 6).alias("distance"))
 
 
-@query("h47_bit_operations", f"WITH b AS (SELECT vec_id, {_WORD} AS w FROM embeddings) SELECT vec_id, bit_count(w)::INT AS ones, (w & 65535)::BIGINT AS low, (w | 1)::BIGINT AS odd FROM b")
+@query("h47_bit_operations", f"WITH b AS ({_WORDS}) SELECT vec_id, (bit_count(v) + bit_count(w))::INT AS ones, (v & 65535)::BIGINT AS low, (w | 1)::BIGINT AS odd FROM b")
 def h47(t: Tables) -> DataFrame:
-    w = F.get("words", 0)
-    return _bits(t).select("vec_id", F.bit_count(w).alias("ones"), w.bitwiseAND(F.lit(65535)).alias("low"), w.bitwiseOR(F.lit(1)).alias("odd"))
+    v, w = F.get("words", 0), F.get("words", 1)
+    return _bits(t).select("vec_id", (F.bit_count(v) + F.bit_count(w)).alias("ones"), v.bitwiseAND(F.lit(65535)).alias("low"), w.bitwiseOR(F.lit(1)).alias("odd"))
 
 
 @query("i10_fuzzy_names")

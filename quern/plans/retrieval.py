@@ -106,13 +106,13 @@ def i5(t: Tables) -> DataFrame:
     return t.embeddings.groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("n"))
 
 
-_BITS = "(" + " | ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)" for i in range(32)) + ")::BIGINT"
+_word = lambda low: "(" + " | ".join(f"(CASE WHEN embedding[{low + i + 1}] > 0 THEN {1 << i} ELSE 0 END)" for i in range(32)) + ")::BIGINT"
+_UNION, _COMMON = ("(bit_count(a.v {0} b.v) + bit_count(a.w {0} b.w))".format(sign) for sign in "|&")
 
 
-@query("i8_tanimoto", f"WITH b AS (SELECT vec_id, {_BITS} AS w FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(CASE WHEN bit_count(a.w | b.w) = 0 THEN 0.0 ELSE 1 - bit_count(a.w & b.w) / bit_count(a.w | b.w)::DOUBLE END, 6) AS distance FROM b a, b WHERE a.{_ASKED}")
+@query("i8_tanimoto", f"WITH b AS (SELECT vec_id, {_word(0)} AS v, {_word(32)} AS w FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(CASE WHEN {_UNION} = 0 THEN 0.0 ELSE 1 - {_COMMON} / {_UNION}::DOUBLE END, 6) AS distance FROM b a, b WHERE a.{_ASKED}")
 def i8(t: Tables) -> DataFrame:
-    word = F.aggregate(F.slice("embedding", 1, 32), F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("i")), lambda s, x: F.struct((s["w"].bitwiseOR(F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), s["i"]).cast("bigint"))).alias("w"), (s["i"] + 1).alias("i")))["w"]
-    sets = t.embeddings.select("vec_id", F.array(word).alias("words"))
+    sets = t.embeddings.select("vec_id", vectors.sign_words(F.col("embedding")).alias("words"))
     some = sets.where(_ASKED).select(F.col("vec_id").alias("query_id"), F.col("words").alias("asked"))
     pairs = retrieval.met(sets, some)
     return pairs.select("query_id", "vec_id", F.round(vectors.tanimoto_distance(F.col("asked"), F.col("words")), 6).alias("distance"))
