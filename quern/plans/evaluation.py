@@ -14,20 +14,17 @@ from quern.plans.retrieval import _HITS, hits
 _EXPECTED = "x AS (SELECT a.vec_id AS query_id, b.vec_id AS item, CASE WHEN b.embedding[1] > 0 THEN 3.0 ELSE 1.0 END::DOUBLE AS relevance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.label = b.label)"
 
 
-def expected(t: Tables) -> DataFrame:
-    """All vectors of a query's label count as relevant, by a grade from the vector itself."""
-    some = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    rest = t.embeddings.select(F.col("vec_id").alias("item"), "label", F.when(F.get("embedding", 0) > 0, 3.0).otherwise(1.0).alias("relevance"))
-    return rest.join(some, "label").select("query_id", "item", "relevance")
-
-
 @query("e6_e7_e8_ranked_measures", f"""WITH {_HITS.format(k=40)}, {_EXPECTED}, i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, item) AS ir FROM x), j AS (SELECT x.*, h.rank FROM x LEFT JOIN hits h ON h.query_id = x.query_id AND h.vec_id = x.item)
 SELECT j.query_id, count(rank) FILTER (rank <= 20) / count(*) AS recall, coalesce(1.0 / min(rank), 0.0)::DOUBLE AS rr,
 round(coalesce(sum((pow(2, relevance) - 1) / log2(rank + 1)) FILTER (rank <= 20), 0) / (SELECT sum((pow(2, relevance) - 1) / log2(ir + 1)) FROM i WHERE i.query_id = j.query_id AND ir <= 20), 6) AS ndcg FROM j GROUP BY j.query_id""")
 def e6(t: Tables) -> DataFrame:
-    found, want = hits(t, 40).withColumnRenamed("vec_id", "item"), expected(t)
-    out = metrics.recall_at(found, want, 20).join(metrics.reciprocal_rank(found, want), "query_id").join(metrics.ndcg_at(found, want, 20), "query_id")
-    return out.select("query_id", "recall", "rr", F.round("ndcg", 6).alias("ndcg"))
+    """All vectors of a query's label count as relevant, by a grade from the vector itself; grades are counted by label, so no query meets all of them."""
+    items = t.embeddings.select(F.col("vec_id").alias("item"), F.col("label").alias("theirs"), F.when(F.get("embedding", 0) > 0, 3.0).otherwise(1.0).alias("relevance"))
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    found = hits(t, 40).select("query_id", F.col("vec_id").alias("item"), "rank").join(items, "item").join(asked, "query_id")
+    graded = found.select("query_id", "rank", F.when(F.col("theirs") == F.col("own"), F.col("relevance")).alias("relevance"))
+    counts = asked.join(items.groupBy(F.col("theirs").alias("own"), "relevance").agg(F.count("*").alias("n")), "own").select("query_id", "relevance", "n")
+    return metrics.graded_measures(graded, counts, 20).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query("e8_quote_recall", "SELECT item_id, count(doc_id) AS found FROM benchmark LEFT JOIN documents ON contains(lower(regexp_replace(documents.text, '\\s+', '', 'g')), lower(regexp_replace(benchmark.text, '\\s+', '', 'g'))) GROUP BY item_id")

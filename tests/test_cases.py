@@ -26,6 +26,19 @@ def test_retrieval_measures(spark):
     assert 0 < ndcg["q"] < 1 and ndcg["p"] == 0
 
 
+def test_graded_measures_are_those_item_by_item(spark):
+    rng = random.Random(4)
+    grades = {(q, i): rng.choice([1.0, 2.0, 3.0]) for q in "abc" for i in range(40) if rng.random() < 0.5}
+    ranked = [(q, i, r + 1) for q in "abcd" for r, i in enumerate(rng.sample(range(40), 25))]
+    hits = spark.createDataFrame(ranked, "query_id string, item int, rank int")
+    want = spark.createDataFrame([(q, i, g) for (q, i), g in grades.items()], "query_id string, item int, relevance double")
+    graded = hits.join(want, ["query_id", "item"], "left").select("query_id", "rank", "relevance")
+    found = metrics.graded_measures(graded, want.groupBy("query_id", "relevance").agg(F.count("*").alias("n")), 20)
+    slow = metrics.recall_at(hits, want, 20).join(metrics.reciprocal_rank(hits, want), "query_id").join(metrics.ndcg_at(hits, want, 20), "query_id")
+    rows = lambda df: sorted((r["query_id"], round(r["recall"], 9), round(r["rr"], 9), round(r["ndcg"], 9)) for r in df.collect())
+    assert rows(found) == rows(slow) and len(rows(found)) == 3
+
+
 def test_release_gates(spark):
     good = {m: 0.95 for m, *_ in metrics.GATES} | {"high_severity_hallucinations": 0.0, "citation_precision": 0.92}
     run = lambda d: spark.createDataFrame([(k, v, 0.95) for k, v in d.items()], "metric string, current double, baseline double")
@@ -34,6 +47,8 @@ def test_release_gates(spark):
     assert verdict(good | {"citation_precision": 0.89}) == (True, False)
     assert verdict({k: v for k, v in good.items() if k != "mrr"}) == (False, False)
     assert verdict({k: v for k, v in good.items() if k != "high_severity_hallucinations"}) == (True, False)
+    two = run(good).withColumn("release", F.lit("x")).union(run(good | {"citation_precision": 0.89}).withColumn("release", F.lit("y")))
+    assert {r["release"]: r["passed"] for r in metrics.released(metrics.gates(two, ["release"]), ["release"]).collect()} == {"x": True, "y": False}
 
 
 def test_duplicate_hits_merge(spark):
