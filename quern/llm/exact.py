@@ -16,6 +16,9 @@ MOST_OWNED, LEAST_OWNED = 1 << 20, 1 << 8
 #: Slots of a sender's filter for each fingerprint that it holds: how many rows become suspects by sharing a slot.
 SLOTS_EACH = 8
 
+#: Groups, the largest ones, that every task gets; of all others none has more than one row in LARGE_GROUPS.
+LARGE_GROUPS = 1000
+
 
 def golomb(gaps: np.ndarray) -> bytes:
     """Golomb-Rice code of whole numbers of 0 or more: one byte with the number k of low bits, the count in eight, then all quotients ``gap >> k`` in unary
@@ -121,7 +124,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     Each input partition is a sender (see :func:`repeated`). Rows with their normalised texts are written once, bucketed by sender, so that the filters
     come to the texts and not the texts to the filters: only suspects leave their bucket. Those are grouped by fingerprint and text, which Spark compares as bytes; copies are
-    counted before the shuffle, so a group of any size sends one row from each task. The rest are alone in their group.
+    counted before the shuffle, so a group of any size sends one row from each task. Rows of the LARGE_GROUPS largest groups are told their group where they are, so no large key is shuffled
+    to learn it. The rest are alone in their group.
     """
     spark = docs.sparkSession
     text = normalised(F.col("text"))
@@ -141,7 +145,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     rank = F.expr(_RANK)
     same = rows.where("suspect").groupBy("print", "norm").agg(F.count("*").alias("group_size"), F.max_by("doc_id", rank).alias("keep_id"), F.max_by("no", rank).alias("keep_no"))
     same = scratch.written(same.where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "keep_no", "group_size"), "exact-groups")
-    suspects = rows.where("suspect").select("doc_id", "no", "text_sha256").join(same.hint("merge"), "text_sha256", "left")
+    suspects = rows.where("suspect").select("doc_id", "no", "text_sha256")
+    large = suspects.join(F.broadcast(same.orderBy(F.desc("group_size"), "text_sha256").limit(LARGE_GROUPS)), "text_sha256", "left")
+    rest = large.where("keep_no is null").select("doc_id", "no", "text_sha256").join(same.hint("merge"), "text_sha256", "left")
+    suspects = large.where("keep_no is not null").unionByName(rest)
     alone = rows.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     single = F.col("keep_no").isNull()
     kept = suspects.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), (single | (F.col("no") == F.col("keep_no"))).alias("kept"), "text_sha256")

@@ -39,8 +39,9 @@ def texts(rng, n):
     return [*made, None, "", " ", "x" * 50_000, "x " * 50_000]
 
 
-@pytest.mark.parametrize("spare", [exact.SPARE_BITS, -3])
-def test_groups_are_what_grouping_finds(spark, monkeypatch, spare):
+@pytest.mark.parametrize("spare, large", [(exact.SPARE_BITS, 1000), (-3, 3)])
+def test_groups_are_what_grouping_finds(spark, monkeypatch, spare, large):
+    monkeypatch.setattr(exact, "LARGE_GROUPS", large)
     monkeypatch.setattr(exact, "SPARE_BITS", spare)  # with few bits most suspects are so by chance, and the bytes decide
     monkeypatch.setattr(exact, "LEAST_OWNED", 40)
     rng = random.Random(4)
