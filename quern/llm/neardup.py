@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import scratch
-from quern.llm.components import components
+from quern.llm.components import components, roots
+from quern.llm.scratch import shuffled
 from quern.llm.words import hashed, hashes, mixed, windows, words
 
 #: 42 bands of 6 minima miss a pair of similarity 0.8 with a probability of 3e-6; two bits of each minimum are kept.
@@ -114,7 +115,8 @@ def floor_of(threshold: float) -> float:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full shingle sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    both = shuffled(pairs, texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    both = shuffled(both, texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, t = (None, None)
@@ -156,7 +158,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     See :func:`placed` for how groups are found; pairs inside one component are never made, whatever a group's size.
     """
     rows, found = placed(docs, size, percent)
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(found, "set_key", "left")
+    out = shuffled(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), found, "set_key", "left")
     component = F.coalesce("component.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -167,7 +169,7 @@ def leaders(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     last = F.lit(2**63 - 1)
     rows, found = placed(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), last)), size, percent)
     rows = rows.select("doc_id", "text_key", "set_key").distinct()
-    kept = rows.join(found, "set_key", "left").where("component is null or (component.doc_id = doc_id and component.text_key <=> text_key)")
+    kept = shuffled(rows, found, "set_key", "left").where("component is null or (component.doc_id = doc_id and component.text_key <=> text_key)")
     return kept.select(F.nullif("doc_id", last).alias("doc_id"), "text_key")
 
 
@@ -204,9 +206,9 @@ def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     reps = scratch.written(nodes.select("id", "set_key", "least"), "near-reps")
     banded = nodes.select("id", F.explode("bands").alias("key"))
     firsts = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1").select("key", "rep")
-    shared = scratch.written(banded.join(firsts, "key"), "near-shared")  # rows of buckets with company
-    company = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_key")
-    texts = keyed(docs).where("text is not null").join(company, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    shared = scratch.written(shuffled(banded, firsts, "key"), "near-shared")  # rows of buckets with company
+    company = shuffled(nodes, shared.select("id").distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "text_key")
+    texts = shuffled(keyed(docs).where("text is not null"), company, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     texts = scratch.written(texts.select("id", "text"), "near-texts")
     lowest, share = floor_of(percent / 100), percent / 100
     sigs = nodes.select("id", "n", *[f"s{i}" for i in range(LONGS)])
@@ -216,37 +218,38 @@ def placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
         return close & (estimate(a, b) >= lowest)
 
     stars = shared.where("id <> rep").select("id", "rep").distinct().alias("p")
-    stars = stars.join(sigs.alias("a"), F.expr("p.id = a.id")).join(sigs.alias("b"), F.expr("p.rep = b.id")).where(likely("a", "b"))
+    stars = shuffled(shuffled(stars, sigs.alias("a"), F.expr("p.id = a.id")), sigs.alias("b"), F.expr("p.rep = b.id")).where(likely("a", "b"))
     stars = scratch.written(stars.select(F.col("p.id").alias("u"), F.col("p.rep").alias("v"), estimate("a", "b").alias("est")), "near-stars")
     best = stars.groupBy("u").agg(F.max_by("v", F.struct("est", -F.col("v"))).alias("v"))
     linked = lambda found: found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    found = components(confirmed(best, texts, size, percent))
-    open_ = across(stars.select("u", "v"), found).join(best, ["u", "v"], "left_anti")
+    found = roots(confirmed(best, texts, size, percent))  # a bucket's first has its smallest id
+    open_ = shuffled(across(stars.select("u", "v"), found), best, ["u", "v"], "left_anti")
     found = components(linked(found).unionByName(confirmed(open_, texts, size, percent)))
 
-    member = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    member = shuffled(shared.select("key", "id"), found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     counts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_few"))
-    light = scratch.written(member.join(mains.where("kinds > 1").drop("kinds"), "key").join(sigs, "id"), "near-light")
+    light = scratch.written(shuffled(shuffled(member, mains.where("kinds > 1").drop("kinds"), "key"), sigs, "id"), "near-light")
     few, all_ = dealt(light.where("c <> main"), True).alias("a"), dealt(light, False).alias("b")
     cross = (F.col("a.key") == F.col("b.key")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.column") == F.col("b.column")) & (F.col("a.c") != F.col("b.c"))
     meets = cross & likely("a", "b")
-    asking, asked = few.join(all_, meets, "left_semi").select("key", "id"), all_.join(few, meets, "left_semi").select("key", "id")
-    live = scratch.written(asking.unionByName(asked).distinct().join(light, ["key", "id"]), "near-live")
-    sets = scratch.written(full_sets(texts.join(live.select("id").distinct(), "id", "left_semi"), size), "near-full")
-    whole = live.join(nodes.select("id", "bands").join(sets, "id"), "id")
+    asking, asked = shuffled(few, all_, meets, "left_semi").select("key", "id"), shuffled(all_, few, meets, "left_semi").select("key", "id")
+    live = scratch.written(shuffled(asking.unionByName(asked).distinct(), light, ["key", "id"]), "near-live")
+    sets = scratch.written(full_sets(shuffled(texts, live.select("id").distinct(), "id", "left_semi"), size), "near-full")
+    whole = shuffled(live, shuffled(nodes.select("id", "bands"), sets, "id"), "id")
     few, all_ = dealt(whole.where("c <> main"), True, 4 * CELL).alias("a"), dealt(whole, False, 4 * CELL).alias("b")
     once = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.array_position(F.col("a.bands"), F.col("a.key"))
     turn = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
     common = F.size(F.array_intersect("a.members", "b.members"))
     alike = 100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)
-    more = few.join(all_, cross & turn & likely("a", "b") & once & alike).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
-    found = components(linked(found).unionByName(more))
+    more = shuffled(few, all_, cross & turn & likely("a", "b") & once & alike).select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
+    merged = components(more).select(F.col("id").alias("c"), F.col("component").alias("root"))  # of components, no longer of their members
 
-    out = reps.join(found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("c"))
+    out = shuffled(reps, found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("c"))
+    out = shuffled(out, merged, "c", "left").select("set_key", "least", F.coalesce("root", "c").alias("c"))
     # written, so that the join's other side is a shuffle of its own, which Spark can split where one component holds many sets
     leasts = scratch.written(out.groupBy("c").agg(F.min("least").alias("component")), "near-leasts")
-    out = out.join(leasts, "c").select("set_key", "component")
+    out = shuffled(out, leasts, "c").select("set_key", "component")
     scratch.drop(shared, texts, stars, light, nodes, live, sets)
     return rows, out
 
@@ -255,5 +258,5 @@ def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Those of ``pairs(u, v)`` whose ends lie in different components of ``found(id, component)``."""
     a = found.select(F.col("id").alias("u"), F.col("component").alias("cu"))
     b = found.select(F.col("id").alias("v"), F.col("component").alias("cv"))
-    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    both = shuffled(shuffled(pairs, a, "u", "left"), b, "v", "left")
     return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from quern.sources.tables import bucketed, drop, mark, release, shared_dir, written
 
-__all__ = ["BATCH_BYTES", "bounded", "bucketed", "drop", "fresh", "mark", "release", "shared_dir", "written"]
+__all__ = ["BATCH_BYTES", "bounded", "bucketed", "drop", "fresh", "mark", "release", "shared_dir", "shuffled", "written"]
 
 BATCH_BYTES = 4 << 20
 
@@ -21,6 +21,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """The join with both sides shuffled, whatever their sizes and ``spark.sql.autoBroadcastJoinThreshold``: a broadcast side is built on the driver, and what
+    a small file holds may take many times its bytes there."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores put before it until ``df`` has no such column, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -142,6 +142,44 @@ def test_mix_takes_documents_in_seeded_order(spark):
         left -= n
 
 
+def plans(spark, since):
+    """Names of the operators of each plan that ran since ``since`` plans had."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    graphs = [store.planGraph(i).allNodes() for i in range(since, store.executionsCount())]
+    return [[g.apply(i).name() for i in range(g.size())] for g in graphs]
+
+
+def test_near_duplicates_build_no_table_on_the_driver(spark):
+    words = "the quick brown fox jumps over one lazy dog while rain falls on old stone walls near our mill".split()
+    texts = [" ".join([*words[k % 5 :], str(k // 7)]) for k in range(60)] + [None, ""]
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert neardup.groups(docs, 2, 80).count() == len(texts)
+    found = plans(spark, since)
+    assert len(found) > 10 and any("SortMergeJoin" in n for names in found for n in names)
+    assert not [n for names in found for n in names if n.startswith("Broadcast")]
+
+
+def test_no_plan_holds_a_whole_round_of_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 90) for i in range(20)], "u bigint, v bigint")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert components.components(edges).count() == 60
+    assert max(map(len, plans(spark, since))) < 40
+
+
+def test_roots_of_a_forest(spark):
+    rng = random.Random(4)
+    up = {i: rng.choice([i - 1, rng.randrange(i)]) for i in range(1, 300) if rng.random() < 0.97}
+
+    def root(i):
+        return root(up[i]) if i in up else i
+
+    found = components.roots(spark.createDataFrame(list(up.items()), "u bigint, v bigint")).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: root(i) for i in up} and len(found) == len(up)
+    assert components.roots(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
