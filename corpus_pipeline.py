@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one = docs.groupBy(*named).agg(F.min_by(row, F.struct(*ordered)).alias("_row"))
     kept = neardup.leaders(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILARITY)
     kept = kept.select(F.coalesce("doc_id", last).alias("_id"), F.coalesce("text_key", none).alias("_key"))
-    return one.join(kept, ["_id", "_key"], "left_semi").select("_row.*")
+    return scratch.shuffled(one, kept, ["_id", "_key"], "left_semi").select("_row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
