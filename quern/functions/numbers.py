@@ -18,6 +18,13 @@ def number_or_null(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` to ``digits`` decimals as SQL engines on binary doubles do: scaled, rounded half away from zero, scaled back. Spark's own round goes by the shortest decimal
+    text of a double, so values next to a half (0.5005 is a little less) fall on the other side. Infinite, not-a-number and huge values stay as they are."""
+    whole = F.round(c * F.lit(10.0**digits), 0)
+    return F.when(F.abs(c) < 2.0**52, whole / F.lit(10.0**digits)).otherwise(c)
+
+
 def in_range(c: Column, low: float | None, high: float | None) -> Column:
     """Without bounds all pass; with one, NULL fails."""
     if low is None and high is None:
