@@ -65,11 +65,15 @@ def topic_tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(latin, parts)))
 
 
+def _some(*values: Column) -> Column:
+    """The values that are not NULL, the first of equal ones, in order."""
+    return F.array_except(F.array(*values), F.array(F.lit(None).cast("string")))
+
+
 def concepts_of(c: Column, index: Mapping[str, str] = INDEX) -> Column:
-    """Standard terms whose names or synonyms the text contains; sorted, distinct."""
+    """Standard terms whose names or synonyms the text contains; sorted, distinct. Without lambdas, so that all is generated code and the lower-cased text is worked out once."""
     low = F.lower(c)
-    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in index.items()])
-    return F.array_sort(F.array_distinct(F.transform(F.filter(entries, lambda e: low.contains(e["t"])), lambda e: e["s"])))
+    return F.sort_array(_some(*[F.when(low.contains(t), F.lit(s)) for t, s in index.items()]))
 
 
 def expansion(c: Column, most: int = 10, dictionaries: Sequence[Mapping[str, Sequence[str]]] = (SWEETENERS, CONCEPTS)) -> Column:
@@ -78,9 +82,9 @@ def expansion(c: Column, most: int = 10, dictionaries: Sequence[Mapping[str, Seq
     for d in dictionaries:
         for k, v in d.items():
             table.setdefault(k, []).extend(v)
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(x) for x in v]).alias("v")) for k, v in table.items()])
     found = concepts_of(c, reverse_index(*dictionaries))
-    terms = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(entries, lambda e: F.array_contains(found, e["k"])), lambda e: e["v"]))))
+    none = F.array().cast("array<string>")
+    terms = F.sort_array(F.array_distinct(F.concat(none, *[F.when(F.array_contains(found, k), F.array(*[F.lit(x) for x in v])).otherwise(none) for k, v in table.items()])))
     return F.array_join(F.slice(F.concat(F.array(c), terms), 1, most), " OR ")
 
 
@@ -90,8 +94,7 @@ def variants(expanded: Column, question: Column) -> Column:
     first = F.when(expanded.contains(" OR "), F.substring_index(expanded, " OR ", 1))
     short = F.when(F.size(tokens) > 0, F.array_join(F.slice(tokens, 1, 3), " "))
     broad = F.when(F.size(tokens) >= 2, F.concat_ws(" ", F.get(tokens, 0), F.get(tokens, 1), F.lit("相互作用 机制")))
-    made = F.transform(F.array(expanded, question, first, short, broad), lambda v: F.nullif(F.trim(v), F.lit("")))
-    return F.slice(F.array_distinct(F.array_compact(made)), 1, 5)
+    return F.slice(_some(*[F.nullif(F.trim(v), F.lit("")) for v in (expanded, question, first, short, broad)]), 1, 5)
 
 
 def complexity(c: Column) -> Column:
