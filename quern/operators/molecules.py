@@ -1,7 +1,7 @@
 """Molecules as arrays of atoms with their bonds: fragments, charges, order-free keys, circular fingerprints and simple descriptors.
 
 A molecule is one row whatever its table's size, and its atoms are as many as its string has, so all that looks at neighbours works inside the row with array
-functions; nothing is shuffled.
+functions; only strings are shuffled, to find the distinct ones.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import smiles
+from quern.sources import tables
 
 ATOMS = "array<struct<element:string,isotope:int,charge:int,h:int,aromatic:boolean,part:int,near:array<struct<to:int,order:int,ring:int,bond:int>>>>"
 #: The elements that a standardised molecule may hold.
@@ -146,7 +147,16 @@ def standardised(rows: DataFrame, id_col: str, col: str) -> DataFrame:
     The largest part, uncharged where hydrogens allow it. Equal molecules have equal keys however they are written (order of atoms, ring numbers, aromatic or alternating bonds, hydrogens
     written or not); stereo marks are read over and tautomers are not unified. A string that is no molecule gives ``parse_failed``, one without an atom
     but hydrogen ``all_atoms_stripped``, one with other elements than :data:`ALLOWED` ``disallowed_atoms:...``; null and blank strings are ``parse_failed``; those rows stay, with nulls.
+
+    Each distinct string is read and worked out once and written; rows get what their string gives by a join.
     """
+    some = rows.select(F.col(id_col).alias("id"), F.col(col).cast("string").alias("_text"))
+    made = tables.written(_standardised(some.select("_text").distinct(), "_text", "_text").withColumnRenamed("id", "_string"), "molecules")
+    return some.join(made, F.col("_text").eqNullSafe(F.col("_string"))).drop("_text", "_string")
+
+
+def _standardised(rows: DataFrame, id_col: str, col: str) -> DataFrame:
+    """:func:`standardised` of rows as they are."""
     part = largest_part(F.col("atoms"))
     made = _let(part, lambda a: F.when(heavy(a) > 0, neutral(a)))
     out = parsed(rows, id_col, col).select("id", "reason", F.when(F.col("reason").isNull(), made).alias("_a"))
